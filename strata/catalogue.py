@@ -1,11 +1,745 @@
-"""Registered queries of the key/value engine and their SQL."""
+"""Registered queries of the key/value engine and their SQL.
+
+The stores of these queries are made from the driver's tables: ``events`` as a changelog
+(an error deletes its user's key), its files by ranges of sequences, levels by age.
+"""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.functions import bloom, codec, keys
+from strata.operators import batch, blocks, cache, compact, files, manifest, mvcc, order
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# the views that queries and SQL share
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def changelog(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(
+        F.format_string("user%05d", "user_id").alias("user_key"),
+        (F.col("event_id") + 1).alias("seq"),
+        F.when(F.col("event_type") == "error", 0).otherwise(1).alias("vtype"),
+        F.col("props").alias("value"),
+        F.expr("cast(event_id div 500 as int)").alias("file_no"),
+    )
+
+
+def middle(log: DataFrame) -> int:
+    """The snapshot of the queries: half of the last sequence."""
+    return log.agg(F.max("seq")).head()[0] // 2
+
+
+def levelled(log: DataFrame) -> DataFrame:
+    """Entries with level and file: the newest four stretches are files of level 0, older ones are
+    cut by user at level 1 and 2."""
+    top = log.agg(F.max("file_no")).head()[0]
+    level = F.when(F.col("file_no") > top - 4, 0).when(F.col("file_no") > (top - 4) // 2, 1).otherwise(2)
+    deep = F.col("level") * 100000 + F.floor(F.substring("user_key", 5, 5).cast("long") / 10)
+    return log.withColumn("level", level.cast("long")).withColumn("file_no", F.when(F.col("level") == 0, F.col("file_no").cast("long")).otherwise(deep).cast("long"))
+
+
+def file_table(log: DataFrame) -> DataFrame:
+    return files.metadata(levelled(log), ["level", "file_no"])
+
+
+def key_ranges(log: DataFrame) -> DataFrame:
+    """A range of keys for each fifth user: from it to five further."""
+    users = log.select(F.substring("user_key", 5, 5).cast("long").alias("u")).distinct().where("u % 5 = 0")
+    return users.select(F.col("u").alias("range_no"), F.format_string("user%05d", "u").alias("low"), F.format_string("user%05d", F.col("u") + 5).alias("high"))
+
+
+CL = """cl AS (SELECT printf('user%05d', user_id) AS user_key, event_id + 1 AS seq,
+  CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS vtype, props AS value, CAST(event_id // 500 AS INTEGER) AS file_no FROM events)"""
+MID = "s AS (SELECT max(seq) // 2 AS snap FROM cl)"
+NEWEST = """nw AS (SELECT user_key, seq, vtype, value FROM
+  (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM cl) WHERE rn = 1)"""
+LIVE = "lv AS (SELECT user_key, seq, value FROM nw WHERE vtype = 1)"
+LEVELLED = """m AS (SELECT max(file_no) AS mf FROM cl),
+lc AS (SELECT user_key, seq, vtype, value, CAST(CASE WHEN file_no > mf - 4 THEN 0 WHEN file_no > floor((mf - 4) / 2) THEN 1 ELSE 2 END AS BIGINT) AS level, file_no AS stretch FROM cl, m),
+le AS (SELECT user_key, seq, vtype, value, level, CASE WHEN level = 0 THEN CAST(stretch AS BIGINT) ELSE level * 100000 + CAST(substr(user_key, 5) AS BIGINT) // 10 END AS file_no FROM lc),
+fs AS (SELECT level, file_no, min(user_key) AS smallest, max(user_key) AS largest, CAST(sum(length(user_key) + 8 + length(value)) AS BIGINT) AS file_size,
+  count(*) AS n_entries FROM le GROUP BY level, file_no)"""
+RANGES = """rg AS (SELECT u AS range_no, printf('user%05d', u) AS low, printf('user%05d', u + 5) AS high FROM
+  (SELECT DISTINCT CAST(substr(user_key, 5) AS BIGINT) AS u FROM cl) WHERE u % 5 = 0)"""
+W = f"WITH {CL}, "
+
+# reads
+
+
+@query(f"{W}{MID} SELECT user_key, max(seq) AS seq, arg_max(value, seq) AS value FROM cl, s WHERE user_key = 'user00003' AND seq <= snap GROUP BY user_key HAVING arg_max(vtype, seq) = 1")
+def kv_point_get(spark, d):
+    log = changelog(spark, d)
+    return mvcc.get(log, "user00003", middle(log))
+
+
+@query(f"""{W}{NEWEST}, p AS (SELECT printf('user%05d', r) AS user_key FROM range(0, 200, 7) t(r))
+SELECT p.user_key, CASE WHEN vtype = 1 THEN 'FOUND' WHEN vtype = 0 THEN 'DELETED' ELSE 'NOT_FOUND' END AS status, CASE WHEN vtype = 1 THEN value END AS value
+FROM p LEFT JOIN nw USING (user_key)""")
+def kv_multi_get_status(spark, d):
+    asked = spark.range(0, 200, 7).select(F.format_string("user%05d", "id").alias("user_key"))
+    return mvcc.multi_get(changelog(spark, d), asked)
+
+
+@query(f"""{W}{MID} SELECT user_key, max(seq) AS seq, arg_max(value, seq) AS value FROM cl, s WHERE seq <= snap GROUP BY user_key HAVING arg_max(vtype, seq) = 1""")
+def kv_snapshot_scan(spark, d):
+    log = changelog(spark, d)
+    return mvcc.scan(log, middle(log))
+
+
+@query(f"{W}{NEWEST}, {LIVE} SELECT * FROM lv")
+def kv_latest_scan(spark, d):
+    return mvcc.scan(changelog(spark, d))
+
+
+@query(f"""{W}p AS (SELECT user_key, seq - 25 AS snapshot FROM cl WHERE seq % 10 = 0),
+j AS (SELECT p.user_key, p.snapshot, max(c.seq) AS seq FROM p LEFT JOIN cl c ON c.user_key = p.user_key AND c.seq <= p.snapshot GROUP BY p.user_key, p.snapshot)
+SELECT j.user_key, j.snapshot, j.seq, c.vtype, c.value FROM j LEFT JOIN cl c ON c.user_key = j.user_key AND c.seq = j.seq""")
+def kv_as_of_join(spark, d):
+    log = changelog(spark, d)
+    probes = log.where("seq % 10 = 0").select("user_key", (F.col("seq") - 25).alias("snapshot"))
+    return mvcc.as_of(log, probes, width=1000)
+
+
+@query(f"{W}{NEWEST}, {LIVE} SELECT user_key, value, row_number() OVER (ORDER BY user_key DESC) AS position FROM lv")
+def kv_scan_reverse(spark, d):
+    live = mvcc.scan(changelog(spark, d))
+    return order.rank_all(live, "user_key", mvcc.key_bucket(7), "position", descending=True).select("user_key", "value", "position")
+
+
+@query(f"""{W}t AS (SELECT unnest(['', 'user00002x', 'user00007', 'user00013', 'user99999']) AS target)
+SELECT target, (SELECT min(user_key) FROM cl WHERE user_key >= target) AS user_key FROM t""")
+def kv_seek(spark, d):
+    return mvcc.seek(changelog(spark, d), ["", "user00002x", "user00007", "user00013", "user99999"])
+
+
+@query(f"{W}{NEWEST}, {LIVE} SELECT * FROM lv WHERE user_key >= 'user00003' AND user_key < 'user00012'")
+def kv_range_scan(spark, d):
+    return mvcc.scan(mvcc.key_range(changelog(spark, d), "user00003", "user00012"))
+
+
+@query(f"{W}{NEWEST}, {LIVE} SELECT * FROM lv WHERE starts_with(user_key, 'user0001')")
+def kv_prefix_scan(spark, d):
+    return mvcc.scan(mvcc.prefix_range(changelog(spark, d), "user0001"))
+
+
+@query(f"{W}{NEWEST}, {LIVE} SELECT user_key, lead(user_key) OVER (ORDER BY user_key) AS next_user_key, lag(user_key) OVER (ORDER BY user_key) AS prev_user_key FROM lv")
+def kv_next_prev(spark, d):
+    live = mvcc.scan(changelog(spark, d)).select("user_key")
+    return order.neighbours(live, "user_key", mvcc.key_bucket(7))
+
+
+@query(f"{W}x AS (SELECT 1) SELECT user_key, seq, vtype, value, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS newer_seq FROM cl")
+def kv_all_versions(spark, d):
+    return mvcc.all_versions(changelog(spark, d))
+
+
+@query(f"{W}{NEWEST}, {LIVE} SELECT min(user_key) AS first_key, max(user_key) AS last_key FROM lv")
+def kv_first_last(spark, d):
+    return mvcc.first_last(mvcc.scan(changelog(spark, d)))
+
+
+@query(f"""{W}u AS (SELECT user_key, seq, vtype, 0 AS source_no FROM cl WHERE file_no % 2 = 0 UNION ALL SELECT user_key, seq, vtype, 1 AS source_no FROM cl WHERE file_no % 2 = 1)
+SELECT * FROM u""")
+def kv_merge_sources(spark, d):
+    log = changelog(spark, d)
+    parts = [log.where(F.col("file_no") % 2 == i).select("user_key", "seq", "vtype") for i in (0, 1)]
+    return mvcc.in_internal_order(mvcc.merge_sources(parts))
+
+
+# batches
+
+
+def _records(spark, d):
+    log = changelog(spark, d)
+    return log.select(F.expr("(seq - 1) div 100").alias("batch_id"), F.expr("(seq - 1) % 100").alias("pos"), "user_key", "vtype", "value")
+
+
+REC = "rc AS (SELECT (seq - 1) // 100 AS batch_id, (seq - 1) % 100 AS pos, user_key, vtype, value FROM cl)"
+VLEN = "CASE WHEN length({0}) < 128 THEN 1 ELSE 2 END"
+
+
+@query(f"""{W}{REC}, b AS (SELECT batch_id, count(*) AS n FROM rc GROUP BY 1), o AS (SELECT batch_id, 7 + sum(n) OVER (ORDER BY batch_id) - n + 1 AS base_seq FROM b)
+SELECT batch_id, pos, CAST(base_seq AS BIGINT) AS base_seq, CAST(base_seq + row_number() OVER (PARTITION BY batch_id ORDER BY pos) - 1 AS BIGINT) AS seq FROM rc JOIN o USING (batch_id)""")
+def batch_assign_sequence(spark, d):
+    out = batch.assign_sequences(_records(spark, d), 7, F.floor(F.col("batch_id") / 64))
+    return out.select("batch_id", "pos", F.col("base_seq").cast("long"), F.col("seq").cast("long"))
+
+
+@query(f"""{W}{REC} SELECT batch_id, count(*) AS n_records, CAST(12 + sum(1 + {VLEN.format('user_key')} + length(user_key) + CASE WHEN vtype = 1 THEN {VLEN.format('value')} + length(value) ELSE 0 END) AS BIGINT) AS n_bytes
+FROM rc GROUP BY batch_id""")
+def batch_summary(spark, d):
+    return batch.summarise(_records(spark, d))
+
+
+@query(f"""{W}{REC}, h AS (SELECT DISTINCT batch_id, 100 + CASE WHEN batch_id % 5 = 0 THEN 1 ELSE 0 END AS told FROM rc),
+t AS (SELECT batch_id, count(*) AS n, count(*) FILTER (batch_id % 7 = 3 AND pos = 11) AS bad FROM rc GROUP BY batch_id)
+SELECT batch_id, CASE WHEN bad > 0 THEN 'unknown tag' WHEN n <> told THEN 'wrong count' ELSE 'ok' END AS status FROM h JOIN t USING (batch_id)""")
+def batch_validate(spark, d):
+    r = _records(spark, d)
+    headers = r.select("batch_id").distinct().withColumn("told", F.lit(100) + F.when(F.col("batch_id") % 5 == 0, 1).otherwise(0))
+    return batch.validate(headers, r.withColumn("vtype", F.when((F.col("batch_id") % 7 == 3) & (F.col("pos") == 11), 9).otherwise(F.col("vtype"))))
+
+
+@query(f"""{W}{REC}, a AS (SELECT batch_id, pos, user_key FROM rc WHERE pos < 60), z AS (SELECT batch_id, pos - 60 AS pos, user_key FROM rc WHERE pos >= 60),
+n AS (SELECT batch_id, max(pos) + 1 AS shift FROM a GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT batch_id, pos + coalesce(shift, 0), user_key FROM z LEFT JOIN n USING (batch_id)""")
+def batch_append(spark, d):
+    r = _records(spark, d).select("batch_id", "pos", "user_key")
+    return batch.append(r.where("pos < 60"), r.where("pos >= 60").withColumn("pos", F.col("pos") - 60))
+
+
+@query()
+def group_commit(spark, d):
+    docs = table(spark, d, "documents")
+    waiting = docs.select(F.pmod("doc_id", F.lit(16)).alias("queue"), F.col("doc_id").alias("pos"), (F.octet_length("text") * 16).cast("long").alias("n_bytes"), (F.col("doc_id") % 11 == 0).alias("sync"))
+    return batch.group_commit(waiting)
+
+
+# files
+
+
+@query(f"{W}{LEVELLED} SELECT level, file_no, smallest, largest, file_size, n_entries, greatest(100, file_size // 16384) AS allowed_seeks FROM fs")
+def file_metadata(spark, d):
+    return file_table(changelog(spark, d))
+
+
+@query(f"""{W}{LEVELLED} SELECT 'files[ ' || (SELECT string_agg(CAST((SELECT count(*) FROM fs WHERE level = i) AS VARCHAR), ' ' ORDER BY i) FROM range(0, 7) t(i)) || ' ]' AS summary""")
+def level_summary(spark, d):
+    return files.level_summary(file_table(changelog(spark, d)))
+
+
+@query(f"""{W}{LEVELLED}, c AS (SELECT level, count(*) AS n, sum(file_size) AS b FROM fs GROUP BY level),
+sc AS (SELECT level, CASE WHEN level = 0 THEN n / 4.0 ELSE CAST(b AS DOUBLE) / (10485760 * pow(10.0, level - 1)) END::DOUBLE AS score FROM c)
+SELECT level, score, score >= 1 AS due FROM sc ORDER BY score DESC, level LIMIT 1""")
+def level_score_pick(spark, d):
+    return files.pick_level(file_table(changelog(spark, d)))
+
+
+@query(f"""{W}{LEVELLED}, {RANGES} SELECT range_no, level, file_no FROM rg JOIN fs ON largest >= low AND smallest <= high""")
+def file_overlap_join(spark, d):
+    log = changelog(spark, d)
+    return files.range_matches(key_ranges(log), file_table(log)).select("range_no", "level", "file_no")
+
+
+@query(f"""{W}{LEVELLED}, o AS (SELECT *, max(largest) OVER (PARTITION BY level ORDER BY smallest, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fs),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR smallest > reach THEN 1 ELSE 0 END) OVER (PARTITION BY level ORDER BY smallest, file_no) AS island FROM o)
+SELECT level, CAST(island AS BIGINT) AS island, min(smallest) AS low, max(largest) AS high, count(*) AS n_files FROM i GROUP BY level, island""")
+def l0_overlap_closure(spark, d):
+    return files.islands(file_table(changelog(spark, d)))
+
+
+@query(f"""{W}{LEVELLED}, k AS (SELECT level, user_key FROM (SELECT DISTINCT user_key FROM cl), (SELECT unnest([1, 2])::BIGINT AS level))
+SELECT level, user_key, (SELECT arg_min(file_no, largest) FROM fs WHERE fs.level = k.level AND fs.largest >= k.user_key) AS file_no FROM k""")
+def find_file(spark, d):
+    log = changelog(spark, d)
+    asked = log.select("user_key").distinct().withColumn("level", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
+    return files.find_file(asked, file_table(log))
+
+
+@query(f"""{W}{LEVELLED}, k AS (SELECT DISTINCT user_key FROM cl)
+SELECT user_key, level, file_no, row_number() OVER (PARTITION BY user_key ORDER BY level, file_no DESC) AS probe_order FROM k JOIN fs ON user_key BETWEEN smallest AND largest""")
+def files_to_search(spark, d):
+    log = changelog(spark, d)
+    return files.files_to_search(log, file_table(log))
+
+
+@query(f"""{W}{RANGES}, b AS (SELECT user_key, sum(length(user_key) + 8 + length(value)) AS n FROM cl GROUP BY 1)
+SELECT range_no, CAST(coalesce((SELECT sum(n) FROM b WHERE user_key >= low AND user_key < high), 0) AS BIGINT) AS bytes FROM rg""")
+def approx_sizes(spark, d):
+    log = changelog(spark, d)
+    return files.approximate_sizes(key_ranges(log), log)
+
+
+@query(f"""{W}{LEVELLED} SELECT a.level, a.file_no, CAST(coalesce(sum(b.file_size), 0) AS BIGINT) AS overlap_bytes
+FROM fs a LEFT JOIN fs b ON b.level = a.level + 1 AND b.smallest <= a.largest AND b.largest >= a.smallest WHERE a.level > 0 GROUP BY 1, 2""")
+def next_level_overlap(spark, d):
+    return files.next_level_overlap(file_table(changelog(spark, d)))
+
+
+# manifest
+
+
+def _edits(spark, d):
+    e = table(spark, d, "events")
+    return e.select(
+        F.expr("event_id div 10").alias("edit_id"), F.expr("event_id % 10").alias("pos"), F.when(F.col("event_type").isin("click", "view", "purchase"), "add").otherwise("del").alias("kind"),
+        (F.col("user_id") % 7).alias("level"), (F.col("event_id") * 7919 % 211).alias("file_no"), (F.col("event_id") * 31).alias("file_size"),
+    )
+
+
+EDITS = """ed AS (SELECT event_id // 10 AS edit_id, event_id % 10 AS pos, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'add' ELSE 'del' END AS kind,
+  user_id % 7 AS level, event_id * 7919 % 211 AS file_no, event_id * 31 AS file_size FROM events),
+lf AS (SELECT level, file_no, file_size FROM (SELECT *, row_number() OVER (PARTITION BY level, file_no ORDER BY edit_id DESC, (kind = 'add') DESC, pos DESC) AS rn FROM ed) WHERE rn = 1 AND kind = 'add')"""
+
+
+@query(f"WITH {EDITS} SELECT level, file_no, file_size FROM lf")
+def manifest_replay(spark, d):
+    return manifest.replay(_edits(spark, d))
+
+
+NAMES = """nm AS (SELECT CASE WHEN event_id % 6 = 0 THEN printf('%06d.log', event_id) WHEN event_id % 6 = 1 THEN printf('%06d.ldb', event_id % 300) WHEN event_id % 6 = 2 THEN printf('MANIFEST-%06d', event_id)
+  WHEN event_id % 6 = 3 THEN printf('%06d.dbtmp', event_id) WHEN event_id = 4 THEN 'CURRENT' WHEN event_id = 5 THEN 'LOCK' WHEN event_id = 10 THEN 'LOG' WHEN event_id = 11 THEN 'LOG.old'
+  ELSE printf('x%d.txt', event_id) END AS name FROM events),
+ls AS (SELECT DISTINCT name, CASE WHEN regexp_full_match(name, '\\d+\\.log') THEN 'log' WHEN regexp_full_match(name, '\\d+\\.(ldb|sst)') THEN 'table' WHEN regexp_full_match(name, '\\d+\\.dbtmp') THEN 'temp'
+  WHEN regexp_full_match(name, 'MANIFEST-\\d+') THEN 'manifest' WHEN name = 'CURRENT' THEN 'current' WHEN name = 'LOCK' THEN 'lock' WHEN name IN ('LOG', 'LOG.old') THEN 'info' END AS kind FROM nm),
+pn AS (SELECT name, kind, CASE WHEN kind IS NULL THEN NULL WHEN kind IN ('log', 'table', 'temp', 'manifest') THEN CAST(regexp_extract(name, '(\\d+)', 1) AS BIGINT) ELSE 0 END AS number FROM ls)"""
+
+
+def _names(spark, d):
+    e = table(spark, d, "events")
+    i = F.col("event_id")
+    name = F.when(i % 6 == 0, F.format_string("%06d.log", i)).when(i % 6 == 1, F.format_string("%06d.ldb", i % 300)).when(i % 6 == 2, F.format_string("MANIFEST-%06d", i))
+    name = name.when(i % 6 == 3, F.format_string("%06d.dbtmp", i))
+    for at, fixed in ((4, "CURRENT"), (5, "LOCK"), (10, "LOG"), (11, "LOG.old")):
+        name = name.when(i == at, fixed)
+    return e.select(name.otherwise(F.format_string("x%d.txt", i)).alias("name")).distinct()
+
+
+@query(f"WITH {NAMES} SELECT * FROM pn")
+def file_name_parse(spark, d):
+    return manifest.parse_listing(_names(spark, d))
+
+
+@query(f"""WITH {EDITS}, {NAMES}, h AS (SELECT DISTINCT file_no FROM lf UNION SELECT 3 UNION SELECT 9)
+SELECT name, kind, number, CASE WHEN kind IN ('table', 'temp') THEN h.file_no IS NOT NULL WHEN kind = 'log' THEN number >= 600 OR number = 6 WHEN kind = 'manifest' THEN number >= 500 ELSE true END AS keep
+FROM pn LEFT JOIN h ON pn.number = h.file_no WHERE kind IS NOT NULL""")
+def live_obsolete_files(spark, d):
+    live, pending = manifest.replay(_edits(spark, d)), spark.createDataFrame([(3,), (9,)], "file_no long")
+    return manifest.classify(manifest.parse_listing(_names(spark, d)), live, pending, log_no=600, prev_log=6, manifest_no=500)
+
+
+@query(f"WITH {EDITS}, {NAMES} SELECT level, file_no FROM lf WHERE file_no NOT IN (SELECT number FROM pn WHERE kind = 'table')")
+def missing_files(spark, d):
+    return manifest.lost(manifest.replay(_edits(spark, d)), manifest.parse_listing(_names(spark, d))).select("level", "file_no")
+
+
+# compaction
+
+NEWER = "nr AS (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS p FROM cl)"
+
+
+@query(f"{W}{MID}, {NEWER} SELECT user_key, seq, vtype, value FROM nr, s WHERE p IS NULL OR p > snap")
+def compact_drop_hidden(spark, d):
+    log = changelog(spark, d)
+    return compact.drop_hidden(log, middle(log)).select("user_key", "seq", "vtype", "value")
+
+
+@query(f"""{W}{MID}, dp AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM cl WHERE file_no < 1 AND user_key < 'user00008' GROUP BY 1),
+nr AS (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS p FROM cl WHERE file_no >= 1)
+SELECT user_key, seq, vtype, value FROM nr, s WHERE (p IS NULL OR p > snap) AND NOT (vtype = 0 AND seq <= snap AND NOT EXISTS (SELECT 1 FROM dp WHERE nr.user_key BETWEEN lo AND hi))""")
+def compact_drop_tombstones(spark, d):
+    log = changelog(spark, d)
+    deeper = files.metadata(log.where("file_no < 1 and user_key < 'user00008'"), ["file_no"])
+    return compact.drop_obsolete(log.where("file_no >= 1"), middle(log), deeper).select("user_key", "seq", "vtype", "value")
+
+
+GRAND = """gp AS (SELECT a.level, a.file_no, count(DISTINCT CASE WHEN b.level = a.level + 1 THEN b.file_no END) AS n_next,
+  CAST(coalesce(sum(CASE WHEN b.level = a.level + 2 THEN b.file_size END), 0) AS BIGINT) AS grandparent_bytes
+  FROM fs a LEFT JOIN fs b ON b.level IN (a.level + 1, a.level + 2) AND b.smallest <= a.largest AND b.largest >= a.smallest GROUP BY 1, 2)"""
+
+
+@query(f"{W}{LEVELLED}, {GRAND} SELECT level, file_no, n_next, grandparent_bytes, n_next = 0 AND grandparent_bytes <= 20971520 AS trivial FROM gp")
+def compact_trivial_move(spark, d):
+    f = file_table(changelog(spark, d)).select("level", "file_no", "smallest", "largest", "file_size")
+    below = f.select(F.col("level").alias("l2"), F.col("file_no").alias("f2"), F.col("smallest").alias("lo"), F.col("largest").alias("hi"), F.col("file_size").alias("bytes"))
+    met = f.join(below, (F.col("l2") - F.col("level")).isin(1, 2) & (F.col("lo") <= F.col("largest")) & (F.col("hi") >= F.col("smallest")), "left").groupBy("level", "file_no")
+    inputs = met.agg(
+        F.count_if(F.col("l2") == F.col("level") + 1).alias("n_next"), F.coalesce(F.sum(F.when(F.col("l2") == F.col("level") + 2, F.col("bytes"))), F.lit(0)).cast("long").alias("grandparent_bytes")
+    ).withColumn("n_inputs", F.lit(1))
+    return compact.trivial_moves(inputs).drop("n_inputs")
+
+
+@query(f"""{W}{LEVELLED}, r AS (SELECT *, sum(file_size) OVER (PARTITION BY level ORDER BY smallest, file_no) - file_size AS before FROM fs WHERE level > 0)
+SELECT level, file_no, CAST(before AS BIGINT) AS bytes_before FROM r WHERE before < 3000""")
+def compact_limit_inputs(spark, d):
+    from pyspark.sql.window import Window
+
+    f = file_table(changelog(spark, d)).where("level > 0")
+    total = F.sum("file_size").over(Window.partitionBy("level").orderBy("smallest", "file_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return f.withColumn("bytes_before", total - F.col("file_size")).where("bytes_before < 3000").select("level", "file_no", "bytes_before")
+
+
+@query(f"""{W}{LEVELLED} SELECT level, coalesce(arg_min(file_no, smallest) FILTER (largest > 'user00012'), arg_min(file_no, smallest)) AS file_no FROM fs WHERE level > 0 GROUP BY level""")
+def compact_pointer_pick(spark, d):
+    f = file_table(changelog(spark, d)).where("level > 0")
+    after = F.min_by("file_no", F.when(F.col("largest") > "user00012", F.col("smallest")))
+    return f.groupBy("level").agg(F.coalesce(after, F.min_by("file_no", "smallest")).alias("file_no"))
+
+
+@query(f"""{W}r AS (SELECT user_key, seq, length(user_key) + 8 + length(value) AS n, sum(length(user_key) + 8 + length(value)) OVER (ORDER BY user_key, seq DESC) AS upto FROM cl)
+SELECT user_key, seq, CAST((upto - n) // 4096 AS BIGINT) AS output_no FROM r""")
+def compact_split_outputs(spark, d):
+    log = changelog(spark, d).select("user_key", "seq", "value")
+    return compact.split_by_size(log, mvcc.key_bucket(9), 4096).select("user_key", "seq", "output_no")
+
+
+@query()
+def compact_grandparent_split(spark, d):
+    log = changelog(spark, d)
+    grand = sorted((r["largest"], r["file_size"]) for r in file_table(log).where("level = 2").collect())
+    rows = levelled(log).where("level = 1").select(F.col("file_no").alias("compaction"), "user_key", "seq")
+    return compact.grandparent_cuts(rows, grand, cap=600)
+
+
+@query(f"""{W}{LEVELLED}, {RANGES},
+b AS (SELECT range_no, coalesce(sum(file_size) FILTER (level = 0), 0) AS b0, coalesce(sum(file_size) FILTER (level = 1), 0) AS b1, coalesce(sum(file_size) FILTER (level = 2), 0) AS b2,
+  coalesce(sum(file_size) FILTER (level = 3), 0) AS b3 FROM rg LEFT JOIN fs ON largest >= low AND smallest <= high AND file_no % 3 = 0 GROUP BY range_no)
+SELECT range_no, CAST(CASE WHEN b0 > 0 THEN 0 WHEN b1 > 0 OR b2 > 2000 THEN 0 WHEN b2 > 0 OR b3 > 2000 THEN 1 ELSE 2 END AS BIGINT) AS level FROM b""")
+def memtable_output_level(spark, d):
+    log = changelog(spark, d)
+    return compact.memtable_levels(key_ranges(log), file_table(log).where("file_no % 3 = 0"), cap=2000)
+
+
+@query(f"""{W}{LEVELLED}, k AS (SELECT seq AS probe_no, user_key FROM cl WHERE seq % 3 = 0),
+p AS (SELECT probe_no, file_no, row_number() OVER (PARTITION BY probe_no ORDER BY level, file_no DESC) AS o FROM k JOIN fs ON user_key BETWEEN smallest AND largest),
+f AS (SELECT probe_no, count(*) AS n, arg_min(file_no, o) AS file_no FROM p GROUP BY 1 HAVING count(*) > 1), c AS (SELECT file_no, count(*) AS charges FROM f GROUP BY 1)
+SELECT file_no, greatest(100, file_size // 16384) AS allowed_seeks, charges, charges >= greatest(100, file_size // 16384) AS exhausted FROM fs JOIN c USING (file_no)""")
+def seek_budget(spark, d):
+    log = changelog(spark, d)
+    f = file_table(log)
+    where = files.files_to_search(log, f)
+    probes = log.where("seq % 3 = 0").select(F.col("seq").alias("probe_no"), "user_key").join(where, "user_key")
+    return cache.seek_charges(probes.select("probe_no", "file_no", "probe_order"), f)
+
+
+# codecs
+
+NUM = "v AS (SELECT event_id, event_id * event_id * 997 AS x FROM events)"
+
+
+def _numbers(spark, d):
+    return table(spark, d, "events").select("event_id", (F.col("event_id") * F.col("event_id") * 997).alias("x"))
+
+
+def _duck_varint(x: str) -> str:
+    parts = [f"CASE WHEN {i} = 0 OR ({x} >> {7 * i}) > 0 THEN lpad(to_hex((({x} >> {7 * i}) & 127) + CASE WHEN ({x} >> {7 * i + 7}) > 0 THEN 128 ELSE 0 END), 2, '0') ELSE '' END" for i in range(8)]
+    return "upper(" + " || ".join(parts) + ")"
+
+
+@query(f"WITH {NUM} SELECT event_id, {_duck_varint('x')} AS encoded FROM v")
+def varint_encode(spark, d):
+    return _numbers(spark, d).select("event_id", F.hex(codec.varint(F.col("x"))).alias("encoded"))
+
+
+@query(f"WITH {NUM} SELECT event_id, x AS decoded FROM v")
+def varint_decode(spark, d):
+    return _numbers(spark, d).select("event_id", codec.read_varint(codec.varint(F.col("x"))).alias("decoded"))
+
+
+@query(f"WITH {NUM} SELECT event_id, CAST(length({_duck_varint('x')}) // 2 AS INTEGER) AS n FROM v")
+def varint_length(spark, d):
+    return _numbers(spark, d).select("event_id", codec.varint_length(F.col("x")).alias("n"))
+
+
+def _duck_fixed(x: str, width: int) -> str:
+    return "upper(" + " || ".join(f"lpad(to_hex(({x} >> {8 * i}) & 255), 2, '0')" for i in range(width)) + ")"
+
+
+@query(f"WITH {NUM} SELECT event_id, {_duck_fixed('(x & 4294967295)', 4)} AS fixed32, {_duck_fixed('x', 8)} AS fixed64, x AS decoded FROM v")
+def fixed_encode(spark, d):
+    x = F.col("x")
+    return _numbers(spark, d).select("event_id", F.hex(codec.fixed(x, 4)).alias("fixed32"), F.hex(codec.fixed(x, 8)).alias("fixed64"), codec.read_fixed(codec.fixed(x, 8), 8).alias("decoded"))
+
+
+@query(f"{W}k AS (SELECT user_key, seq, vtype, value, seq * 256 + vtype AS tag FROM cl) SELECT seq, upper(hex(user_key)) || {_duck_fixed('tag', 8)} AS encoded FROM k")
+def internal_key_encode(spark, d):
+    return changelog(spark, d).select("seq", F.hex(keys.internal_key(F.col("user_key").cast("binary"), F.col("seq"), F.col("vtype"))).alias("encoded"))
+
+
+@query(f"{W}x AS (SELECT 1) SELECT seq * 256 + vtype AS tag, seq, vtype, true AS is_valid FROM cl")
+def tag_unpack(spark, d):
+    log = changelog(spark, d)
+    encoded = log.select(keys.pack_tag(F.col("seq"), F.col("vtype")).alias("tag"), keys.parse_internal_key(keys.internal_key(F.col("user_key").cast("binary"), F.col("seq"), F.col("vtype"))).alias("k"))
+    return encoded.select("tag", "k.seq", "k.vtype", "k.is_valid")
+
+
+@query(f"{W}x AS (SELECT 1) SELECT seq, lpad(upper(to_hex(length(value))), 2, '0') || upper(hex(value)) AS encoded, value AS decoded FROM cl")
+def length_prefix(spark, d):
+    b = codec.length_prefixed(F.col("value").cast("binary"))
+    return changelog(spark, d).select("seq", F.hex(b).alias("encoded"), codec.read_length_prefixed(b).cast("string").alias("decoded"))
+
+
+BYTES = "list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))"
+CRC_TABLE = "[" + ", ".join(map(str, codec._crc_table())) + "]"
+CRC = f"""cr AS (SELECT seq, xor(list_reduce({BYTES.format("(user_key || '=' || value)")}, lambda c, b: xor(tb[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS crc
+  FROM cl, (SELECT {CRC_TABLE}::BIGINT[] AS tb))"""
+
+
+@query(f"{W}{CRC} SELECT seq, crc FROM cr")
+def crc32c_value(spark, d):
+    return changelog(spark, d).select("seq", codec.crc32c(F.concat("user_key", F.lit("="), "value").cast("binary")).alias("crc"))
+
+
+@query(f"{W}{CRC} SELECT seq, (((crc >> 15) | ((crc & 32767) << 17)) + 2726488792) & 4294967295 AS masked, crc AS unmasked FROM cr")
+def crc32c_masked(spark, d):
+    extended = codec.crc32c(F.concat(F.lit("="), "value").cast("binary"), codec.crc32c(F.col("user_key").cast("binary")))
+    masked = changelog(spark, d).select("seq", codec.mask_crc(extended).alias("masked"))
+    return masked.withColumn("unmasked", codec.unmask_crc(F.col("masked")))
+
+
+def _duck_hash(source: str, key: str, seed: int, into: str) -> str:
+    """CTEs that hash the keys of ``source(key)`` into ``into(key, h)``."""
+    m, mask = codec.HASH_MULTIPLIER, codec.MASK32
+    mul = lambda x: f"((({x} & 65535) * {m} + (((({x} >> 16) * {m}) & 65535) << 16)) & {mask})"
+    step = f"list_transform([{mul(f'((h + w) & {mask})')}], lambda y: xor(y, y >> 16))[1]"
+    return f"""{into}_a AS (SELECT DISTINCT {key} AS k, {BYTES.format(key)} AS b FROM {source}),
+{into}_b AS (SELECT k, b, list_transform(range(0, len(b) // 4), lambda j: b[4 * j + 1] + 256 * b[4 * j + 2] + 65536 * b[4 * j + 3] + 16777216 * b[4 * j + 4]) AS ws, xor({seed}::BIGINT, {mul('CAST(len(b) AS BIGINT)')}) AS h0 FROM {into}_a),
+{into}_c AS (SELECT k, b, CASE WHEN len(ws) = 0 THEN h0 ELSE list_reduce(ws, lambda h, w: {step}, h0) END AS h, len(b) % 4 AS r, len(b) - len(b) % 4 AS q FROM {into}_b),
+{into}_d AS (SELECT k, h, r, {mul(f'((h + coalesce(b[q + 1], 0) + 256 * coalesce(b[q + 2], 0) + 65536 * coalesce(b[q + 3], 0)) & {mask})')} AS t FROM {into}_c),
+{into} AS (SELECT k, CASE WHEN r = 0 THEN h ELSE xor(t, t >> 24) END AS h FROM {into}_d)"""
+
+
+@query(f"WITH ks AS (SELECT 'k' || event_id || substr(event_type, 1, 1 + CAST(event_id % 4 AS INTEGER)) AS key FROM events), {_duck_hash('ks', 'key', codec.HASH_SEED, 'hs')} SELECT k AS key, h FROM hs")
+def kv_hash(spark, d):
+    key = F.concat(F.lit("k"), F.col("event_id").cast("string"), F.substring(F.col("event_type"), F.lit(1), (F.lit(1) + F.col("event_id") % 4).cast("int")))
+    return table(spark, d, "events").select(key.alias("key")).select("key", codec.hash32(F.col("key").cast("binary")).alias("h"))
+
+
+@query(f"{W}{_duck_hash('cl', 'user_key', 0, 'hs')} SELECT k AS user_key, h >> 28 AS shard FROM hs")
+def cache_shard(spark, d):
+    return changelog(spark, d).select("user_key").distinct().select("user_key", codec.shard_of(F.col("user_key").cast("binary")).alias("shard"))
+
+
+def _duck_positions(bits: str) -> str:
+    return f"list_transform(range(0, 6), lambda j: ((h + j * ((h >> 17) | ((h << 15) & {codec.MASK32}))) & {codec.MASK32}) % {bits})"
+
+
+BLOOM = f"""{_duck_hash('cl', 'user_key', codec.HASH_SEED, 'hs')}, fk AS (SELECT DISTINCT file_no, user_key FROM cl),
+fb AS (SELECT file_no, CAST(ceil(greatest(count(*) * 10, 64) / 8.0) AS BIGINT) * 8 AS bits FROM fk GROUP BY 1),
+fp AS (SELECT file_no, bits, unnest({_duck_positions('bits')}) AS p FROM fk JOIN fb USING (file_no) JOIN hs ON k = user_key),
+ft AS (SELECT file_no, bits, p // 8 AS byte_no, bit_or(1 << CAST(p % 8 AS BIGINT)) AS byte_value FROM fp GROUP BY 1, 2, 3)"""
+
+
+def _file_keys(spark, d):
+    return changelog(spark, d).select(F.col("file_no"), "user_key").distinct()
+
+
+@query(f"{W}{BLOOM} SELECT file_no, bits, byte_no, CAST(byte_value AS BIGINT) AS byte_value FROM ft")
+def bloom_build(spark, d):
+    return bloom.build(_file_keys(spark, d), ["file_no"])
+
+
+@query(f"""{W}{BLOOM}, pr AS (SELECT file_no, user_key FROM (SELECT DISTINCT file_no FROM cl), (SELECT printf('user%05d', r) AS user_key FROM range(0, 3000, 37) t(r))),
+{_duck_hash('pr', 'user_key', codec.HASH_SEED, 'hp')}, pp AS (SELECT file_no, user_key, unnest({_duck_positions('bits')}) AS p FROM pr JOIN fb USING (file_no) JOIN hp ON k = user_key)
+SELECT pp.file_no, user_key, bool_and(coalesce((byte_value >> CAST(p % 8 AS BIGINT)) & 1, 0) = 1) AS may_match FROM pp LEFT JOIN ft ON ft.file_no = pp.file_no AND byte_no = p // 8 GROUP BY 1, 2""")
+def bloom_probe(spark, d):
+    log = _file_keys(spark, d)
+    asked = log.select("file_no").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2999), F.lit(37)))).select("file_no", F.format_string("user%05d", "n").alias("user_key"))
+    return bloom.probe(asked, bloom.build(log, ["file_no"]), ["file_no"])
+
+
+@query(f"""{W}o AS (SELECT user_key, sum(length(user_key) + 8 + length(value)) OVER (ORDER BY user_key, seq DESC) - (length(user_key) + 8 + length(value)) AS off FROM cl)
+SELECT CAST(off // 2048 AS BIGINT) AS filter_no, count(DISTINCT user_key) AS n_keys FROM o GROUP BY 1""")
+def bloom_by_offset_window(spark, d):
+    log = changelog(spark, d).withColumn("neg", -F.col("seq"))
+    size = (F.octet_length("user_key") + 8 + F.octet_length("value")).cast("long")
+    placed = order.running_total(log.withColumn("n", size), ["user_key", "neg"], mvcc.key_bucket(9), F.col("n"), "upto")
+    window = bloom.window_of(F.col("upto") - F.col("n"))
+    return placed.select(window.alias("filter_no"), "user_key").groupBy("filter_no").agg(F.countDistinct("user_key").alias("n_keys"))
+
+
+PAIRS = "pr AS (SELECT p_partkey, p_name || p_brand AS a, coalesce(lead(p_name || p_brand) OVER (PARTITION BY p_size ORDER BY p_name || p_brand, p_partkey), 'zz') AS b FROM part)"
+
+
+def _pairs(spark, d):
+    from pyspark.sql.window import Window
+
+    a = F.concat("p_name", "p_brand")
+    nxt = F.lead(a).over(Window.partitionBy("p_size").orderBy(a, "p_partkey"))
+    return table(spark, d, "part").select("p_partkey", a.alias("a"), F.coalesce(nxt, F.lit("zz")).alias("b"))
+
+
+@query(f"""WITH {PAIRS}, q AS (SELECT p_partkey, a, b, list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))[1] AS i FROM pr)
+SELECT p_partkey, CASE WHEN i IS NOT NULL AND ascii(substr(a, i, 1)) + 1 < ascii(substr(b, i, 1)) THEN substr(a, 1, i - 1) || chr(ascii(substr(a, i, 1)) + 1) ELSE a END AS separator FROM q""")
+def shortest_separator(spark, d):
+    return _pairs(spark, d).select("p_partkey", keys.shortest_separator(F.col("a").cast("binary"), F.col("b").cast("binary")).cast("string").alias("separator"))
+
+
+@query(f"WITH {PAIRS} SELECT p_partkey, chr(ascii(substr(a, 1, 1)) + 1) AS successor FROM pr")
+def short_successor(spark, d):
+    return _pairs(spark, d).select("p_partkey", keys.short_successor(F.col("a").cast("binary")).cast("string").alias("successor"))
+
+
+# blocks
+
+URLS = """ur AS (SELECT page_id % 8 AS grp, printf('%s|%08d', url, page_id) AS user_key FROM pages),
+ro AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY user_key) - 1 AS rn, lag(user_key) OVER (PARTITION BY grp ORDER BY user_key) AS pk FROM ur)"""
+
+
+def _urls(spark, d):
+    p = table(spark, d, "pages")
+    return p.select((F.col("page_id") % 8).alias("grp"), F.format_string("%s|%08d", "url", "page_id").alias("user_key"), F.substring("html", 1, 200).alias("value"))
+
+
+@query(f"""WITH {URLS}, sh AS (SELECT grp, user_key, rn % 16 = 0 AS restart, CASE WHEN rn % 16 = 0 THEN 0
+  ELSE coalesce(list_filter(range(1, least(length(pk), length(user_key)) + 1), lambda i: substr(pk, i, 1) <> substr(user_key, i, 1))[1] - 1, least(length(pk), length(user_key))) END AS shared FROM ro)
+SELECT grp, user_key, restart, CAST(shared AS INTEGER) AS shared, substr(user_key, CAST(shared AS INTEGER) + 1) AS suffix FROM sh""")
+def block_prefix_delta(spark, d):
+    return blocks.prefix_deltas(_urls(spark, d).select("grp", "user_key"), "grp")
+
+
+@query(f"WITH {URLS} SELECT grp, count(*) FILTER (rn % 16 = 0) AS restarts FROM ro GROUP BY grp")
+def block_restarts(spark, d):
+    deltas = blocks.prefix_deltas(_urls(spark, d).select("grp", "user_key"), "grp")
+    return deltas.groupBy("grp").agg(F.count_if("restart").alias("restarts"))
+
+
+@query()
+def block_cut(spark, d):
+    cut = blocks.cut_blocks(_urls(spark, d), "grp")
+    return cut.groupBy("grp", "block_no").agg(F.count(F.lit(1)).alias("n_entries"))
+
+
+@query()
+def block_index(spark, d):
+    return blocks.block_index(blocks.cut_blocks(_urls(spark, d), "grp"), "grp").select("grp", "block_no", "n_entries", F.col("index_key").cast("string").alias("index_key"))
+
+
+# logs, caches, streams, stores
+
+
+@query()
+def wal_fragments(spark, d):
+    """Fragments of a log of the documents' texts, in order of their ids, one log for each source."""
+    from strata.sources import wal
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        rows = [(pdf["doc_id"][r], *x) for r, *x in wal.fragments(pdf["n"].tolist())]
+        return pd.DataFrame(rows, columns=["doc_id", "kind", "at", "start", "length"]).assign(source=pdf["source"][0])
+
+    sized = table(spark, d, "documents").select("source", "doc_id", F.octet_length("text").alias("n"))
+    return sized.groupBy("source").applyInPandas(run, "doc_id long, kind long, at long, start long, length long, source string")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local[")
+        root = f"file://{tempfile.mkdtemp(prefix='strata-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query()
+def wal_scan_corruption(spark, d):
+    """A log with one damaged byte in each third block, read back: what is kept and what is dropped."""
+    import pandas as pd
+
+    from strata.sources import wal
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", ignore_index=True)
+        data = bytearray(wal.encode([v.encode() for v in pdf["value"]]))
+        for at in range(1000, len(data), 3 * wal.BLOCK):
+            data[at] ^= 0x55
+        rows = [(p is not None, n, why) for p, n, why in wal.decode(bytes(data))]
+        return pd.DataFrame(rows, columns=["is_record", "dropped_bytes", "reason"]).assign(log_no=pdf["log_no"][0])
+
+    rows = changelog(spark, d).select((F.col("seq") % 4).alias("log_no"), "seq", "value")
+    found = rows.groupBy("log_no").applyInPandas(run, "is_record boolean, dropped_bytes long, reason string, log_no long")
+    return found.groupBy("log_no", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("dropped_bytes").alias("dropped_bytes"))
+
+
+@query("""WITH a AS (SELECT event_id AS t, user_id AS k FROM events WHERE event_id < 1500), p AS (SELECT t, k, lag(t) OVER (PARTITION BY k ORDER BY t) AS pt FROM a),
+sd AS (SELECT p.t, count(DISTINCT b.k) AS dist FROM p JOIN a b ON b.t > p.pt AND b.t < p.t GROUP BY p.t)
+SELECT p.t, CASE WHEN p.pt IS NULL THEN 'cold' WHEN coalesce(sd.dist, 0) < 64 THEN 'hit' ELSE 'miss' END AS state FROM p LEFT JOIN sd ON p.t = sd.t""")
+def cache_lru_trace(spark, d):
+    trace = table(spark, d, "events").where("event_id < 1500").select(F.lit(0).alias("shard"), F.col("event_id").alias("t"), F.col("user_id").alias("key"))
+    return cache.lru_trace(trace, 64).select("t", "state")
+
+
+@query(_SQL["kv_latest_scan"])
+def stream_live_table(spark, d):
+    """The changelog written as several files, followed as a stream to its end."""
+    from strata.streaming import live
+
+    at = _scratch(spark)
+    log = changelog(spark, d).drop("file_no")
+    log.repartition(4, F.col("seq") % 4).write.parquet(f"{at}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/log")
+    live.follow(stream, f"{at}/table", f"{at}/state").awaitTermination()
+    return live.live(spark, f"{at}/table")
+
+
+@query(_SQL["kv_latest_scan"])
+def store_round_trip(spark, d):
+    """The changelog written to a store in four batches, compacted, opened again and scanned."""
+    from strata.sources.store import Store
+
+    at = f"{_scratch(spark)}/store"
+    log = changelog(spark, d)
+    top = log.agg(F.max("seq")).head()[0]
+    with Store.open(spark, at) as store:
+        for i in range(4):
+            part = log.where((F.col("seq") > top * i // 4) & (F.col("seq") <= top * (i + 1) // 4))
+            store.write(part.select(F.col("seq").alias("pos"), "user_key", "vtype", "value"))
+        store.compact()
+    scanned = Store.open(spark, at).scan()
+    return scanned.select(F.col("user_key").cast("string").alias("user_key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@query(f"{W}x AS (SELECT 1) SELECT user_key, seq, vtype, value FROM cl")
+def table_file_scan(spark, d):
+    """The changelog written to table files in their byte format and read back as a data source."""
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from strata.sources import sst
+
+    at = f"{_scratch(spark)}/tables"
+
+    def write(batches):
+        entries = [(k.encode() + (s << 8 | t).to_bytes(8, "little"), v.encode(), k, s) for b in batches for k, s, t, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        entries.sort(key=lambda e: (e[2], -e[3]))
+        if entries:
+            files_, base = fs.FileSystem.from_uri(at)
+            files_.create_dir(base, recursive=True)
+            name = f"{uuid.uuid4().int % 10**9:09d}.ldb"
+            with files_.open_output_stream(f"{base}/.{name}") as f:
+                f.write(sst.encode_table([(k, v) for k, v, *_ in entries]))
+            files_.move(f"{base}/.{name}", f"{base}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": [len(entries)]})
+
+    log = changelog(spark, d).select("user_key", "seq", "vtype", "value")
+    log.repartition(4, "user_key").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    spark.dataSource.register(sst.TableSource)
+    found = spark.read.format("strata_table").load(at)
+    return found.select(F.col("user_key").cast("string").alias("user_key"), "seq", "vtype", F.col("value").cast("string").alias("value"))
