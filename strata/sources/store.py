@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,7 +166,7 @@ class Store:
 
     def _write_files(self, entries: DataFrame, level: int, partitions: int) -> list[dict]:
         """Write entries in key order; one manifest row for each Parquet file."""
-        folder = f"data/{self.next_file:06d}"
+        folder = f"data/{self.next_file:06d}-{uuid.uuid4().hex[:8]}"  # writers may race for a number, never for a folder
         self.next_file += 1
         order = ["user_key", F.col("seq").desc()]
         placed = entries.repartitionByRange(partitions, "user_key") if partitions > 1 else entries.coalesce(1)
