@@ -8,6 +8,7 @@ longest partner that fits; smaller pieces then go to the bin with the tightest g
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -83,7 +84,9 @@ class WordTokenizer:
     def _learn(self, missing: list[str]) -> None:
         plain, others = [], {}
         for w in missing:
-            if m := PLAIN.fullmatch(w):
+            if w.isascii() and w.isalpha():
+                plain.append((w, w.lower(), ""))
+            elif m := PLAIN.fullmatch(w):
                 core, marks = m[1].lower(), m[2]
                 plain.append((w, core, marks))
                 if marks not in self.known:
@@ -114,6 +117,8 @@ class WordTokenizer:
         whole = pc.fill_null(texts, "").cast(pa.large_string())
         if not pc.any(pc.match_substring(whole, "<|")).as_py():  # the marks of special tokens stay with their letters
             whole = pc.replace_substring_regex(whole, LAST_MARKS, r"\1 \2 ")
+            latin = pc.invert(pc.match_substring_regex(whole, r"[^\x00-\x{FF}]"))
+            whole = pc.if_else(latin, pc.utf8_lower(whole), whole)  # within Latin-1 as the tokenizer does; it makes fewer words
         split = pc.split_pattern_regex(whole, r"[\x20\x09-\x0D]+")
         each = split.flatten().dictionary_encode()
         index, ids = each.indices.to_numpy(), self.ids_of_words(each.dictionary.to_pylist())
@@ -149,6 +154,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PIECES.split(", ")]
+        gc.disable()  # tuples of ids make no cycles, and there are many for the collector to walk
         for b in batches:
             tok, rows = _tokenizer(path), []
             for some in _slices(b):
