@@ -132,11 +132,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
+def _count(spans: Column, number: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["n"] == number))
+
+
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans of every row."""
     found = find_secrets(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     spans = F.col("secrets")
-    counts = [F.size(F.filter(spans, lambda x, i=i: x["n"] == i)).cast("long").alias(f"n_{RULES[i].kind}") for i in range(BASE)]
+    counts = [_count(spans, i).cast("long").alias(f"n_{RULES[i].kind}") for i in range(BASE)]
     return found.select(
         "doc_id", *counts, F.sha2(_joined(F.filter(spans, lambda x: x["n"] < BASE)), 256).alias("base_sha256"), _joined(spans).alias("spans")
     )
