@@ -155,8 +155,9 @@ def decode_batch(data: bytes) -> list[tuple[int, int, bytes, bytes | None]]:
     return out
 
 
-def replay(logs: DataFrame) -> DataFrame:
-    """Log records -> changelog rows; batches that do not decode are rows with a reason."""
+def replay(logs: DataFrame, paranoid: bool = False) -> DataFrame:
+    """Log records -> changelog rows. What does not decode is a row with a reason, or, if ``paranoid``,
+    fails the job, as does any stretch that the reader dropped."""
     schema = "user_key binary, seq long, vtype int, value binary, reason string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +167,21 @@ def replay(logs: DataFrame) -> DataFrame:
                 try:
                     rows += [(k, s, t, v, None) for s, t, k, v in decode_batch(payload)]
                 except ValueError as e:
+                    if paranoid:
+                        raise
                     rows.append((None, None, None, None, str(e)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
+    if paranoid:
+        why = F.concat(F.lit("log damaged: "), F.col("reason"))
+        logs = logs.withColumn("payload", F.when(F.col("reason").isNotNull(), F.raise_error(why).cast("binary")).otherwise(F.col("payload")))
     return logs.where(F.col("payload").isNotNull()).select("payload").mapInArrow(run, schema)
+
+
+def recover(spark: SparkSession, folder: str, min_log: int, prev_log: int = 0, paranoid: bool = False) -> DataFrame:
+    """The changelog rows of all logs of a folder that the manifest has not made obsolete."""
+    number = F.regexp_extract("path", r"(\d+)\.log$", 1).cast("long")
+    logs = read_logs(spark, f"{folder}/*.log").withColumn("number", number)
+    return replay(logs.where((F.col("number") >= min_log) | (F.col("number") == prev_log)), paranoid)

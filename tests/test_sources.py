@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.schema import Options
-from strata.sources import sst, wal
+from strata.operators import manifest
+from strata.sources import edits, filterblock, sst, wal
 from strata.sources.store import Store, StoreError
 from strata.streaming import live
 
@@ -151,3 +152,43 @@ def test_stream(spark, tmp_path):
     for i in range(1, 200):
         want[f"k{i % 7}"] = str(i) if i % 5 else None
     assert {r["user_key"]: r["value"] for r in live.live(spark, f"{tmp_path}/table").collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_edits(spark, tmp_path):
+    one = [("comparator", b"bytewise"), ("log", 3), ("next_file", 9), ("last_seq", 100), ("add", 0, 4, 100, b"a", b"c"), ("add", 1, 5, 10, b"d", b"e")]
+    two = [("compact_ptr", 1, b"e"), ("del", 0, 4), ("add", 1, 6, 70, b"a", b"c"), ("prev_log", 0), ("last_seq", 130)]
+    assert edits.decode(edits.encode(one)) == one and edits.decode(edits.encode(two)) == two
+    for bad, why in ((b"\x63", "unknown tag"), (edits.encode(two)[:-1], "bad last_seq"), (edits.encode(one)[:5], "bad comparator")):
+        with pytest.raises(ValueError, match=why):
+            edits.decode(bad)
+    (tmp_path / "MANIFEST-000001").write_bytes(wal.encode([edits.encode(one), edits.encode(two), b"\x63"]))
+    rows = edits.read_edits(wal.read_logs(spark, f"{tmp_path}/MANIFEST-*"))
+    assert [r["reason"] for r in rows.where("reason is not null").collect()] == ["unknown tag"]
+    assert sorted(r["file_no"] for r in manifest.replay(rows).collect()) == [5, 6]
+    assert {r["kind"]: r["num"] for r in manifest.numbers(rows).collect()} == {"log": 3, "next_file": 9, "last_seq": 130, "prev_log": 0}
+    assert manifest.missing(rows).count() == 0 and manifest.pointers(rows).head()["pointer"] == b"e".hex()
+
+
+def test_filter_blocks():
+    assert filterblock.encode([]).hex() == "000000000b"
+    keys = [[b"foo", b"bar"], [b"box"], [], [b"hello"]]
+    data = filterblock.encode(list(zip((0, 2000, 3100, 9000), keys, strict=True)))
+    assert filterblock.block_may_match(data, 0, b"foo") and filterblock.block_may_match(data, 2000, b"box") and filterblock.block_may_match(data, 9000, b"hello")
+    assert not filterblock.block_may_match(data, 0, b"hello") and not filterblock.block_may_match(data, 4100, b"foo") and not filterblock.block_may_match(data, 9000, b"foo")
+    assert filterblock.block_may_match(data, 10**6, b"x") and filterblock.block_may_match(b"abc", 0, b"x")
+    many = [f"key{i}".encode() for i in range(5000)]
+    held = filterblock.make_filter(many)
+    assert all(filterblock.may_match(k, held) for k in many)
+    assert sum(filterblock.may_match(f"other{i}".encode(), held) for i in range(10000)) < 200
+
+
+def test_paranoid_recovery(spark, tmp_path):
+    data = bytearray(wal.encode([wal.encode_batch(i, [(1, b"k", b"v")]) for i in range(1, 5)]))
+    (tmp_path / "000002.log").write_bytes(bytes(data))
+    (tmp_path / "000001.log").write_bytes(bytes(data))
+    assert wal.recover(spark, str(tmp_path), 2).count() == 4 and wal.recover(spark, str(tmp_path), 2, 1).count() == 8
+    data[9] ^= 1
+    (tmp_path / "000002.log").write_bytes(bytes(data))
+    assert wal.recover(spark, str(tmp_path), 2).count() == 0
+    with pytest.raises(Exception, match="log damaged"):
+        wal.recover(spark, str(tmp_path), 2, paranoid=True).count()
