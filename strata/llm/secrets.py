@@ -153,15 +153,18 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
     each rule's pattern is replaced throughout it, which covers all of its spans. ``n_chars``
     follows the new text where there is such a column.
     """
-    found = find_secrets(docs, text, "_secrets")
-    clean = F.col(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    found = find_secrets(rows, "_text", "_secrets")
+    clean = F.col("_text")
     for r in RULES:
         if r.group:
             pattern, by = r.pattern.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]{%d,}" % r.least), f"$1={mark}"
         else:
             pattern, by = (r.pattern.removesuffix("+") + "{%d,}" % (r.least - (4 if r.kind == "access" else 0)) if r.least > 1 else r.pattern), mark
         clean = F.regexp_replace(clean, pattern, by)
-    out = found.withColumn(text, F.when(F.size("_secrets") > 0, clean).otherwise(F.col(text)))
+    # a text without findings, null included, stays as it is
+    changed = found.withColumn("_dirty", F.size("_secrets") > 0).withColumn("_clean", F.when(F.col("_dirty"), clean).otherwise(F.col("_text")))
+    out = [F.col("_clean").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars").cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out[docs.columns.index("n_chars")] = F.when(F.col("_dirty"), F.length("_clean")).otherwise(F.col("_row.n_chars")).cast("long").alias("n_chars")
+    return changed.select(*out)

@@ -201,5 +201,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One row of each group of near copies: that with the smallest key; of rows that repeat a key, one."""
     fps = materialize(fingerprints(docs, key, text), "fingerprints")
     first = components(fps).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    one = F.row_number().over(Window.partitionBy("_keep").orderBy(F.xxhash64(text), F.length(text)))
-    return docs.join(first, F.col(f"`{key}`").cast("long") == F.col("_keep")).withColumn("_n", one).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    one = F.row_number().over(Window.partitionBy("_keep").orderBy(F.length("_text"), F.xxhash64("_text")))
+    return rows.join(first, F.col("_key") == F.col("_keep")).withColumn("_n", one).where("_n = 1").select("_row.*")

@@ -94,4 +94,4 @@ def test_empty(spark):
     assert b.score_documents(docs.where("false")).count() == 0
     alone = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = b.score_documents(docs.withColumn("doc_id", F.lit(alone))).head()  # nothing to learn from
-    assert (r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0)
+    assert (r["n_known"], r["train_tokens"]) == (0, 0) and r["base_score"] == pytest.approx(0) and r["score"] == pytest.approx(0)
