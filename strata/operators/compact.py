@@ -42,11 +42,11 @@ def drop_obsolete(entries: DataFrame, snapshot: int, deeper: DataFrame) -> DataF
     return stay.unionByName(covered)
 
 
-def with_corrupt(entries: DataFrame, snapshot: int) -> DataFrame:
+def with_corrupt(entries: DataFrame, snapshot: int, stretch: int = 1 << 16) -> DataFrame:
     """``entries`` with ``is_valid`` and ``pos``: invalid keys are never dropped, and the entry after one
-    counts as the first of its key."""
-    order = Window.orderBy("pos")
-    runs = entries.withColumn("run", F.count_if(~F.col("is_valid")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counts as the first of its key. Invalid keys are counted by stretches of positions, then across them."""
+    broken = F.when(F.col("is_valid"), 0).otherwise(1).cast("long")
+    runs = running_total(entries, ["pos"], F.floor(F.col("pos") / stretch), broken, "run")
     p = F.lag("seq").over(Window.partitionBy("run", "user_key", "is_valid").orderBy(F.col("seq").desc()))
     return runs.withColumn("p", F.when(F.col("is_valid"), p)).where(~F.col("is_valid") | F.col("p").isNull() | (F.col("p") > snapshot)).drop("run", "p")
 

@@ -129,11 +129,12 @@ def next_level_overlap(files: DataFrame) -> DataFrame:
     return met.groupBy("level", "file_no").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("overlap_bytes"))
 
 
-def approximate_sizes(ranges: DataFrame, entries: DataFrame) -> DataFrame:
+def approximate_sizes(ranges: DataFrame, entries: DataFrame, bucket: int = 7) -> DataFrame:
     """``ranges(range_no, low, high)`` -> bytes stored in [low, high).
 
     Sizes are summed by key first; each bound then takes the running total at its place in the
-    merged order of keys and bounds, so no range is joined to the keys it spans.
+    merged order of keys and bounds, so no range is joined to the keys it spans. ``bucket`` is the
+    length of the key prefix within which the order is merged.
     """
     from strata.operators.order import running_total
 
@@ -142,5 +143,5 @@ def approximate_sizes(ranges: DataFrame, entries: DataFrame) -> DataFrame:
     rows = keys.select(F.col("user_key").alias("at"), F.lit(1).alias("kind"), "bytes", F.lit(None).cast("long").alias("range_no"), F.lit(0).alias("side"))
     bound = lambda c, side: ranges.where(F.col(c).isNotNull()).select(F.col(c).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bytes"), "range_no", F.lit(side).alias("side"))
     both = rows.unionByName(bound("low", -1)).unionByName(bound("high", 1))
-    totals = running_total(both, ["at", "kind"], F.substring("at", 1, 7), F.col("bytes"), "before").where("kind = 0")
+    totals = running_total(both, ["at", "kind"], F.substring("at", 1, bucket), F.col("bytes"), "before").where("kind = 0")
     return totals.groupBy("range_no").agg(F.greatest(F.sum(F.col("before") * F.col("side")), F.lit(0)).cast("long").alias("bytes"))

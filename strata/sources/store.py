@@ -204,6 +204,9 @@ class Store:
             numbered = rank_all(batch, "pos", F.floor(F.col("pos") / 65536), "seq").withColumn("seq", F.col("seq") + base)
         rows = numbered.select(F.col("user_key").cast("binary").alias("user_key"), F.col("seq").cast("long").alias("seq"), F.col("vtype").cast("int").alias("vtype"), F.col("value").cast("binary").alias("value"))
         added = self._write_files(rows, 0, max(1, self.options.partitions))
+        held = self.rows()
+        for f in added:  # the new files are disjoint, so each finds its level by itself
+            f["level"] = policy.flush_level(held, base64.b64decode(f["smallest"]), base64.b64decode(f["largest"]))
         self._commit(added, last_seq=base + n)
         return self.last_seq
 
@@ -248,11 +251,24 @@ class Store:
         return mvcc.multi_get(self.log(), keys, self.last_seq if snapshot is None else snapshot)
 
     def property(self, name: str) -> str | None:
-        """``num-files-at-level<N>`` and ``approximate-size``; None for others."""
+        """``num-files-at-level<N>``, ``approximate-size`` and ``approximate-memory-usage``; None for others.
+
+        Entries wait in no buffer here: the memory is that of the file table which readers hold.
+        """
         if name.startswith("num-files-at-level") and name[18:].isdigit() and int(name[18:]) < LEVELS:
             return str(sum(level == int(name[18:]) for level, _ in self.files))
+        if name == "approximate-memory-usage":
+            return str(len(json.dumps(list(self.files.values()))))
         return str(sum(f["file_size"] for f in self.files.values())) if name == "approximate-size" else None
 
+    def approximate_sizes(self, ranges: list[tuple[bytes, bytes]]) -> list[int]:
+        """Bytes stored in each [low, high): summed by key, in one pass over the entries."""
+        from strata.operators.files import approximate_sizes
+
+        rows = self.spark.createDataFrame([(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(ranges)], "range_no long, low binary, high binary")
+        found = {r["range_no"]: r["bytes"] for r in approximate_sizes(rows, self.log()).collect()}
+        return [found.get(i, 0) for i in range(len(ranges))]
+
     # maintenance
 
     def run_compaction(self, plan: policy.Plan) -> None:

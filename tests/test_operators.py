@@ -134,3 +134,17 @@ def test_lru_pins_and_weights():
     none = cache.LruCache(0)
     none.release(none.insert("a", 1))
     assert none.lookup("a") is None
+
+
+def test_flush_level():
+    rows = [FileRow(0, 9, "p", "q", 1), FileRow(1, 1, "a", "c", 1), FileRow(2, 2, "m", "n", 1), FileRow(2, 3, "x", "z", 30 << 20)]
+    assert [compaction.flush_level(rows, *r) for r in (("p", "p"), ("b", "b"), ("m", "m"), ("d", "e"), ("y", "y"))] == [0, 0, 1, 2, 0]
+    assert [f.file_no for f in compaction.search_order([*rows, FileRow(0, 12, "a", "z", 1)], "p")] == [12, 9]
+
+
+@pytest.mark.parametrize("stretch", [2, 1000])
+def test_corrupt_runs_by_stretch(spark, stretch):
+    rows = [(i, "k", 100 - i, i % 5 != 3) for i in range(40)]
+    log = spark.createDataFrame(rows, "pos long, user_key string, seq long, is_valid boolean")
+    kept = sorted(r["pos"] for r in compact.with_corrupt(log, 1000, stretch).collect())
+    assert kept == sorted({0} | {i for i in range(40) if i % 5 in (3, 4)})

@@ -99,7 +99,8 @@ def test_store(spark, tmp_path):
         s.compact()
         assert len(s.vacuum()) > 0
         assert content(s) == {b"bar": b"", b"baz": b"v5"}
-        assert s.property("num-files-at-level7") is None
+        assert s.property("num-files-at-level7") is None and 0 < int(s.property("approximate-memory-usage")) < 5 << 20
+        assert s.approximate_sizes([(b"a", b"z"), (b"bb", b"bz"), (b"x", b"y")]) == [3 + 8 + 3 + 8 + 2, 0, 0]
         s.checkpoint()
     again = Store.open(spark, at)
     assert content(again) == {b"bar": b"", b"baz": b"v5"} and again.last_seq == 5
