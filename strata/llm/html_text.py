@@ -36,15 +36,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MAIN = frozenset("article main".split())
 SIDE = frozenset("nav footer aside form menu dialog button label legend option".split())
 CLASS = re.compile(
-    r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""",
+    r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""",
     re.I,
 )
+#: Names of regions that are not main text, wherever they are.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|respond|disqus|sidebar|side|widget|nav\w*|menu|breadcrumbs?|footer|foot|header|masthead|cookie\w*|consent"
-    r"|notices?|alert|popup|modal|newsletter|subscri\w*|signup|login|search|share|social|related|recommend\w*|tags?|copyright|legal|disclaimer|contentinfo|complementary|navigation)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adsense|adbox|adslot|adunit|advert\w*|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|disqus|sidebar|widget|nav\w*|menu|breadcrumbs?|footer"
+    r"|cookies?|consent|notices?|alert|popup|modal|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|copyright|disclaimer|contentinfo"
+    r"|complementary|navigation|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Names of page headers; within an article they name its own heading.
+HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+#: Names of elements that hold the article of a page.
+BODY = re.compile(r"(?:^|\s)(?:main|articleBody|(?:article|entry|post|story)[_-](?:body|content|text))(?:$|\s)", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WHITE = re.compile(r"\s+")
 
 
@@ -97,9 +105,10 @@ def blocks(page: str) -> Iterator[tuple[str, float, int, Block]]:
                 side, hint, main = stack[-1][1:] if stack else (False, False, False)
                 attrs = m["attrs"] or ""
                 named = " ".join("".join(x) for x in CLASS.findall(attrs))
-                main = main or tag in MAIN
+                main = main or tag in MAIN or (tag in CONTAINER and tag not in ("html", "body") and bool(BODY.search(named)))
                 side = side or tag in SIDE or (tag == "header" and not main)
-                hint = hint or (tag not in ("html", "body") and bool(HINT.search(named))) or bool(HIDDEN.search(attrs))
+                hint = hint or (tag not in ("html", "body") and bool(HINT.search(named) or (not main and HEAD.search(named))))
+                hint = hint or bool(HIDDEN.search(QUOTED.sub("", attrs)) or UNSHOWN.search(attrs))
                 stack.append((tag, side, hint, main))
         state = stack[-1][1:] if stack else (False, False, False)
         now = Block([], [], *state)

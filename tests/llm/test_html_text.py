@@ -32,6 +32,12 @@ def test_long_page_is_whole():
     assert text.count("\n") == 19999 and text.endswith("19999 of many")
 
 
+def test_names():
+    page = """<div class="site-header">Site</div><div id="post-content"><div class="post-header"><h1>Title</h1></div><p class="overflow-hidden" data-id="ads">Kept text</p>
+<div hidden>no</div><div style="display:none">no</div><section class="comment-list"><article class="comment"><p>no</p></article></section></div><div class="ad-slot">no</div>"""
+    assert h.main_text(page) == "Title\nKept text"
+
+
 def test_without_an_article():
     words = " ".join(f"word{i}" for i in range(60))
     page = f'<div><a href="x">Home</a></div><div><p>{words}</p><p>{words}</p></div><div class="footer">All rights</div>'
