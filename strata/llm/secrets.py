@@ -4,7 +4,7 @@ From each rule's pattern a Boolean trigram query is derived. The index holds pos
 the trigrams that the rules' queries name, and for no others. It is partitioned by document,
 as it would be in any sharded search index: each document's row carries its bit of every
 posting list. Postings are thus intersected by AND of the bits, within the row, and no text
-is ever shuffled. Rules whose query holds are verified with the pattern itself; rules
+is ever shuffled. (``index`` and ``search`` keep the same postings as a table.) Rules whose query holds are verified with the pattern itself; rules
 without mandatory trigrams scan every text.
 """
 
@@ -68,6 +68,29 @@ def candidate(rule: Rule, bits: Column, trigrams: list[str]) -> Column:
     return held
 
 
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The postings as a table ``(trigram, doc_id)``, for corpora that are searched again and again:
+    written once, sorted by trigram, a later search reads the lists of its rule alone."""
+    trigrams = vocabulary(rules)
+    held = postings(F.coalesce(F.col(text), F.lit("")), trigrams)
+    pairs = F.arrays_zip(F.array(*map(F.lit, trigrams)).alias("trigram"), held.alias("held"))
+    return docs.select(F.col(key).alias("doc_id"), F.explode(pairs).alias("_p")).where("_p.held").select("_p.trigram", "doc_id").distinct()
+
+
+def search(posted: DataFrame, rule: Rule) -> DataFrame | None:
+    """Intersect the postings of a rule's clauses -> its candidate ``doc_id``s; None means every document."""
+    clauses = query(rule.pattern)
+    if clauses is None:
+        return None
+    wanted = sorted({g for c in clauses for g in c})
+    rows = posted.where(F.col("trigram").isin(wanted)).groupBy("doc_id")
+    counts = rows.agg(*[F.count_if(F.col("trigram").isin(sorted(c))).alias(f"c{i}") for i, c in enumerate(sorted(clauses, key=sorted))])
+    held = F.lit(False)
+    for i, c in enumerate(sorted(clauses, key=sorted)):
+        held = held | (F.col(f"c{i}") == len(c))
+    return counts.where(held).select("doc_id")
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """The kept matches of a text as structs (start, n, stop, kind), in code points.
 

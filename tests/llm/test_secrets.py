@@ -64,6 +64,16 @@ def test_queries_never_exclude_a_match():
                 assert any(c <= grams for c in clauses), (r.kind, t)
 
 
+def test_postings_as_a_table(spark):
+    posted = s.index(docs(spark)).cache()
+    trigrams = s.vocabulary()
+    rows = docs(spark).withColumn("bits", s.postings(F.coalesce("text", F.lit("")), trigrams)).cache()
+    for r in s.RULES:
+        found = s.search(posted, r)
+        want = {x["doc_id"] for x in rows.where(s.candidate(r, F.col("bits"), trigrams)).collect()}
+        assert want == ({x["doc_id"] for x in found.collect()} if found is not None else set(range(len(texts()))))
+
+
 def test_redaction(spark):
     base = docs(spark).withColumns({"n_chars": F.lit(7), "_secrets": F.lit("own")})
     out = s.redact(base)
