@@ -20,6 +20,8 @@ def test_page():
         (None, ""), ("", ""), ("   ", ""), ("<p>", ""), ("plain words", "plain words"), ("<article>cut <b>short", "cut short"), ("<script>never closed <p>x", ""),
         ("<!-- never closed <p>x", ""), ("<article><p>a&nbsp;b　c</article>", "a b c"), ("<article><p>one</p><p>&#x41;&#66;&eacute;</p>", "one\nABé"),
         ('<article><p title="a > b">x</p>', "x"), ("<nav>only menu</nav>", ""), ("<article>1 < 2 and 3 > 2</article>", "1 < 2 and 3 > 2"),
+        ('<article><p title="never closed>a</p><p>b', "a\nb"), ("<article><p title=it's>don't</p><p>it's", "don't\nit's"), ("<article><p a='>' b>x</article>", "x"),
+        ("<article>x<br/>y<hr>z<script/>no</script>w", "x\ny\nzw"), ("<article>" + "<b " * 3000, ""),
     ],
 )
 def test_pages(page, want):
