@@ -101,9 +101,9 @@ def file_kind(name: Column) -> Column:
 
 
 def file_number(name: Column) -> Column:
-    """The number in the name, 0 for names without one, null for foreign names."""
-    numbered = F.when(file_kind(name).isin("log", "table", "temp", "manifest"), F.regexp_extract(name, r"(\d+)", 1).try_cast("long"))
-    return F.coalesce(numbered, F.when(file_kind(name).isNotNull(), F.lit(0).cast("long")))
+    """The number in the name, 0 for names without one, null for foreign names and numbers beyond a long."""
+    digits = F.regexp_extract(name, r"(\d+)", 1).try_cast("long")
+    return F.when(file_kind(name).isin("log", "table", "temp", "manifest"), digits).when(file_kind(name).isNotNull(), F.lit(0).cast("long"))
 
 
 def file_name(kind: str, number: Column) -> Column:

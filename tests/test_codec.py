@@ -116,3 +116,22 @@ def test_options_are_clamped():
 def test_python_varints(n):
     data = bytesum.put_varint(n)
     assert bytesum.take_varint(data, 0) == (n, len(data))
+
+
+def test_file_names(spark):
+    for kind, want in (("log", "000192.log"), ("table", "000192.ldb"), ("temp", "000192.dbtmp"), ("manifest", "MANIFEST-000192")):
+        row = spark.createDataFrame([(192,), (12345678,)], "n long").select("n", keys.file_name(kind, F.col("n")).alias("name"))
+        out = {r["n"]: r for r in row.select("n", "name", keys.file_kind(F.col("name")).alias("k"), keys.file_number(F.col("name")).alias("b")).collect()}
+        assert out[192]["name"] == want and all(r["k"] == kind and r["b"] == n for n, r in out.items())
+    names = ["foo", "foo-dx-100.log", ".log", "manifest", "CURREN", "MANIFEST", "MANIFEST-", "XMANIFEST-3", "MANIFEST-3x", "LOC", "100", "100.", "100.lop", "184467440737095516150.log"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    assert all(r[0] is None for r in rows.select(keys.file_number(F.col("n"))).collect())
+
+
+def test_status_and_records(spark):
+    rows = spark.createDataFrame([("OK", ""), ("NOT_FOUND", "k"), ("CORRUPTION", "x"), ("?", "")], "c string, m string")
+    assert [r[0] for r in rows.select(keys.status_text(F.col("c"), F.col("m"))).collect()] == ["OK", "NotFound: k", "Corruption: x", None]
+    codes = spark.range(6).select(codec.record_type(F.col("id")))
+    assert [r[0] for r in codes.collect()] == ["zero", "full", "first", "middle", "last", "unknown"]
+    handle = spark.range(1).select(codec.block_handle(F.lit(300), F.lit(5)).alias("h")).head()["h"]
+    assert bytes(handle) == bytesum.put_varint(300) + bytesum.put_varint(5)

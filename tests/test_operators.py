@@ -148,3 +148,25 @@ def test_corrupt_runs_by_stretch(spark, stretch):
     log = spark.createDataFrame(rows, "pos long, user_key string, seq long, is_valid boolean")
     kept = sorted(r["pos"] for r in compact.with_corrupt(log, 1000, stretch).collect())
     assert kept == sorted({0} | {i for i in range(40) if i % 5 in (3, 4)})
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    log = spark.createDataFrame([(bytearray(b"a"), 1, 1, bytearray(b"v"))], "user_key binary, seq long, vtype int, value binary")
+    log.withColumn("unused", F.lit(1)).write.parquet(f"{tmp_path}/log")
+    read = spark.read.parquet(f"{tmp_path}/log")
+    for df in (mvcc.get(read, bytearray(b"a"), 5), mvcc.scan(mvcc.key_range(read, bytearray(b"a"), bytearray(b"c")), 5)):
+        text = plan(df)
+        assert "GreaterThanOrEqual(user_key" in text or "EqualTo(user_key" in text
+        assert "<= 5)" in text.split("FileScan")[0] and "unused" not in text
+        assert "Window" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_no_global_windows(spark):
+    log = spark.range(100).select(F.format_string("user%05d", "id").alias("user_key"))
+    for df in (order.rank_all(log, "user_key", mvcc.key_bucket(7)), order.neighbours(log, "user_key", mvcc.key_bucket(7))):
+        # the only single partition holds one row per bucket
+        assert plan(df).count("SinglePartition") <= 1
