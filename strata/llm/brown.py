@@ -165,13 +165,33 @@ class Model:
         return len(self.gain) - 1
 
 
+def head_words(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
+    """The most frequent words of at most LONGEST bytes and their counts, ``most`` at most.
+
+    The least count is found from a histogram over bands of counts, some thousands of rows at
+    most, so that no task sorts the words; words of one band come in together or not at all.
+    """
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("band", F.floor(F.log2("n") * 64).cast("int"))
+    total, least = 0, None
+    for r in sorted(short.groupBy("band").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["band"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["band"]
+    if least is None:
+        return []
+    rows = short.where(F.col("band") >= least).select("word", "n").toArrow()
+    pairs = zip((w.encode() for w in rows["word"].to_pylist()), rows["n"].to_pylist(), strict=True)
+    return sorted(pairs, key=lambda x: (-x[1], x[0]))
+
+
 def fit(training: DataFrame, counts: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
     ends = training.count()
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).head()
     n, v = (total["n"] or 0) + ends, total["v"] + bool(ends)
     norm = n + 0.5 * (v + 1)
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(head).toArrow()
-    words, c = [w.encode() for w in top["word"].to_pylist()], top["n"].to_numpy().astype(np.float64)
+    top = head_words(counts, head)
+    words, c = [w for w, _ in top], np.array([x for _, x in top], np.float64)
     k = min(clustered, len(words))
     pairs = class_pairs(training, words[:k])
     of = exchange(pairs, classes)
