@@ -29,32 +29,58 @@ class Prior:
     beta: float
 
 
+#: Bits of a packed window that hold its position; the others hold the highest bits of its hash.
+PLACE = 24
+
+
+def _covered(places: Column, width: int) -> Column:
+    """Words in the windows at sorted places, each counted once."""
+    return F.aggregate(
+        places,
+        F.struct(F.lit(-width).alias("last"), F.lit(0).alias("n")),
+        lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(width), p - acc["last"])).alias("n")),
+        lambda acc: acc["n"],
+    )
+
+
+def _equal_neighbours(s: Column, same) -> Column:
+    """The pairs of places of neighbours in a sorted array that ``same`` gives; null ones are left out."""
+    return F.filter(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), same), lambda x: x.isNotNull())
+
+
+def _places(pairs: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.flatten(pairs)))
+
+
 def _repeat_words(words: Column, width: int = 3) -> Column:
     """Number of words in windows of ``width`` words that occur twice or more in the text.
 
-    The windows are sorted with their positions, equal neighbours give the positions that
-    repeat, and a last pass counts the words they cover once each.
+    Windows are sorted as single numbers, hash bits before place. Neighbours of equal hash bits
+    are compared word by word; if all are equal, runs of equal bits are runs of equal windows. If
+    not, or if the places need more bits, the windows are sorted with their words instead.
     """
     n = F.size(words)
     names = [str(i) for i in range(width)]
     zipped = F.arrays_zip(*[F.slice(words, i + 1, n - (width - 1)) for i in range(width)])
-    keyed = F.transform(zipped, lambda x, i: F.struct(F.xxhash64(*[x[k] for k in names]).alias("h"), x.alias("w"), i.alias("p")))
-
-    def repeats(s: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(s, 1, F.size(s) - 1),
-            F.slice(s, 2, F.size(s) - 1),
-            lambda a, b: F.when((a["h"] == b["h"]) & (a["w"] == b["w"]), F.array(a["p"], b["p"])),
+    low = F.lit((1 << PLACE) - 1)
+
+    def by_words(z: Column) -> Column:
+        keyed = F.transform(z, lambda x, i: F.struct(F.xxhash64(*[x[k] for k in names]).alias("h"), x.alias("w"), i.alias("p")))
+        pairs = let(F.sort_array(keyed), lambda s: _equal_neighbours(s, lambda a, b: F.when((a["h"] == b["h"]) & (a["w"] == b["w"]), F.array(a["p"], b["p"]))))
+        return _covered(_places(pairs), width)
+
+    def run(z: Column) -> Column:
+        packed = F.transform(z, lambda x, i: F.xxhash64(*[x[k] for k in names]).bitwiseAND(F.lit(-1 << PLACE)).bitwiseOR(i.cast("long")))
+        pairs = let(
+            F.sort_array(packed),
+            lambda s: _equal_neighbours(
+                s, lambda a, b: F.when(F.shiftrightunsigned(a.bitwiseXOR(b), PLACE) == 0, F.array(a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")))
+            ),
         )
-        return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
+        alike = lambda p: F.get(z, p[0]) == F.get(z, p[1])
+        return let(pairs, lambda p: F.when(F.size(p) == 0, 0).when(F.forall(p, lambda x: alike(x)), _covered(_places(p), width)).otherwise(by_words(z)))
 
-    covered = F.aggregate(
-        let(F.sort_array(keyed), repeats),
-        F.struct(F.lit(-width).alias("last"), F.lit(0).alias("n")),
-        lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(width), p - acc["last"])).alias("n")),
-        lambda acc: acc["n"],
-    )
-    return F.when(n > width, covered).otherwise(F.lit(0))
+    return F.when(n < width, 0).when(n < (1 << PLACE), let(zipped, lambda z: run(z))).otherwise(let(zipped, lambda z: by_words(z)))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -38,6 +39,16 @@ def test_measures(spark):
         assert r["base_failed"] == (brute(t)[0] < 50 or 100 * brute(t)[4] > 50 * brute(t)[0])
 
 
+@pytest.mark.parametrize("place", [24, 3, 58])
+def test_repeats_with_few_bits(spark, place, monkeypatch):
+    """With few bits for hashes they collide, with few for places the texts are too long: both sort by words."""
+    monkeypatch.setattr(q, "PLACE", place)
+    rng = random.Random(place)
+    texts = [" ".join(rng.choice("ab") + rng.choice("cdefg" * (i % 3) or "c") for _ in range(rng.randrange(60))) for i in range(120)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in q.score_documents(docs(spark, texts)).collect()}
+    assert got == {i: brute(t)[4] for i, t in enumerate(texts)}
+
+
 def test_hosts_condemn_only_what_fails(spark):
     clean = " ".join(f"word{i}" for i in range(60))
     junk = " ".join(f"word{i}###" for i in range(60))
