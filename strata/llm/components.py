@@ -16,7 +16,8 @@ def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
     share of all links spreads over SALTS tasks (and can be split further at run time)."""
     salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["u", "salt"])
+    # never broadcast: the planner would judge the copies by the size of what they are made from
+    return salted.join(copies.hint("merge"), ["u", "salt"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
