@@ -110,11 +110,12 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     Blocks hold about ``block`` vectors however large a label is; the number of tiles of a
     label grows with the square of its blocks, as any exact comparison of all pairs does.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("label"))
+    number = vectors.schema["embedding"].dataType.elementType.simpleString()
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    good = rows.where("usable").select("vec_id", "label", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).alias("embedding"))
+    good = rows.where("usable").select("vec_id", "label", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(number)).otherwise(x)).alias("embedding"))
     classes = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
     blocks = materialize(classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")), "blocks")
     dealt = classes.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
