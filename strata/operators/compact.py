@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strata.operators.files import covered
 from strata.operators.order import running_total
 from strata.schema import DELETION, GRANDPARENT_FACTOR, MAX_MEMTABLE_LEVEL, TARGET_FILE_SIZE
 
@@ -28,18 +29,18 @@ def drop_hidden(entries: DataFrame, snapshot: int) -> DataFrame:
 
 
 def at_base_level(keys: DataFrame, deeper: DataFrame) -> DataFrame:
-    """Keys that no deeper file covers. ``deeper(smallest, largest)`` is metadata."""
-    return keys.join(deeper.select("smallest", "largest"), F.col("user_key").between(F.col("smallest"), F.col("largest")), "left_anti")
+    """Rows of ``keys`` whose key no deeper file covers."""
+    return keys.join(covered(keys, deeper), "user_key", "left_anti")
 
 
 def drop_obsolete(entries: DataFrame, snapshot: int, deeper: DataFrame) -> DataFrame:
-    """``drop_hidden``, and without deletions at or below the snapshot that have nothing deeper to hide."""
+    """``drop_hidden``, and without deletions at or below the snapshot that have nothing deeper to hide.
+    ``deeper(smallest, largest)`` are the files of all levels below the output's."""
     kept = drop_hidden(entries, snapshot)
     dead = (F.col("vtype") == DELETION) & (F.col("seq") <= snapshot)
-    # a null never meets a range: only the deletions at issue are looked up
-    stay = kept.where(~dead)
-    covered = kept.where(dead).join(deeper.select("smallest", "largest"), F.col("user_key").between(F.col("smallest"), F.col("largest")), "left_semi")
-    return stay.unionByName(covered)
+    # only the deletions at issue are looked up
+    hides = kept.where(dead)
+    return kept.where(~dead).unionByName(hides.join(covered(hides, deeper), "user_key", "left_semi").select(*kept.columns))
 
 
 def with_corrupt(entries: DataFrame, snapshot: int, stretch: int = 1 << 16) -> DataFrame:

@@ -92,13 +92,37 @@ def closure(files: DataFrame, low, high) -> list[int]:
     return sorted(chosen)
 
 
-def _merged(keys: DataFrame, files: DataFrame, by: str) -> DataFrame:
-    """Each (level, key) with the first file whose ``by`` bound is at or after the key."""
+#: Characters of a key that make its bucket: keys of a bucket are merged with files in one window.
+BUCKET = 7
+
+
+def _merged(keys: DataFrame, files: DataFrame, by: str, bucket: int = BUCKET) -> DataFrame:
+    """Each (level, key) with the first file whose ``by`` bound is at or after the key.
+
+    Keys and bounds are merged within buckets of the key's first characters; the first file after
+    a bucket comes from a table of one row per level and bucket.
+    """
     rows = files.select("level", F.col(by).alias("at"), F.lit(1).alias("kind"), F.struct(*files.columns).alias("f"))
     asks = keys.select("level", F.col("user_key").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["f"].dataType).alias("f"))
-    ahead = Window.partitionBy("level").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = rows.unionByName(asks).withColumn("found", F.first("f", ignorenulls=True).over(ahead))
-    return both.where("kind = 0").select("level", F.col("at").alias("user_key"), "found")
+    both = rows.unionByName(asks).withColumn("bucket", F.substring("at", 1, bucket))
+    ahead = Window.partitionBy("level", "bucket").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    heads = both.groupBy("level", "bucket").agg(F.min_by("f", F.when(F.col("f").isNotNull(), F.col("at"))).alias("head"))
+    later = Window.partitionBy("level").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    carried = heads.withColumn("carried", F.first("head", ignorenulls=True).over(later)).select("level", "bucket", "carried")
+    near = both.withColumn("near", F.first("f", ignorenulls=True).over(ahead)).where("kind = 0").join(carried, ["level", "bucket"])
+    return near.select("level", F.col("at").alias("user_key"), F.coalesce("near", "carried").alias("found"))
+
+
+def covered(keys: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The distinct ``user_key``s that lie in any of ``ranges(smallest, largest)``.
+
+    Overlapping ranges are joined to disjoint ones first; each key then meets one of them at most, by
+    an ordered merge. No join by inequality, however many ranges there are.
+    """
+    numbered = ranges.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("file_no"), "smallest", "largest")
+    disjoint = islands(numbered).select("level", F.col("low").alias("smallest"), F.col("high").alias("largest"))
+    asked = keys.select(F.lit(0).alias("level"), "user_key").distinct()
+    return _merged(asked, disjoint, "largest", bucket).where(F.col("found.smallest") <= F.col("user_key")).select("user_key")
 
 
 def find_file(keys: DataFrame, files: DataFrame) -> DataFrame:

@@ -170,3 +170,20 @@ def test_no_global_windows(spark):
     for df in (order.rank_all(log, "user_key", mvcc.key_bucket(7)), order.neighbours(log, "user_key", mvcc.key_bucket(7))):
         # the only single partition holds one row per bucket
         assert plan(df).count("SinglePartition") <= 1
+
+
+@pytest.mark.parametrize("bucket", [1, 2, 9])
+def test_merged_order_equals_search(spark, bucket, monkeypatch):
+    monkeypatch.setattr(files._merged, "__defaults__", (bucket,))
+    rng = random.Random(bucket)
+    bounds = sorted(rng.sample(range(1000), 60))
+    held = [(1, i, f"{a:03d}", f"{b:03d}", 1, 1) for i, (a, b) in enumerate(zip(bounds[::2], bounds[1::2], strict=True))]
+    asked = [f"{rng.randrange(1000):03d}" for _ in range(200)]
+    got = {r["user_key"]: r["file_no"] for r in files.find_file(spark.createDataFrame([(1, k) for k in asked], "level long, user_key string"), frame(spark, held)).collect()}
+    assert got == {k: next((no for _, no, _, b, *_ in held if b >= k), None) for k in asked}
+    ranges = [(f"{a:03d}", f"{a + rng.randrange(40):03d}") for a in rng.sample(range(900), 25)]
+    inside = files.covered(spark.createDataFrame([(k,) for k in asked], "user_key string"), spark.createDataFrame(ranges, "smallest string, largest string"), bucket)
+    assert {r["user_key"] for r in inside.collect()} == {k for k in asked if any(a <= k <= b for a, b in ranges)}
+    keys = spark.createDataFrame([(k,) for k in asked], "user_key string")
+    outside = compact.at_base_level(keys, spark.createDataFrame(ranges, "smallest string, largest string"))
+    assert sorted(r["user_key"] for r in outside.collect()) == sorted(k for k in asked if not any(a <= k <= b for a, b in ranges))
