@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.common import materialize
-from strata.llm.components import connected_components
+from strata.llm.components import connected_components, with_least
 
 SEED = 42
 SHINGLE = 4
@@ -142,12 +142,10 @@ def _close_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if head < tail:
                 yield from within(keys[head:tail], fps[head:tail])
             key, parts = int(keys[-1]), [fps[max(head, tail) :]]
-        while (total := sum(map(len, parts))) > BLOCK:
+        while sum(map(len, parts)) > BLOCK:
             run = np.concatenate(parts)
             yield out([(int(x.view(np.int64)), None, key, done) for x in run[:BLOCK]])
             parts, done = [run[BLOCK:]], done + 1
-            if total - BLOCK == 0:
-                break
     yield from close()
 
 
@@ -183,10 +181,13 @@ def components(fps: DataFrame) -> DataFrame:
     """
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     reached = connected_components(close_pairs(classes.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labelled = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    labelled = materialize(labelled, "labelled")
-    least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_class = materialize(labelled.join(least, "component").select("fp", "component_id"), "byclass")
+    labelled = materialize(classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left"), "labelled")
+    # most classes are their own; the others meet the least id of their component by way of its root, salted
+    moved, own = labelled.where("component is not null"), labelled.where("component is null")
+    groups = moved.groupBy("component").agg(F.min("least_id").alias("among"), F.lit(True).alias("shared"))
+    roots = materialize(own.join(groups.withColumnRenamed("component", "fp"), "fp", "left").select("fp", F.least("least_id", "among").alias("component_id"), "shared"), "roots")
+    found = with_least(moved.select(F.col("component").alias("u"), F.col("fp").alias("v")), roots.where("shared").select(F.col("fp").alias("u"), F.col("component_id").alias("m")))
+    by_class = materialize(roots.select("fp", "component_id").union(found.select(F.col("v").alias("fp"), F.col("m").alias("component_id"))), "byclass")
     return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -198,9 +199,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near copies: that with the smallest key; of rows that repeat a key, one."""
+    """One row of each group of near copies: that with the smallest key; of rows that repeat a key, one.
+    Rows without a key cannot be told apart and stay, all of them."""
     fps = materialize(fingerprints(docs, key, text), "fingerprints")
     first = components(fps).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
     one = F.row_number().over(Window.partitionBy("_keep").orderBy(F.length("_text"), F.xxhash64("_text")))
-    return rows.join(first, F.col("_key") == F.col("_keep")).withColumn("_n", one).where("_n = 1").select("_row.*")
+    kept = rows.join(first, F.col("_key") == F.col("_keep")).withColumn("_n", one).where("_n = 1")
+    return kept.select("_row.*").union(docs.where(F.col(f"`{key}`").isNull()))

@@ -72,6 +72,12 @@ def test_components(spark, block, monkeypatch):
     assert got == classes(list(range(len(fps))), fps)
 
 
+def test_null_ids_take_part(spark):
+    rows = [(None, 0b0), (4, 0b1111), (9, 0b11111111), (None, 1 << 40 | (1 << 62))]
+    got = s.components(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert {(r["doc_id"], r["fp"]): r["component_id"] for r in got} == {(None, 0): 4, (4, 15): 4, (9, 255): 4, (None, 1 << 40 | 1 << 62): 4}
+
+
 def test_query_columns(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
     got = s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -82,10 +88,10 @@ def test_query_columns(spark):
 
 
 def test_keep_one(spark):
-    rows = [(5, "same words in this text here", "x"), (3, "same words in this text here", "y"), (3, "same words in this text here", "y"), (9, None, "z"), (8, "", "z")]
+    rows = [(5, "same words in this text here", "x"), (3, "same words in this text here", "y"), (3, "same words in this text here", "y"), (9, None, "z"), (8, "", "z"), (None, "", "n"), (None, "alone", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("_keep", F.lit(1))
     out = s.keep_one(docs)
-    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [3, 8]
+    assert out.columns == docs.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 0, 3, 8]
     assert s.keep_one(docs.where("false")).count() == 0
 
 
