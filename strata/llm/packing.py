@@ -27,9 +27,9 @@ SHARD = 1 << 16
 END = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers, and code points of the longest such word.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Bytes of text tokenized at a time.
-PART = 1 << 23
+PART = 12 << 20
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -125,10 +125,13 @@ class WordTokenizer:
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, lengths.sum())
         of_word = lengths[index]
-        ends = np.cumsum(of_word, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        first = (np.cumsum(lengths, dtype=np.int64) - lengths)[index]
-        out = flat[np.repeat(first - (ends - of_word), of_word) + np.arange(total)]
+        total = int(of_word.sum(dtype=np.int64))
+        kind = np.int32 if total < 1 << 31 else np.int64
+        ends = np.cumsum(of_word, dtype=kind)
+        at = np.cumsum(lengths, dtype=kind) - lengths
+        at = np.repeat(at[index] - ends + of_word, of_word)
+        at += np.arange(total, dtype=kind)
+        out = flat[at]
         words_before = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())].astype(np.int64)
         return out, np.diff(np.r_[0, ends][words_before])
 
