@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.codec import let  # noqa: F401  used by the operators
+
 #: A word is a run of characters other than these.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -69,11 +71,6 @@ def discard(df: DataFrame) -> None:
     remove_path(df.sparkSession, df._strata_path)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row, also inside higher-order functions."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
