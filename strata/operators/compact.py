@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.operators.files import covered
+from strata.operators.mvcc import newer_seq
 from strata.operators.order import running_total
 from strata.schema import DELETION, GRANDPARENT_FACTOR, MAX_MEMTABLE_LEVEL, TARGET_FILE_SIZE
 
@@ -18,11 +19,6 @@ def smallest_snapshot(snapshots: DataFrame, last_seq: int) -> int:
     return last_seq if row["s"] is None else row["s"]
 
 
-def newer_seq(entries: DataFrame) -> DataFrame:
-    """Add the sequence of the next newer entry of the key, ``p``; null for the newest."""
-    return entries.withColumn("p", F.lag("seq").over(Window.partitionBy("user_key").orderBy(F.col("seq").desc())))
-
-
 def drop_hidden(entries: DataFrame, snapshot: int) -> DataFrame:
     """Without entries that a newer one at or below the snapshot hides from every reader."""
     return newer_seq(entries).where(F.col("p").isNull() | (F.col("p") > snapshot)).drop("p")

@@ -80,10 +80,27 @@ def seek(rows: DataFrame, targets: list, key: str = "user_key") -> DataFrame:
     return found.select(F.explode(pairs).alias("_p")).select("_p.*")
 
 
-def all_versions(log: DataFrame) -> DataFrame:
+#: Sequences in a stretch: a key's versions are ordered within stretches, so a hot key is many groups.
+STRETCH = 1 << 20
+
+
+def newer_seq(entries: DataFrame, into: str = "p", width: int = STRETCH) -> DataFrame:
+    """Add the sequence of the next newer entry of the key; null for the newest.
+
+    It is looked up within the stretch; for the last entry of a stretch it is the first one of the
+    key's next stretch, from a table of one row per key and stretch.
+    """
+    rows = entries.withColumn("_s", F.floor(F.col("seq") / width).cast("long"))
+    inner = Window.partitionBy("user_key", "_s").orderBy(F.col("seq").desc())
+    firsts = rows.groupBy("user_key", "_s").agg(F.min("seq").alias("_m"))
+    after = firsts.withColumn("_next", F.lead("_m").over(Window.partitionBy("user_key").orderBy("_s"))).drop("_m")
+    found = rows.withColumn("_in", F.lag("seq").over(inner)).join(after, ["user_key", "_s"])
+    return found.select(*entries.columns, F.coalesce("_in", "_next").alias(into))
+
+
+def all_versions(log: DataFrame, width: int = STRETCH) -> DataFrame:
     """Every entry with the sequence of the next newer entry of its key, null for the newest."""
-    newer = F.lag("seq").over(Window.partitionBy("user_key").orderBy(F.col("seq").desc()))
-    return log.select("user_key", "seq", "vtype", "value", newer.alias("newer_seq"))
+    return newer_seq(log.select("user_key", "seq", "vtype", "value"), "newer_seq", width)
 
 
 def first_last(rows: DataFrame, key: str = "user_key") -> DataFrame:

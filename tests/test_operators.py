@@ -187,3 +187,11 @@ def test_merged_order_equals_search(spark, bucket, monkeypatch):
     keys = spark.createDataFrame([(k,) for k in asked], "user_key string")
     outside = compact.at_base_level(keys, spark.createDataFrame(ranges, "smallest string, largest string"))
     assert sorted(r["user_key"] for r in outside.collect()) == sorted(k for k in asked if not any(a <= k <= b for a, b in ranges))
+
+
+@pytest.mark.parametrize("width", [1, 10, 1000])
+def test_newer_versions_by_stretch(spark, width):
+    rng = random.Random(width)
+    log = [(rng.choice("aaaaab"), s, 1, None) for s in rng.sample(range(300), 150)]
+    got = {r["seq"]: r["newer_seq"] for r in mvcc.all_versions(spark.createDataFrame(log, LOG), width).collect()}
+    assert got == {s: min((t for j, t, *_ in log if j == k and t > s), default=None) for k, s, *_ in log}
