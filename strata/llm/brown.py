@@ -35,8 +35,8 @@ FOLDS, HELD_OUT = 5, 1
 HEAD, LONGEST = 1 << 18, 32
 #: Words that are clustered, their classes, and the most sweeps over them.
 CLUSTERED, CLASSES, SWEEPS = 1024, 40, 8
-#: Distinct words that a task counts before it passes them on.
-FLUSH = 300_000
+#: Distinct words that a task counts before it passes them on, and adjacent pairs before it adds them up.
+FLUSH, PAIRS = 300_000, 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -75,13 +75,23 @@ def class_pairs(training: DataFrame, words: list[bytes]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, total = held.value, np.zeros(side * side, np.int64)
+        parts, n = [], 0
+
+        def add() -> None:
+            nonlocal parts, n
+            if parts:
+                np.add(total, np.bincount(np.concatenate(parts), minlength=side * side), out=total)
+            parts, n = [], 0
+
         for b in batches:
             for t in b.column(0):
                 words = tokens(t.as_py())
                 ids = np.fromiter(map(of.get, words, repeat(k)), np.int64, len(words))
-                total += np.bincount(np.r_[k + 1, ids] * side + np.r_[ids, k + 1], minlength=side * side) if len(ids) > side * 50 else 0
-                if len(ids) <= side * 50:
-                    np.add.at(total, np.r_[k + 1, ids] * side + np.r_[ids, k + 1], 1)
+                parts.append(np.r_[k + 1, ids] * side + np.r_[ids, k + 1])
+                n += len(words)
+                if n > PAIRS:
+                    add()
+        add()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
