@@ -74,8 +74,8 @@ def file_table(log: DataFrame) -> DataFrame:
 
 
 def key_ranges(log: DataFrame) -> DataFrame:
-    """A range of keys for each fifth user: from it to five further."""
-    users = log.select(F.substring("user_key", 5, 5).cast("long").alias("u")).distinct().where("u % 5 = 0")
+    """A range of keys for each user: from it to five further."""
+    users = log.select(F.substring("user_key", 5, 5).cast("long").alias("u")).distinct()
     return users.select(F.col("u").alias("range_no"), F.format_string("user%05d", "u").alias("low"), F.format_string("user%05d", F.col("u") + 5).alias("high"))
 
 
@@ -91,7 +91,7 @@ le AS (SELECT user_key, seq, vtype, value, level, CASE WHEN level = 0 THEN CAST(
 fs AS (SELECT level, file_no, min(user_key) AS smallest, max(user_key) AS largest, CAST(sum(length(user_key) + 8 + length(value)) AS BIGINT) AS file_size,
   count(*) AS n_entries FROM le GROUP BY level, file_no)"""
 RANGES = """rg AS (SELECT u AS range_no, printf('user%05d', u) AS low, printf('user%05d', u + 5) AS high FROM
-  (SELECT DISTINCT CAST(substr(user_key, 5) AS BIGINT) AS u FROM cl) WHERE u % 5 = 0)"""
+  (SELECT DISTINCT CAST(substr(user_key, 5) AS BIGINT) AS u FROM cl))"""
 W = f"WITH {CL}, "
 
 # reads
@@ -103,12 +103,14 @@ def kv_point_get(spark, d):
     return mvcc.get(log, "user00003", middle(log))
 
 
-@query(f"""{W}{NEWEST}, p AS (SELECT printf('user%05d', r) AS user_key FROM range(0, 200, 7) t(r))
+@query(f"""{W}{NEWEST}, p AS (SELECT DISTINCT user_key FROM cl UNION ALL SELECT DISTINCT user_key || 'x' FROM cl)
 SELECT p.user_key, CASE WHEN vtype = 1 THEN 'FOUND' WHEN vtype = 0 THEN 'DELETED' ELSE 'NOT_FOUND' END AS status, CASE WHEN vtype = 1 THEN value END AS value
 FROM p LEFT JOIN nw USING (user_key)""")
 def kv_multi_get_status(spark, d):
-    asked = spark.range(0, 200, 7).select(F.format_string("user%05d", "id").alias("user_key"))
-    return mvcc.multi_get(changelog(spark, d), asked)
+    """Every key, and one that is absent after each."""
+    log = changelog(spark, d)
+    held = log.select("user_key").distinct()
+    return mvcc.multi_get(log, held.union(held.select(F.concat("user_key", F.lit("x")))))
 
 
 @query(f"""{W}{MID} SELECT user_key, max(seq) AS seq, arg_max(value, seq) AS value FROM cl, s WHERE seq <= snap GROUP BY user_key HAVING arg_max(vtype, seq) = 1""")
@@ -122,12 +124,12 @@ def kv_latest_scan(spark, d):
     return mvcc.scan(changelog(spark, d))
 
 
-@query(f"""{W}p AS (SELECT user_key, seq - 25 AS snapshot FROM cl WHERE seq % 10 = 0),
+@query(f"""{W}p AS (SELECT user_key, seq - 25 AS snapshot FROM cl),
 j AS (SELECT p.user_key, p.snapshot, max(c.seq) AS seq FROM p LEFT JOIN cl c ON c.user_key = p.user_key AND c.seq <= p.snapshot GROUP BY p.user_key, p.snapshot)
 SELECT j.user_key, j.snapshot, j.seq, c.vtype, c.value FROM j LEFT JOIN cl c ON c.user_key = j.user_key AND c.seq = j.seq""")
 def kv_as_of_join(spark, d):
     log = changelog(spark, d)
-    probes = log.where("seq % 10 = 0").select("user_key", (F.col("seq") - 25).alias("snapshot"))
+    probes = log.select("user_key", (F.col("seq") - 25).alias("snapshot"))
     return mvcc.as_of(log, probes, width=1000)
 
 
@@ -355,13 +357,14 @@ def compact_drop_hidden(spark, d):
     return compact.drop_hidden(log, middle(log)).select("user_key", "seq", "vtype", "value")
 
 
-@query(f"""{W}{MID}, dp AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM cl WHERE file_no < 1 AND user_key < 'user00008' GROUP BY 1),
-nr AS (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS p FROM cl WHERE file_no >= 1)
+@query(f"""{W}{MID}, {LEVELLED}, dp AS (SELECT smallest AS lo, largest AS hi FROM fs WHERE level = 2),
+nr AS (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS p FROM le WHERE level < 2)
 SELECT user_key, seq, vtype, value FROM nr, s WHERE (p IS NULL OR p > snap) AND NOT (vtype = 0 AND seq <= snap AND NOT EXISTS (SELECT 1 FROM dp WHERE nr.user_key BETWEEN lo AND hi))""")
 def compact_drop_tombstones(spark, d):
+    """Levels 0 and 1 compacted above the files of level 2."""
     log = changelog(spark, d)
-    deeper = files.metadata(log.where("file_no < 1 and user_key < 'user00008'"), ["file_no"])
-    return compact.drop_obsolete(log.where("file_no >= 1"), middle(log), deeper).select("user_key", "seq", "vtype", "value")
+    deeper = file_table(log).where("level = 2")
+    return compact.drop_obsolete(levelled(log).where("level < 2"), middle(log), deeper).select("user_key", "seq", "vtype", "value")
 
 
 GRAND = """gp AS (SELECT a.level, a.file_no, count(DISTINCT CASE WHEN b.level = a.level + 1 THEN b.file_no END) AS n_next,
@@ -414,14 +417,15 @@ def compact_grandparent_split(spark, d):
 
 @query(f"""{W}{LEVELLED}, {RANGES},
 b AS (SELECT range_no, coalesce(sum(file_size) FILTER (level = 0), 0) AS b0, coalesce(sum(file_size) FILTER (level = 1), 0) AS b1, coalesce(sum(file_size) FILTER (level = 2), 0) AS b2,
-  coalesce(sum(file_size) FILTER (level = 3), 0) AS b3 FROM rg LEFT JOIN fs ON largest >= low AND smallest <= high AND file_no % 3 = 0 GROUP BY range_no)
+  coalesce(sum(file_size) FILTER (level = 3), 0) AS b3 FROM rg LEFT JOIN fs ON largest >= low AND smallest <= high AND level > 1 GROUP BY range_no)
 SELECT range_no, CAST(CASE WHEN b0 > 0 THEN 0 WHEN b1 > 0 OR b2 > 2000 THEN 0 WHEN b2 > 0 OR b3 > 2000 THEN 1 ELSE 2 END AS BIGINT) AS level FROM b""")
 def memtable_output_level(spark, d):
+    """Where new files would go in a store that has only its files from level 2 on."""
     log = changelog(spark, d)
-    return compact.memtable_levels(key_ranges(log), file_table(log).where("file_no % 3 = 0"), cap=2000)
+    return compact.memtable_levels(key_ranges(log), file_table(log).where("level > 1"), cap=2000)
 
 
-@query(f"""{W}{LEVELLED}, k AS (SELECT seq AS probe_no, user_key FROM cl WHERE seq % 3 = 0),
+@query(f"""{W}{LEVELLED}, k AS (SELECT seq AS probe_no, user_key FROM cl),
 p AS (SELECT probe_no, file_no, row_number() OVER (PARTITION BY probe_no ORDER BY level, file_no DESC) AS o FROM k JOIN fs ON user_key BETWEEN smallest AND largest),
 f AS (SELECT probe_no, count(*) AS n, arg_min(file_no, o) AS file_no FROM p GROUP BY 1 HAVING count(*) > 1), c AS (SELECT file_no, count(*) AS charges FROM f GROUP BY 1)
 SELECT file_no, greatest(100, file_size // 16384) AS allowed_seeks, charges, charges >= greatest(100, file_size // 16384) AS exhausted FROM fs JOIN c USING (file_no)""")
@@ -429,7 +433,7 @@ def seek_budget(spark, d):
     log = changelog(spark, d)
     f = file_table(log)
     where = files.files_to_search(log, f)
-    probes = log.where("seq % 3 = 0").select(F.col("seq").alias("probe_no"), "user_key").join(where, "user_key")
+    probes = log.select(F.col("seq").alias("probe_no"), "user_key").join(where, "user_key")
     return cache.seek_charges(probes.select("probe_no", "file_no", "probe_order"), f)
 
 
@@ -550,12 +554,13 @@ def bloom_build(spark, d):
     return bloom.build(_file_keys(spark, d), ["file_no"])
 
 
-@query(f"""{W}{BLOOM}, pr AS (SELECT file_no, user_key FROM (SELECT DISTINCT file_no FROM cl), (SELECT printf('user%05d', r) AS user_key FROM range(0, 3000, 37) t(r))),
-{_duck_hash('pr', 'user_key', codec.HASH_SEED, 'hp')}, pp AS (SELECT file_no, user_key, unnest({_duck_positions('bits')}) AS p FROM pr JOIN fb USING (file_no) JOIN hp ON k = user_key)
+@query(f"""{W}{BLOOM}, pr AS (SELECT file_no, user_key FROM fk UNION ALL SELECT file_no, user_key || 'x' FROM fk UNION ALL SELECT file_no + 1000000, user_key FROM fk),
+{_duck_hash('pr', 'user_key', codec.HASH_SEED, 'hp')}, pp AS (SELECT file_no, user_key, unnest({_duck_positions('coalesce(bits, 64)')}) AS p FROM pr LEFT JOIN fb USING (file_no) JOIN hp ON k = user_key)
 SELECT pp.file_no, user_key, bool_and(coalesce((byte_value >> CAST(p % 8 AS BIGINT)) & 1, 0) = 1) AS may_match FROM pp LEFT JOIN ft ON ft.file_no = pp.file_no AND byte_no = p // 8 GROUP BY 1, 2""")
 def bloom_probe(spark, d):
+    """Each key asks its own file, an absent key too, and a file without a filter."""
     log = _file_keys(spark, d)
-    asked = log.select("file_no").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2999), F.lit(37)))).select("file_no", F.format_string("user%05d", "n").alias("user_key"))
+    asked = log.union(log.select("file_no", F.concat("user_key", F.lit("x")))).union(log.select(F.col("file_no") + 1000000, "user_key"))
     return bloom.probe(asked, bloom.build(log, ["file_no"]), ["file_no"])
 
 
@@ -599,7 +604,7 @@ ro AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY user_key) - 1 AS r
 
 def _urls(spark, d):
     p = table(spark, d, "pages")
-    return p.select((F.col("page_id") % 8).alias("grp"), F.format_string("%s|%08d", "url", "page_id").alias("user_key"), F.substring("html", 1, 200).alias("value"))
+    return p.select((F.col("page_id") % 8).alias("grp"), F.format_string("%s|%08d", "url", "page_id").alias("user_key"), F.col("html").alias("value"))
 
 
 @query(f"""WITH {URLS}, sh AS (SELECT grp, user_key, rn % 16 = 0 AS restart, CASE WHEN rn % 16 = 0 THEN 0
@@ -676,12 +681,12 @@ def wal_scan_corruption(spark, d):
     return found.groupBy("log_no", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("dropped_bytes").alias("dropped_bytes"))
 
 
-@query("""WITH a AS (SELECT event_id AS t, user_id AS k FROM events WHERE event_id < 1500), p AS (SELECT t, k, lag(t) OVER (PARTITION BY k ORDER BY t) AS pt FROM a),
-sd AS (SELECT p.t, count(DISTINCT b.k) AS dist FROM p JOIN a b ON b.t > p.pt AND b.t < p.t GROUP BY p.t)
-SELECT p.t, CASE WHEN p.pt IS NULL THEN 'cold' WHEN coalesce(sd.dist, 0) < 64 THEN 'hit' ELSE 'miss' END AS state FROM p LEFT JOIN sd ON p.t = sd.t""")
+@query("""WITH a AS (SELECT event_id AS t, user_id AS k, user_id % 8 AS shard FROM events), p AS (SELECT t, k, shard, lag(t) OVER (PARTITION BY k ORDER BY t) AS pt FROM a),
+sd AS (SELECT p.t, count(DISTINCT b.k) AS dist FROM p JOIN a b ON b.shard = p.shard AND b.t > p.pt AND b.t < p.t GROUP BY p.t)
+SELECT p.shard, p.t, CASE WHEN p.pt IS NULL THEN 'cold' WHEN coalesce(sd.dist, 0) < 12 THEN 'hit' ELSE 'miss' END AS state FROM p LEFT JOIN sd ON p.t = sd.t""")
 def cache_lru_trace(spark, d):
-    trace = table(spark, d, "events").where("event_id < 1500").select(F.lit(0).alias("shard"), F.col("event_id").alias("t"), F.col("user_id").alias("key"))
-    return cache.lru_trace(trace, 64).select("t", "state")
+    trace = table(spark, d, "events").select((F.col("user_id") % 8).alias("shard"), F.col("event_id").alias("t"), F.col("user_id").alias("key"))
+    return cache.lru_trace(trace, 12)
 
 
 @query(_SQL["kv_latest_scan"])
