@@ -203,7 +203,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows without a key cannot be told apart and stay, all of them."""
     fps = materialize(fingerprints(docs, key, text), "fingerprints")
     first = components(fps).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    one = F.row_number().over(Window.partitionBy("_keep").orderBy(F.length("_text"), F.xxhash64("_text")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"))
+    own = F.col(f"_row.`{text}`")  # within the row: a text is shuffled once
+    one = F.row_number().over(Window.partitionBy("_keep").orderBy(F.length(own), F.xxhash64(own)))
     kept = rows.join(first, F.col("_key") == F.col("_keep")).withColumn("_n", one).where("_n = 1")
     return kept.select("_row.*").union(docs.where(F.col(f"`{key}`").isNull()))
