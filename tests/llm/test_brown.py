@@ -95,3 +95,57 @@ def test_empty(spark):
     alone = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = b.score_documents(docs.withColumn("doc_id", F.lit(alone))).head()  # nothing to learn from
     assert (r["n_known"], r["train_tokens"]) == (0, 0) and r["base_score"] == pytest.approx(0) and r["score"] == pytest.approx(0)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 30])
+def test_every_word_has_a_class(spark, head):
+    """Tail words of three kinds, held or joined as rows, one of them long, go to the classes of their neighbours."""
+    rng = random.Random(3)
+    groups = [[f"{c}{i}" for i in range(8)] for c in "abc"]
+    tails = [[f"tail{c}{i}" for i in range(40)] + [c * 50] for c in "abc"]
+    texts = [" ".join(rng.choice(groups[k % 3] if k % 4 or rng.random() < 0.3 else tails[k % 3]) for k in range(60)) for _ in range(200)]
+    texts += ["", " ".join([tails[0][0], tails[1][0], tails[2][0]]), tails[1][3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), "text").unionAll(spark.createDataFrame([(900, True, "a1 unseen unseen b1"), (901, True, "taila1 tailb1")], "doc_id long, held_out boolean, text string"))
+    counts = b.word_counts(docs)
+    first = b.fit(docs, counts, head, 24, 3)
+    seen = b.read(rows, first)
+    model, tail, linked = b.extend(seen, first, 24)
+    c = Counter(w.encode() for t in texts for w in t.split())
+    of = dict(zip(model.words, model.classes.tolist(), strict=True)) | {r["word"].encode(): r["class"] for r in tail.collect()}
+    assert set(of) == set(c) and max(of.values()) < model.rest and {r["word"].encode(): r["n"] for r in tail.collect()}.items() <= c.items()
+    kinds = [Counter(of[w.encode()] for w in t).most_common(1)[0] for t in tails]
+    assert len({k for k, _ in kinds}) == 3 and all(n >= 38 for _, n in kinds) and all(of[t[-1].encode()] == k for t, (k, _) in zip(tails, kinds, strict=True))
+    for before in range(len(model.gain)):
+        total = sum((n + 0.5) / model.norm * 10 ** model.gain[before, of[w]] for w, n in c.items())
+        total += (model.ends + 0.5) / model.norm * 10 ** model.gain[before, model.end] + 0.5 / model.norm * 10 ** model.gain[before, model.rest]
+        assert total == pytest.approx(1)
+    m = np.zeros_like(model.gain)  # the model from all adjacent classes, by brute force
+    for t in texts:
+        ids = [model.end, *(of[w.encode()] for w in t.split()), model.end]
+        for x, y in zip(ids, ids[1:]):
+            m[x, y] += 1
+    z = np.bincount([of[w] for w in c], [n + 0.5 for n in c.values()], len(m))
+    z[model.end], z[model.rest] = model.ends + 0.5, 0.5
+    assert np.allclose(model.gain, b.estimate(m, z, model.norm))
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    out = b.score(seen, linked, model).collect()
+    assert len(out) == len(text)
+    for r in out:
+        own = text[r["doc_id"]].encode().split()
+        ids = [model.end, *(of.get(w, model.rest) for w in own), model.end]
+        want = sum(math.log10((c[w] + 0.5) / model.norm) for w in own) + math.log10((model.ends + 0.5) / model.norm)
+        assert r["base_score"] == pytest.approx(want) and r["n_known"] == sum(c[w] > 0 for w in own) + 1
+        assert r["score"] == pytest.approx(want + sum(model.gain[x, y] for x, y in zip(ids, ids[1:])))
+
+
+def test_sizes_grow_with_the_corpus():
+    assert b.sizes(1000) == (b.CLUSTERED, b.CLASSES) and b.sizes(0) == (b.CLUSTERED, b.CLASSES)
+    more = b.sizes(100 * b.TOKENS)
+    assert more[0] > 2 * b.CLUSTERED and more[1] > 2 * b.CLASSES
+
+
+def test_long_frequent_words_are_held(spark):
+    counts = spark.createDataFrame([("e" * 40, 100), ("a", 9), ("f" * 90000, 50)], "word string, n long")
+    docs = spark.createDataFrame([("a",)], "text string")
+    assert b.fit(docs, counts, 1 << 18, 2, 2).words == [b"e" * 40, b"a"]
