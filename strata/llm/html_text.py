@@ -1,7 +1,8 @@
 """Main text of HTML pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. A block is described by its own words
-and link density and by those of its neighbours, and by the regions it lies in. A small
+and link density and by those of its neighbours, and by the regions it lies in, which tags and
+names of classes tell. Regions decide first; within them words and links do. A small
 decision tree, trained on the labelled table below, tells main text from the rest.
 """
 
@@ -41,13 +42,15 @@ CLASS = re.compile(
     r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""",
     re.I,
 )
-#: Names of regions that are not main text, wherever they are.
+#: Names of regions that are not main text, unless the words within an article tell otherwise.
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adsense|adbox|adslot|adunit|advert\w*|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|disqus|sidebar|widget|nav\w*|menu|breadcrumbs?|footer"
     r"|cookies?|consent|notices?|alert|popup|modal|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|copyright|disclaimer|contentinfo"
     r"|complementary|navigation|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+#: Names among them that leave no doubt, however long the text is.
+NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|adsense|adbox|adslot|adunit|advert\w*|sponsor\w*|comments?|commentlist|respond|disqus|cookies?|consent)(?:$|[\s_-])", re.I)
 #: Names of page headers; within an article they name its own heading.
 HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 #: Names of elements that hold the article of a page.
@@ -62,7 +65,7 @@ WHITE = re.compile(r"\s+")
 class Block:
     text: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
-    side: bool = False  # within a region that is not main text
+    side: bool = False  # within a region that is not main text for certain, or not shown
     hint: bool = False  # within an element whose class or id names such a region
     main: bool = False  # within the page's article
 
@@ -110,7 +113,8 @@ def blocks(page: str) -> Iterator[tuple[str, float, int, Block]]:
                 main = main or tag in MAIN or (tag in CONTAINER and tag not in ("html", "body") and bool(BODY.search(named)))
                 side = side or tag in SIDE or (tag == "header" and not main)
                 hint = hint or (tag not in ("html", "body") and bool(HINT.search(named) or (not main and HEAD.search(named))))
-                hint = hint or bool(HIDDEN.search(QUOTED.sub("", attrs)) or UNSHOWN.search(attrs))
+                side = side or (tag not in ("html", "body") and bool(NEVER.search(named)))
+                side = side or bool(HIDDEN.search(QUOTED.sub("", attrs)) or UNSHOWN.search(attrs))
                 stack.append((tag, side, hint, main))
         state = stack[-1][1:] if stack else (False, False, False)
         now = Block([], [], *state)
@@ -120,30 +124,37 @@ def blocks(page: str) -> Iterator[tuple[str, float, int, Block]]:
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "side", "hint", "main", "page_main")
 
-#: Labelled blocks. Words and links of a block and its neighbours, seen in pages with an article element both
-#: in the article and out of it: there, only the regions tell.
-SEEN = (
-    (8, 0.0, 6, 0.0, 90, 0.0), (2, 0.0, 9, 0.0, 60, 0.0), (1, 0.0, 12, 0.0, 3, 0.0), (90, 0.0, 8, 0.0, 45, 0.0),
-    (45, 0.1, 90, 0.0, 2, 0.0), (300, 0.0, 0, 0.0, 0, 0.0), (12, 1.0, 40, 0.0, 60, 0.0), (1, 1.0, 1, 1.0, 1, 1.0),
-    (4, 0.5, 5, 0.6, 4, 0.5), (20, 0.0, 1, 1.0, 7, 0.0), (30, 0.3, 10, 1.0, 200, 0.0), (60, 0.0, 200, 0.1, 12, 0.0),
-)
+#: Words and links of the blocks before and after a block: running text, links, text on one side only, nothing.
+PROSE = ((40, 0.0, 60, 0.0), (90, 0.05, 25, 0.1), (30, 0.2, 140, 0.0))
+LINKS = ((2, 1.0, 2, 1.0), (6, 0.9, 5, 0.8), (1, 1.0, 3, 1.0))
+ENDS = ((2, 1.0, 55, 0.0), (0, 0.0, 70, 0.0), (65, 0.0, 0, 0.0), (80, 0.1, 4, 1.0))
+SHORT = ((1, 0.0, 1, 0.0), (3, 0.0, 8, 0.0), (12, 0.1, 2, 0.0), (0, 0.0, 0, 0.0))
+
+#: Words and links of a block: a paragraph, a heading or a short line, a line that is a link or mostly links.
+LONG = ((35, 0.1), (60, 0.0), (90, 0.05), (200, 0.02), (45, 0.2))
+LINE = ((1, 0.0), (3, 0.0), (8, 0.0), (14, 0.0), (20, 0.1), (6, 0.33))
+LINKED = ((1, 1.0), (4, 0.6), (12, 1.0), (7, 0.8), (40, 0.9), (90, 0.7))
+
+
+def _rows(own: tuple, around: tuple, side: int, hint: int, main: int, page_main: int, label: int) -> list[tuple]:
+    return [(*x, *y, side, hint, main, page_main, label) for x in own for y in around]
+
 
-#: The features in the order above, then whether the block is main text.
+ANY = PROSE + LINKS + ENDS + SHORT
+#: Labelled blocks: the features in the order above, then whether the block is main text.
 TABLE = (
-    *((*x, 0, 0, 1, 1, 1) for x in SEEN),  # paragraphs, headings and lists of the article
-    *((*x, 1, 0, 1, 1, 0) for x in SEEN),  # forms, menus and asides in it
-    *((*x, 0, 1, 1, 1, 0) for x in SEEN),  # adverts, notices and comments in it
-    *((*x, 0, 0, 0, 1, 0) for x in SEEN),  # whatever is outside it
-    # pages without an article element: running text
-    (60, 0.0, 8, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (200, 0.05, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (35, 0.1, 50, 0.0, 40, 0.1, 0, 0, 0, 0, 1),
-    (8, 0.0, 2, 1.0, 90, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 70, 0.0, 65, 0.0, 0, 0, 0, 0, 1), (22, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 0, 1),
-    (4, 0.0, 40, 0.0, 45, 0.1, 0, 0, 0, 0, 1), (18, 0.2, 45, 0.0, 12, 0.0, 0, 0, 0, 0, 1), (120, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (10, 0.0, 12, 0.0, 15, 0.0, 0, 0, 0, 0, 1),
-    # pages without an article element: the rest
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.9, 5, 0.8, 7, 1.0, 0, 0, 0, 0, 0), (10, 0.7, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 0), (12, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (30, 0.0, 60, 0.0, 4, 1.0, 0, 1, 0, 0, 0),
-    (50, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0, 0, 0), (45, 0.0, 90, 0.0, 40, 0.0, 0, 1, 0, 0, 0), (20, 1.0, 60, 0.0, 20, 1.0, 0, 0, 0, 0, 0),
-    (4, 1.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 0), (80, 0.8, 10, 0.9, 40, 0.9, 0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 3, 1.0, 1, 1, 0, 0, 0),
+    # the article: all that is not links, links within prose, but no lists of links
+    *_rows(LONG + LINE, ANY, 0, 0, 1, 1, 1), *_rows(LINKED, PROSE + ENDS + SHORT, 0, 0, 1, 1, 1), *_rows(LINKED, LINKS, 0, 0, 1, 1, 0),
+    # sections of it with the name of something else: long text among long text belongs to it, the rest are notices, shares, related pages
+    *_rows(LONG, PROSE, 0, 1, 1, 1, 1), *_rows(LONG, LINKS + ENDS + SHORT, 0, 1, 1, 1, 0), *_rows(LINE + LINKED, ANY, 0, 1, 1, 1, 0),
+    # forms, menus and asides in it, and whatever is outside it
+    *_rows(LONG + LINE + LINKED, ANY, 1, 0, 1, 1, 0), *_rows(LONG + LINE + LINKED, ANY, 1, 1, 1, 1, 0), *_rows(LONG + LINE + LINKED, ANY, 0, 0, 0, 1, 0),
+    *_rows(LONG + LINE + LINKED, ANY, 0, 1, 0, 1, 0), *_rows(LONG + LINE + LINKED, ANY, 1, 0, 0, 1, 0),
+    # pages without an article: text, headings and lines beside text; lines among links are labels of menus
+    *_rows(LONG, ANY, 0, 0, 0, 0, 1), *_rows(LINE, PROSE + ENDS + SHORT, 0, 0, 0, 0, 1), *_rows(LINE, LINKS, 0, 0, 0, 0, 0), *_rows(LINKED, ANY, 0, 0, 0, 0, 0),
+    # regions of such pages that are not main text, comments in article elements of their own included
+    *_rows(LONG + LINE + LINKED, ANY, 1, 0, 0, 0, 0), *_rows(LONG + LINE + LINKED, ANY, 0, 1, 0, 0, 0), *_rows(LONG + LINE + LINKED, ANY, 0, 1, 1, 0, 0),
+    *_rows(LONG + LINE + LINKED, ANY, 1, 1, 1, 0, 0), *_rows(LONG + LINE + LINKED, ANY, 1, 0, 1, 0, 0),
 )
 
 
@@ -189,7 +200,7 @@ def classify(node: Node | bool, row: tuple) -> bool:
 def main_text(page: str | None) -> str:
     """The blocks of main text, joined by line ends; empty for a page without any."""
     found = list(blocks(page or ""))
-    has_main = any(b.main for *_, b in found)
+    has_main = any(b.main and not (b.side or b.hint) for *_, b in found)
     out = []
     for i, (text, links, n, b) in enumerate(found):
         before = found[i - 1] if i else ("", 0.0, 0, b)

@@ -46,6 +46,44 @@ def test_without_an_article():
     assert h.main_text(page) == f"{words}\n{words}"
 
 
+def test_words_and_links_of_blocks_and_neighbours_decide():
+    used = set()
+
+    def walk(node):
+        if isinstance(node, h.Node):
+            used.add(h.FEATURES[node.feature])
+            walk(node.below), walk(node.above)
+
+    walk(h.tree())
+    assert {"words", "links"} <= used and used & {"words_before", "words_after"} and used & {"links_before", "links_after"}
+
+
+def test_comments_in_article_elements_are_not_the_article():
+    words = " ".join(f"word{i}" for i in range(40))
+    page = f'<div class="content"><p>{words}</p><p>{words}</p></div><article class="comment"><p>I like it</p></article><article class="comment"><p>{words} no</p></article>'
+    assert h.main_text(page) == f"{words}\n{words}"
+
+
+@pytest.mark.parametrize(("name", "hidden", "kept"), [("related-work", "", True), ("notice", "", True), ("comments", "", False), ("ad", "", False), ("notice", " hidden", False)])
+def test_long_text_in_named_sections(name, hidden, kept):
+    words = " ".join(f"word{i}" for i in range(50))
+    links = "".join("<li><a href='/x'>one more of them</a></li>" for _ in range(4))
+    page = f'<article><p>{words}</p><div class="{name}"{hidden}><p>{words} own</p><p>short</p></div><p>{words}</p><div class="share"><ul>{links}</ul></div></article>'
+    want = [words, words]
+    assert h.main_text(page) == "\n".join(want)  # its neighbours are short
+    page = page.replace("<p>short</p>", "")
+    assert h.main_text(page) == "\n".join([words, f"{words} own", words] if kept else want)
+
+
+def test_lists_of_links():
+    words = " ".join(f"word{i}" for i in range(50))
+    links = "".join("<li><a href='/x'>one more of them</a></li>" for _ in range(5))
+    link = "<p><a href='/x'>a link</a></p>"
+    assert h.main_text(f"<article><p>{words}</p>{link}<p>{words}</p></article>") == f"{words}\na link\n{words}"
+    assert "of them\none" not in h.main_text(f"<article><p>{words}</p><ul>{links}</ul></article>")
+    assert h.main_text(f"<div><ul>{links}<li>Menu</li>{links}</ul><p>{words}</p></div>") == words
+
+
 def test_query(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
