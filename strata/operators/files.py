@@ -1,7 +1,7 @@
 """File tables ``(level, file_no, smallest, largest, file_size, n_entries)``.
 
-Files of level 0 may overlap; there are few of them, as writes stop at 12. Files of deeper
-levels are disjoint, so a key has at most one file there, which an ordered merge finds.
+Files of level 0 may overlap, so all of them that hold a key are looked up; compactions keep them few, nothing
+else does. Files of deeper levels are disjoint, so a key has at most one file there, which an ordered merge finds.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.schema import L0_COMPACTION, L0_STOP, LEVELS, allowed_seeks, level_bytes
+from strata.schema import L0_COMPACTION, LEVELS, allowed_seeks, level_bytes
 
 
 def metadata(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -77,9 +77,9 @@ def islands(files: DataFrame) -> DataFrame:
 def closure(files: DataFrame, low, high) -> list[int]:
     """Level-0 files that overlap [low, high] once the range is widened by each file found.
 
-    Level 0 holds at most L0_STOP files, so its rows are looked at here, on the driver.
+    The widening is sequential, so all rows of level 0, which are metadata, are looked at here, on the driver.
     """
-    held = sorted((r["file_no"], r["smallest"], r["largest"]) for r in files.where("level = 0").select("file_no", "smallest", "largest").limit(4 * L0_STOP).collect())
+    held = sorted((r["file_no"], r["smallest"], r["largest"]) for r in files.where("level = 0").select("file_no", "smallest", "largest").collect())
     chosen: set[int] = set()
     grown = True
     while grown:
@@ -136,7 +136,7 @@ def files_to_search(keys: DataFrame, files: DataFrame) -> DataFrame:
     Level 0 first, its newest file first, then the one covering file of each deeper level.
     """
     asked = keys.select("user_key").distinct()
-    top = F.broadcast(files.where("level = 0").limit(4 * L0_STOP))
+    top = F.broadcast(files.where("level = 0"))
     young = asked.join(top, F.col("user_key").between(F.col("smallest"), F.col("largest"))).select("user_key", "level", "file_no")
     levels = asked.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS - 1))))
     deep = _merged(levels, files.where("level > 0"), "largest").where(F.col("found.smallest") <= F.col("user_key"))

@@ -76,6 +76,13 @@ def test_level_zero_closure(spark):
     assert files.closure(f, "u", None) == []
 
 
+def test_many_level_zero_files(spark):
+    f = frame(spark, [(0, i, "a", "z", 1, 1) for i in range(1, 61)] + [(0, i, f"z{i}", f"z{i + 1}", 1, 1) for i in range(61, 99)])
+    assert files.closure(f, "k", "l") == list(range(1, 61)) and files.closure(f, "z61", None) == list(range(61, 99))
+    out = files.files_to_search(spark.createDataFrame([("k",)], "user_key string"), f).orderBy("probe_order").collect()
+    assert [r["file_no"] for r in out] == list(range(60, 0, -1))
+
+
 def test_scores(spark):
     two = frame(spark, [(0, 1, "a", "b", 5, 1), (0, 2, "a", "b", 5, 1)])
     r = files.pick_level(two).head()
