@@ -49,14 +49,19 @@ def encode(records: list[bytes], offset: int = 0) -> bytes:
     return bytes(out)
 
 
-def decode(data: bytes) -> Iterator[tuple[bytes | None, int, str | None]]:
+def decode(data: bytes, offset: int = 0) -> Iterator[tuple[bytes | None, int, str | None]]:
     """``(payload, 0, None)`` for records and ``(None, bytes, reason)`` for what is dropped, in order.
 
     A wrong checksum drops the rest of its block. A header or payload that the end of the file
     cuts short is the mark of a writer that died, not damage.
+
+    Records begin at ``offset`` or after it. Reading starts with its block, or the next one if no header fits
+    behind it; fragments before it, and then those of a record begun before it, are passed over silently.
     """
     parts: list[bytes] | None = None
-    for base in range(0, len(data), BLOCK):
+    begun = offset <= 0  # a record has begun at or after the offset
+    start = offset - offset % BLOCK + (BLOCK if offset % BLOCK > BLOCK - HEADER else 0) if offset > 0 else 0
+    for base in range(start, len(data), BLOCK):
         block = data[base : base + BLOCK]
         last, at = len(block) < BLOCK or base + BLOCK >= len(data), 0
         while at + HEADER <= len(block):
@@ -74,7 +79,9 @@ def decode(data: bytes) -> Iterator[tuple[bytes | None, int, str | None]]:
                 yield None, len(block) - at + sum(map(len, parts or ())), "checksum mismatch"
                 parts = None
                 break
-            at += HEADER + n
+            place, at = base + at, at + HEADER + n
+            if place < offset or not (begun := begun or kind in (FULL, FIRST)):
+                continue
             if kind in (FULL, FIRST):
                 if parts is not None:
                     yield None, sum(map(len, parts)), "partial record without end"
@@ -93,8 +100,8 @@ def decode(data: bytes) -> Iterator[tuple[bytes | None, int, str | None]]:
                 parts = None
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All records of log files, one file a task: ``(path, record_no, payload, dropped_bytes, reason)``.
+def read_logs(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
+    """All records of log files that begin at ``offset`` or after it, one file a task: ``(path, record_no, payload, dropped_bytes, reason)``.
 
     Dropped stretches are rows with a reason and no payload.
     """
@@ -103,7 +110,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [(p, i, *x) for i, x in enumerate(decode(content.as_py()))]
+                rows = [(p, i, *x) for i, x in enumerate(decode(content.as_py(), offset))]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])

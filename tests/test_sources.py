@@ -52,6 +52,22 @@ def test_batches():
             wal.decode_batch(broken)
 
 
+def test_initial_offset(spark, tmp_path):
+    rows = [b"a" * 100, b"b" * (2 * wal.BLOCK), b"", b"c" * 50, b"d" * 40000, b"e"]
+    data = wal.encode(rows)
+    begins = {}
+    for record, _, at, _, _ in wal.fragments(map(len, rows)):
+        begins.setdefault(record, at)
+    for offset in sorted({0, len(data), len(data) + wal.BLOCK, *range(0, len(data), 997), *(b + d for b in begins.values() for d in (0, 1) if b + d)}):
+        assert list(wal.decode(data, offset)) == [(r, 0, None) for i, r in enumerate(rows) if begins[i] >= offset]
+    hurt = bytearray(data)
+    hurt[begins[3] + wal.HEADER] ^= 1  # damage after the offset is still told
+    assert [x[2] for x in wal.decode(bytes(hurt), begins[2]) if x[2]][:1] == ["checksum mismatch"]
+    (tmp_path / "000001.log").write_bytes(data)
+    out = wal.read_logs(spark, f"{tmp_path}/*.log", begins[3]).orderBy("record_no").collect()
+    assert [bytes(r["payload"]) for r in out] == rows[3:]
+
+
 def test_logs_as_a_source(spark, tmp_path):
     payloads = [wal.encode_batch(1 + 2 * i, [(1, f"k{i}".encode(), b"v"), (0, b"gone", None)]) for i in range(50)]
     (tmp_path / "000003.log").write_bytes(wal.encode(payloads))
