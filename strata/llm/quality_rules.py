@@ -2,12 +2,13 @@
 
 Every document is measured against a few rules. The failures of each rule are counted by
 domain (the ``source`` column), each domain's failure rate is shrunk towards the corpus with
-a beta prior fitted to all domains, and a domain whose shrunk rate passes ``CONDEMN`` has
-that rule enforced on its documents. The base rules hold for every document.
+a beta prior fitted to all domains, and a domain whose shrunk rate is far above what the prior
+expects of a domain has that rule enforced on its documents. The base rules hold for every document.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,9 @@ from strata.llm.common import SPACE, WORD, let, materialize, words_of
 
 #: Rules in the order of their columns. The first two are the base rules.
 RULES = ("short", "repetitive", "symbols", "dup_lines", "word_length")
-#: A rule is enforced in a domain whose shrunk failure rate is above this.
-CONDEMN = 0.5
+#: A rule is enforced in a domain whose shrunk failure rate is above the prior's mean by so many of the
+#: prior's standard deviations, and in any case above CONDEMN.
+SPREAD, CONDEMN = 0.5, 0.5
 #: Prior strength is kept in these bounds where domains differ hardly or extremely.
 STRENGTH = (1.0, 1000.0)
 
@@ -28,6 +30,13 @@ class Prior:
     alpha: float
     beta: float
 
+    @property
+    def limit(self) -> float:
+        """The shrunk rate above which a host is condemned."""
+        strength = self.alpha + self.beta
+        mean = self.alpha / strength
+        return min(CONDEMN, mean + SPREAD * math.sqrt(mean * (1 - mean) / (strength + 1)))
+
 
 #: Bits of a packed window that hold its position; the others hold the highest bits of its hash.
 PLACE = 24
@@ -135,7 +144,8 @@ def fit_priors(hosts: DataFrame) -> dict[str, Prior]:
 
 
 def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: its shrunk failure rates and, per rule, whether it is enforced there."""
+    """One row per host: its shrunk failure rates and, per rule, whether it is enforced there. A null host
+    is a host; of one host alone, or of hosts that do not differ, none is condemned below CONDEMN."""
     counts = materialize(
         measured.groupBy(F.col(host).alias("_host")).agg(
             F.count(F.lit(1)).alias("docs"), *[F.sum(F.col(f"fails_{r}").cast("long")).alias(f"bad_{r}") for r in RULES]
@@ -145,7 +155,7 @@ def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
     priors = fit_priors(counts)
     return counts.withColumns(
         {f"rate_{r}": (F.col(f"bad_{r}") + p.alpha) / (F.col("docs") + p.alpha + p.beta) for r, p in priors.items()}
-    ).withColumns({f"host_{r}": F.col(f"rate_{r}") > CONDEMN for r in RULES})
+    ).withColumns({f"host_{r}": F.col(f"rate_{r}") > p.limit for r, p in priors.items()})
 
 
 def judge(measured: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
@@ -162,6 +172,9 @@ def judge(measured: DataFrame, verdicts: DataFrame, host: str = "source") -> Dat
 def score_documents(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """The measures and verdict of every row of ``docs``; texts are read once.
 
+    A null text counts as empty and fails the base rules; rows that repeat a key are judged each, and
+    equal rows alike; an empty table gives an empty one. Other columns of ``docs`` are left out.
+
     The measures are a few numbers a document, written to the shared folder, since the host
     counts and the final join both read them.
     """

@@ -13,7 +13,10 @@ def quality_rules_sql() -> str:
     counts = ", ".join(f"count(*) FILTER (fails_{r}) AS bad_{r}" for r in rules)
     means = ", ".join(f"greatest(least(avg(bad_{r} / n), 1 - 1e-6), 1e-6) AS m_{r}, var_pop(bad_{r} / n) AS v_{r}" for r in rules)
     strengths = ", ".join(f"m_{r}, greatest(least(CASE WHEN v_{r} > 0 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE {high} END, {high}), {low}) AS k_{r}" for r in rules)
-    hosts = ", ".join(f"(bad_{r} + m_{r} * k_{r}) / (n + m_{r} * k_{r} + (1 - m_{r}) * k_{r}) > {quality_rules.CONDEMN} AS host_{r}" for r in rules)
+    limit = "least({1}, m_{0} + {2} * sqrt(m_{0} * (1 - m_{0}) / (k_{0} + 1)))"
+    hosts = ", ".join(
+        f"(bad_{r} + m_{r} * k_{r}) / (n + m_{r} * k_{r} + (1 - m_{r}) * k_{r}) > {limit.format(r, quality_rules.CONDEMN, quality_rules.SPREAD)} AS host_{r}" for r in rules
+    )
     broken = " OR ".join(f"(host_{r} AND fails_{r})" for r in rules)
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),

@@ -76,3 +76,25 @@ def test_keep_good_keeps_columns_and_rows(spark):
 @pytest.mark.parametrize("f", [q.score_documents, q.keep_good])
 def test_empty(spark, f):
     assert f(docs(spark, ["x"]).where("false")).count() == 0
+
+
+def test_verdicts_decide_on_the_tables(spark):
+    """Hosts well above the prior lose documents that pass the base rules, and only such as fail a rule."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = q.score_documents(table).collect()
+    decided = [r for r in rows if r["kept"] != (not r["base_failed"])]
+    assert 0 < len(decided) < len(rows) // 10
+    assert all(not r["kept"] and any(r[f"fails_{x}"] for x in q.RULES) for r in decided)
+
+
+def test_equal_hosts_are_not_condemned(spark):
+    junk = " ".join(f"word{i}###" for i in range(60))
+    rows = [(i, junk if i % 5 == 0 else " ".join(f"word{i}" for i in range(60)), f"h{i // 50}" if i < 200 else None) for i in range(250)]
+    assert all(r["kept"] for r in q.score_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+def test_repeated_ids_and_a_long_text(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    text = " ".join(words + words[:1000])
+    got = q.score_documents(docs(spark, [text, text]).withColumn("doc_id", F.lit(7))).collect()
+    assert len(got) == 2 and all((r["doc_id"], r["n_words"], r["n_repeat_words"]) == (7, 41_000, 2000) for r in got)
