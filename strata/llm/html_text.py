@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -44,15 +45,22 @@ CLASS = re.compile(
 )
 #: Names of regions that are not main text, unless the words within an article tell otherwise.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsense|adbox|adslot|adunit|advert\w*|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|disqus|sidebar|widget|nav\w*|menu|breadcrumbs?|footer"
-    r"|cookies?|consent|notices?|alert|popup|modal|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|copyright|disclaimer|contentinfo"
-    r"|complementary|navigation|toolbar|pagination|pager)(?:$|[\s_-])",
-    re.I,
+    r"advert\w*|banner|sponsor\w*|promo\w*|sidebar|widgets?|nav\w*|menus?|breadcrumbs?|footer|notices?|alerts?|popup|modal|newsletter|subscri\w*|signup|login|search|share|sharing"
+    r"|socials?|related|recommend\w*|copyright|disclaimer|contentinfo|complementary|toolbar|pagination|pager"
 )
 #: Names among them that leave no doubt, however long the text is.
-NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|adsense|adbox|adslot|adunit|advert\w*|sponsor\w*|comments?|commentlist|respond|disqus|cookies?|consent)(?:$|[\s_-])", re.I)
+NEVER = re.compile(r"ads?|adsense|adbox|adslot|adunit|advert\w*|sponsor\w*|comments?|commentlist|respond|disqus|cookies?|consent")
 #: Names of page headers; within an article they name its own heading.
-HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+HEAD = re.compile(r"header|masthead|topbar")
+#: Parts of a name that say what kind of element it is and not what it holds. A name is judged by the last other part:
+#: comment-list holds comments, comments-open, related-work and search-page do not hold what they begin with.
+KIND = frozenset(
+    "area articles bar block body bottom box button buttons card cards col column container content form group icon icons inner item items label left link links list module message"
+    " outer overlay panel post posts reading region right root row section slot sticky stories strip text thread title toggle top unit view widget wrap wrapper zone".split()
+)
+#: Parts that say what a name is not, or only that it goes with it.
+WITHOUT = frozenset("has with no not is without hide show".split())
+WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 #: Names of elements that hold the article of a page.
 BODY = re.compile(r"(?:^|\s)(?:main|articleBody|(?:article|entry|post|story)[_-](?:body|content|text))(?:$|\s)", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
@@ -61,20 +69,55 @@ UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WHITE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=1 << 14)
+def _named(names: str) -> tuple[bool, bool, bool]:
+    """Whether any of the names in an attribute tells a region by HINT, NEVER or HEAD."""
+    found = [False] * 3
+    for name in names.split():
+        parts = [x.lower() for x in WORDS.split(name) if x]
+        while len(parts) > 1 and (parts[-1] in KIND or parts[-1].isdigit()):
+            parts.pop()
+        if parts and not WITHOUT.intersection(parts[:-1]):
+            found = [x or bool(p.fullmatch(parts[-1])) for x, p in zip(found, (HINT, NEVER, HEAD), strict=True)]
+    return tuple(found)
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a block is. What lies around an article never decides about it while the page has no other one."""
+
+    side: bool = False  # within a region that is not main text for certain, or not shown
+    hint: bool = False  # within an element whose class or id names such a region
+    main: bool = False  # within an article
+    around: bool = False  # the article is within such an element or region, or has such a name itself
+    never: bool = False  # within advertisements, comments, or what is hidden
+
+    def within(self, tag: str, attrs: str) -> Place:
+        """The place inside a container."""
+        named = " ".join("".join(x) for x in CLASS.findall(attrs))
+        whole = tag in ("html", "body")
+        hint, never, head = (False,) * 3 if whole else _named(named)
+        main = self.main or tag in MAIN or (tag in CONTAINER and not whole and bool(BODY.search(named)))
+        never = self.never or never or bool(HIDDEN.search(QUOTED.sub("", attrs)) or UNSHOWN.search(attrs))
+        hint = self.hint or hint or (head and not main)
+        side = self.side or tag in SIDE or (tag == "header" and not main)
+        if main and not self.main:
+            return Place(False, False, True, side or hint, never)
+        return Place(side, hint, main, self.around, never)
+
+
 @dataclass
 class Block:
     text: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
-    side: bool = False  # within a region that is not main text for certain, or not shown
-    hint: bool = False  # within an element whose class or id names such a region
-    main: bool = False  # within the page's article
+    place: Place = Place()
 
 
 def blocks(page: str) -> Iterator[tuple[str, float, int, Block]]:
     """(text, link density, words, block) of each block with text, in page order."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # container tag, side, hint, main
+    stack: list[tuple[str, Place]] = []
+    open_ = Counter()  # of each container in the stack
     now, link, at = Block(), False, 0
-    state = (False, False, False)
 
     def finish() -> Iterator[tuple[str, float, int, Block]]:
         text = WHITE.sub(" ", html.unescape("".join(now.text))).strip()
@@ -102,22 +145,15 @@ def blocks(page: str) -> Iterator[tuple[str, float, int, Block]]:
         yield from finish()
         link = False
         if tag in CONTAINER or tag in SIDE:
-            if m["end"]:
-                names = [x[0] for x in stack]
-                if tag in names:
-                    del stack[len(names) - 1 - names[::-1].index(tag) :]
-            else:
-                side, hint, main = stack[-1][1:] if stack else (False, False, False)
-                attrs = m["attrs"] or ""
-                named = " ".join("".join(x) for x in CLASS.findall(attrs))
-                main = main or tag in MAIN or (tag in CONTAINER and tag not in ("html", "body") and bool(BODY.search(named)))
-                side = side or tag in SIDE or (tag == "header" and not main)
-                hint = hint or (tag not in ("html", "body") and bool(HINT.search(named) or (not main and HEAD.search(named))))
-                side = side or (tag not in ("html", "body") and bool(NEVER.search(named)))
-                side = side or bool(HIDDEN.search(QUOTED.sub("", attrs)) or UNSHOWN.search(attrs))
-                stack.append((tag, side, hint, main))
-        state = stack[-1][1:] if stack else (False, False, False)
-        now = Block([], [], *state)
+            if not m["end"]:
+                stack.append((tag, (stack[-1][1] if stack else Place()).within(tag, m["attrs"] or "")))
+                open_[tag] += 1
+            elif open_[tag]:
+                ended = None
+                while ended != tag:
+                    ended = stack.pop()[0]
+                    open_[ended] -= 1
+        now = Block([], [], stack[-1][1] if stack else Place())
     add(page[at:])
     yield from finish()
 
@@ -200,19 +236,24 @@ def classify(node: Node | bool, row: tuple) -> bool:
 def main_text(page: str | None) -> str:
     """The blocks of main text, joined by line ends; empty for a page without any."""
     found = list(blocks(page or ""))
-    has_main = any(b.main and not (b.side or b.hint) for *_, b in found)
+    clean = any(b.place.main and not (b.place.side or b.place.hint or b.place.around or b.place.never) for *_, b in found)
+    places = [(p.side or p.never or (clean and p.around), p.hint, p.main) for p in (b.place for *_, b in found)]
+    has_main = any(main and not (side or hint) for side, hint, main in places)
+    nothing = ("", 0.0, 0, None)
     out = []
-    for i, (text, links, n, b) in enumerate(found):
-        before = found[i - 1] if i else ("", 0.0, 0, b)
-        after = found[i + 1] if i + 1 < len(found) else ("", 0.0, 0, b)
-        row = (n, links, before[2], before[1], after[2], after[1], b.side, b.hint, b.main, has_main)
-        if classify(tree(), row):
+    for i, (text, links, n, _) in enumerate(found):
+        before, after = found[i - 1] if i else nothing, found[i + 1] if i + 1 < len(found) else nothing
+        if classify(tree(), (n, links, before[2], before[1], after[2], after[1], *places[i], has_main)):
             out.append(text)
     return "\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` for every row of ``pages``; null and empty pages give empty texts."""
+    """``(page_id, url, text, n_chars)`` for every row of ``pages``; null and empty pages give empty texts.
+
+    Repeated rows come back as often as they occur, an empty table gives an empty one, other columns
+    are left out, and a page is read whole, however long or deep it is.
+    """
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from strata.llm import html_text as h
@@ -64,7 +66,7 @@ def test_comments_in_article_elements_are_not_the_article():
     assert h.main_text(page) == f"{words}\n{words}"
 
 
-@pytest.mark.parametrize(("name", "hidden", "kept"), [("related-work", "", True), ("notice", "", True), ("comments", "", False), ("ad", "", False), ("notice", " hidden", False)])
+@pytest.mark.parametrize(("name", "hidden", "kept"), [("related", "", True), ("notice", "", True), ("comments", "", False), ("ad", "", False), ("notice", " hidden", False)])
 def test_long_text_in_named_sections(name, hidden, kept):
     words = " ".join(f"word{i}" for i in range(50))
     links = "".join("<li><a href='/x'>one more of them</a></li>" for _ in range(4))
@@ -84,6 +86,32 @@ def test_lists_of_links():
     assert h.main_text(f"<div><ul>{links}<li>Menu</li>{links}</ul><p>{words}</p></div>") == words
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post comments-open">{}</article>', '<div class="site has-sidebar"><article>{}</article></div>', '<main class="search-page">{}</main>',
+        '<article><section class="related-work">{}</section></article>', '<article><div class="share-price-table">{}</div></article>', '<form id="aspnetForm"><article>{}</article></form>',
+        '<div class="widget"><article>{}</article></div>', '<main class="search">{}</main>', '<div id="no-ads"><article class="no-comments">{}</article></div>',
+    ],
+)
+def test_names_that_only_begin_like_a_region(page):
+    words = " ".join(f"word{i}" for i in range(40))
+    assert h.main_text(page.format(f"<h1>Title</h1><p>{words}</p><p>end</p>")) == f"Title\n{words}\nend"
+
+
+@pytest.mark.parametrize("name", ["comment-list", "commentsArea", "ad_slot", "banner-ad", "cookie-banner", "site-footer__nav", "sidebar-left", "share-buttons", "widget_text", "main-nav", "related-posts"])
+def test_names_of_regions(name):
+    page = f'<div class="{name}"><article><p>A card with a few words.</p></article></div><article><p>The text of the page itself.</p><div class="x {name}"><p>no</p></div></article>'
+    assert h.main_text(page) == "The text of the page itself."
+
+
+def test_deep_nesting_takes_linear_time():
+    n = 60_000
+    began = time.time()
+    assert h.main_text("<div>" * n + "text here</p></ul></section>" * n + "</div>" * n).count("\n") == n - 1
+    assert time.time() - began < 30
+
+
 def test_query(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
