@@ -79,13 +79,13 @@ class _Members:
     """The inflated bytes of one gzip member after another."""
 
     def __init__(self, source):
-        self.source, self.rest, self.inflate, self.ready = source, b"", None, b""
+        self.source, self.rest, self.inflate, self.ready = source, b"", None, bytearray()
 
     def open(self) -> bool:
         """Go to the next member; False at the end of the file."""
         if not self.rest:
             self.rest = self.source.read(CHUNK)
-        self.inflate, self.ready = zlib.decompressobj(31), b""
+        self.inflate, self.ready = zlib.decompressobj(31), bytearray()
         return bool(self.rest)
 
     def _more(self) -> bool:
@@ -98,18 +98,23 @@ class _Members:
         self.rest = self.inflate.unused_data if self.inflate.eof else b""
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.ready.find(mark)) < 0:
-            if len(self.ready) > most or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        """What comes up to and with ``mark``: a header, which is held whole as the writer held it."""
+        seen = 0
+        while (at := self.ready.find(mark, seen)) < 0:
+            seen = max(0, len(self.ready) - len(mark) + 1)
+            if not self._more():
                 raise WarcError("a header has no end")
-        out, self.ready = self.ready[: at + len(mark)], self.ready[at + len(mark) :]
+        out = bytes(self.ready[: at + len(mark)])
+        del self.ready[: at + len(mark)]
         return out
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
             if not self.ready and not self._more():
                 raise WarcError("a block is shorter than its content length")
-            part, self.ready = self.ready[:n], self.ready[n:]
+            part = bytes(self.ready[:n])
+            del self.ready[:n]
             n -= len(part)
             yield part
 
@@ -236,7 +241,12 @@ def read_archives(paths: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write archives of all ``pages`` to the shared folder and read them back, one row per record."""
+    """Write archives of all ``pages`` to the shared folder and read them back, one row per record.
+
+    A null html is an empty payload, a null url is written as about:blank. Rows that repeat a page_id are
+    records each; of equal payloads the largest page_id is the response, and all rows that repeat it. A null
+    page_id revisits any other. Headers and payloads of any length are whole; an empty table gives an empty one.
+    """
     folder = scratch_path(pages.sparkSession, "warc")
     kind = dict(pages.dtypes)["page_id"]
     return read_archives(write_archives(pages, folder, least)).select(

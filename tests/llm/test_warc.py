@@ -56,3 +56,11 @@ def test_damage():
     ):
         with pytest.raises((w.WarcError, KeyError, ValueError), match=why):
             list(w.read_records(io.BytesIO(bad)))
+
+
+def test_very_long_headers(spark):
+    url = "é" * 200_000  # over 1 MiB once it is quoted
+    got = w.round_trip(spark.createDataFrame([(1, url, "x"), (2, url, "x")], SCHEMA)).collect()
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in got) == [(1, "revisit", 1), (2, "response", 1)]
+    r = next(iter(w.read_records(io.BytesIO(w.record(1, url, b"y", None)))))
+    assert len(r.fields["warc-target-uri"]) == 1_200_000
