@@ -40,9 +40,11 @@ def candidates(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarr
     """
     cx, sx, ex, lx = quantise(x)
     cy, sy, ey, ly = quantise(y)
-    # float32 holds sums of int8 products exactly up to 2**24, so long vectors are cut
+    # float32 holds sums of int8 products exactly up to 2**24, so long vectors are cut, and the parts added in double
     step = (1 << 24) // (127 * 127)
-    dots = sum(cx[:, k : k + step].astype(np.float32) @ cy[:, k : k + step].astype(np.float32).T for k in range(0, x.shape[1], step))
+    dots = np.zeros((len(x), len(y)))
+    for k in range(0, x.shape[1], step):
+        dots += cx[:, k : k + step].astype(np.float32) @ cy[:, k : k + step].astype(np.float32).T
     bound = dots * sx[:, None] * sy[None, :] + np.outer(lx, ey) + np.outer(ex, ly) + np.outer(ex, ey)
     return np.nonzero(bound >= threshold - SLACK)
 
@@ -73,6 +75,8 @@ def _tile(threshold: float):
         for dim in np.unique(lengths):  # vectors of unequal lengths have no cosine
             rows = np.flatnonzero(lengths == dim)
             full = flat[starts[rows][:, None] + np.arange(dim)]
+            # by powers of two, which change no bit of a cosine, so that no square leaves the range of doubles
+            full = np.ldexp(full, -np.frexp(np.abs(full).max(axis=1))[1][:, None])
             unit = full / np.linalg.norm(full, axis=1)[:, None]
             left = np.flatnonzero(own[rows])
             right = np.flatnonzero(~own[rows]) if not own.all() else left

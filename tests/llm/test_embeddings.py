@@ -60,3 +60,26 @@ def test_bounds_are_rigorous():
 
 def test_empty(spark):
     assert e.link_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bounds_hold_for_long_vectors():
+    """Beyond 1,040 components integer products pass what float32 holds; pairs lie on the threshold."""
+    rng = np.random.default_rng(3)
+    x = rng.choice([-1.0, 1.0], size=(60, 4096)) * rng.uniform(0.95, 1, size=(60, 4096))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x + rng.normal(size=x.shape) * 0.0032
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    true = np.einsum("ij,ij->i", x, y)
+    cx, sx, ex, lx = e.quantise(x)
+    cy, sy, ey, ly = e.quantise(y)
+    exact = (cx.astype(np.int64) * cy).sum(axis=1)
+    assert exact.max() > 1 << 24
+    assert (np.abs(exact * sx * sy - true) <= lx * ey + ex * ly + ex * ey + e.SLACK).all()
+    for i, t in enumerate(true.tolist()):  # each pair at its own cosine as the threshold
+        assert len(e.candidates(x[i : i + 1], y[i : i + 1], t)[0]) == 1
+
+
+def test_vectors_near_the_ends_of_doubles(spark):
+    rows = [(1, [1e300, 1e300], 1), (2, [2e-300, 2e-300], 1), (3, [1e300, -1e300], 1), (4, [5e-324, 0.0], 1), (5, [1.0, 1e-9], 1)]
+    got = e.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False)]
