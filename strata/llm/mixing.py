@@ -7,6 +7,8 @@ probability of the fraction, drawn from a hash of the seed and the document's id
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,28 +24,49 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"{WORD}+")).cast("long")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """Add ``rank``, from 0 on, of each source by code point, null last. Sources are sorted within ranges, and
+    a range begins where the counts of those before it end; no task holds them all."""
+    name = F.col("source")
+    dealt = sizes.withColumn("_null", name.isNull()).repartitionByRange("_null", "source").withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    counts = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())  # a row a partition
+    starts = dict(zip([p for p, _ in counts], accumulate([0, *(n for _, n in counts)]), strict=False))
+    begin = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.create_map().cast("map<int,int>")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(name.asc_nulls_last())) - 1
+    return dealt.withColumn("rank", F.try_element_at(begin, F.col("_part")) + place).drop("_part", "_null")
+
+
+def level_of(sources: DataFrame, share: float = SHARE, most: int = MOST) -> float:
+    """``(source_size, weight, bound)`` -> the words per unit of weight at which the targets add up to ``share`` of all.
+
+    Beginning with no source full, each round adds up the sources that the last level fills and those it
+    does not; what the full ones cannot take raises the level of the rest, until no further one is full.
+    """
+    level, full = None, -1
+    while True:
+        is_full = F.lit(False) if level is None else F.col("bound") <= F.lit(level)
+        row = sources.agg(
+            F.sum("source_size").alias("all"), F.max("bound").alias("top"), F.count_if(is_full).alias("full"),
+            F.sum(F.when(is_full, most * F.col("source_size"))).alias("caps"), F.sum(F.when(~is_full, F.col("weight"))).alias("open"),
+        ).head()
+        if row["full"] == full or row["all"] is None:
+            return level or 0.0
+        if row["open"] is None:
+            return row["top"]
+        level, full = (share * row["all"] - (row["caps"] or 0)) / row["open"], row["full"]
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``(source, source_size)`` -> the same with ``target`` and ``rate``.
 
-    All sources share ``share`` of the words by weight. The level is the words per unit of
-    weight at which the targets, each stopped at ``most`` times its source's size, add up to
-    that: with the sources sorted by most * size / weight, those below the level are full.
-    Only one row per source is sorted here. A source without words has target and rate 0.
+    All sources share ``share`` of the words by weight, each stopped at ``most`` times its size. A source
+    without words has target and rate 0.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    full = Window.orderBy("bound", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    ranked = (
-        sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1).cast("double"))
-        .withColumn("bound", most * F.col("source_size") / F.col("weight"))
-        .withColumn("cap_before", F.sum(most * F.col("source_size")).over(full) - most * F.col("source_size"))
-        .withColumn("open", F.sum("weight").over(whole) - F.sum("weight").over(full) + F.col("weight"))
-        .withColumn("level", (F.lit(share) * F.sum("source_size").over(whole) - F.col("cap_before")) / F.col("open"))
-        # the first source that its level does not fill sets the level of all; the last one if all are full
-        .withColumn("level", F.coalesce(F.min(F.when(F.col("level") < F.col("bound"), F.struct("bound", "source", "level"))).over(whole)["level"], F.max("bound").over(whole)))
-    )
-    target = F.least(most * F.col("source_size").cast("double"), F.col("level") * F.col("weight"))
-    return ranked.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("rank") % len(weights) + 1).cast("double")
+    sources = materialize(ranked(sizes).withColumn("weight", weight).withColumn("bound", most * F.col("source_size") / F.col("weight")), "sources")
+    target = F.least(most * F.col("source_size").cast("double"), F.lit(level_of(sources, share, most)) * F.col("weight"))
+    return sources.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
 def chance(key: Column, seed: str = SEED) -> Column:
@@ -55,7 +78,7 @@ def chance(key: Column, seed: str = SEED) -> Column:
 def plan(sized: DataFrame, source: str = "source") -> DataFrame:
     """Rows with ``_size`` -> the source table with its targets: one small row per source, in the shared folder."""
     sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("_size").alias("source_size"))
-    made = materialize(targets(materialize(sizes, "sources")), "targets")
+    made = materialize(targets(materialize(sizes, "sizes")), "targets")
     return made.select(F.col("source").alias("_source"), "source_size", "target", "rate")
 
 
@@ -69,7 +92,8 @@ def draw(sized: DataFrame, key: str = "doc_id", source: str = "source") -> DataF
 
 def emit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as drawn. Words are counted once; the texts
-    are read again to be emitted and are never shuffled, as only the source table is joined."""
+    are read again to be emitted and are never shuffled, as only the source table is joined. Null texts have
+    no words and are emitted as their source's rate says; a null source is a source; an empty table stays empty."""
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_src"), size_of(F.col(text)).alias("_size"))
     out = draw(row, "_key", "_src").where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -77,6 +101,8 @@ def emit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words the mix takes of it."""
+    """One row per document: its size, its source's size and target, and the words the mix takes of it. A null
+    text has no words, a null source is a source, rows that repeat a key are drawn alike; an empty table gives an
+    empty one. Other columns of ``docs`` are left out."""
     sized = materialize(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("_size")), "sizes")
     return draw(sized).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))

@@ -63,3 +63,21 @@ def test_empty(spark):
     assert mixing.summary(none).count() == 0 and mixing.emit(none).count() == 0
     blank = mixing.summary(docs(spark, [(1, None, None), (2, "", "a")])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in blank] == [(0, 0.0, 0)] * 2
+
+
+def test_many_sources_without_a_single_task(spark):
+    """Ranks and the level of 3,000 sources equal the plain way; no window or sort has them all in one partition."""
+    rng = random.Random(5)
+    sizes = {f"s{rng.randrange(10**9)}": int(10 ** rng.uniform(0, 6)) for _ in range(3000)} | {None: 77, "": 5}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(frame).collect()}
+    want = brute(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+    order = sorted(mixing.ranked(frame).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in order] == list(range(len(sizes))) and [r["source"] for r in order] == sorted(x for x in sizes if x is not None) + [None]
+    assert "SinglePartition" not in mixing.ranked(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_very_long_text(spark):
+    got = {r["doc_id"]: r["size"] for r in mixing.summary(docs(spark, [(1, "word " * 400_000, "a"), (2, "x", "b")])).collect()}
+    assert got == {1: 400_000, 2: 1}
