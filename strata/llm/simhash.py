@@ -1,15 +1,21 @@
-"""SimHash near-duplicates: deletion-variant signatures over three segments.
+"""SimHash near-duplicates: deletion-variant signatures over few segments.
 
 Two 64-bit fingerprints that differ in at most four bits differ in at most one bit in at
 least one of three segments. Every fingerprint is therefore indexed under, per segment, each
 variant of the segment with one bit replaced by a wildcard (64 variants in all). Fingerprints
 under an equal variant are compared in full; a variant with m fingerprints yields at most
 m - 1 links, a spanning forest of its close pairs, which leaves the components unchanged.
+
+A ``Scheme`` says how wide fingerprints are, how they are cut and which are close. With s segments
+all pairs of up to 2 s - 1 unequal bits share a variant; of those beyond, most do, as it takes one
+segment only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,54 +28,96 @@ from strata.llm.common import materialize
 from strata.llm.components import connected_components, with_least
 
 SEED = 42
-SHINGLE = 4
-DISTANCE = 4
-#: (first bit, bits) of each segment.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles whose bits are counted at a time, and fingerprints of one variant compared in one task.
 CHUNK, BLOCK = 1 << 15, 1 << 12
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint; a null text or one without words has 0."""
+@dataclass(frozen=True)
+class Scheme:
+    """Words in a shingle; bits of a fingerprint, a multiple of 64; the number of its segments, the longer ones
+    first; unequal bits of close fingerprints."""
+
+    shingle: int = 4
+    bits: int = 64
+    segments: int = 3
+    distance: int = 4
+
+    @property
+    def columns(self) -> list[str]:
+        """A fingerprint's 64-bit words, the lowest first."""
+        return ["fp", *(f"fp{i}" for i in range(1, self.bits // 64))]
+
+    @property
+    def cuts(self) -> list[tuple[int, int]]:
+        """(first bit, bits) of each segment; a segment may span two words."""
+        sizes = [self.bits // self.segments + (i < self.bits % self.segments) for i in range(self.segments)]
+        return list(zip(accumulate(sizes, initial=0), sizes, strict=False))
+
+
+#: Four bits of 64 over four-word shingles, and for whole corpora five-word shingles and a similarity from 0.8 on: two sets
+#: of shingles of similarity s have directions of cosine 2 s / (1 + s), which at 0.8 differ in 0.15 of all bits on average.
+EXACT, SIMILAR = Scheme(), Scheme(5, 128, 8, 22)
+
+
+def fingerprint(text: str | None, scheme: Scheme = EXACT) -> np.ndarray:
+    """The fingerprint as 64-bit words; a null text or one without words has 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six ASCII spaces
-    n = len(words) - shingle + 1
-    if n < 1:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
-    ones = np.zeros(64, np.int64)
+    if not words:
+        return np.zeros(scheme.bits // 64, np.uint64)
+    width = min(scheme.shingle, len(words))
+    n = len(words) - width + 1
+    ones = np.zeros(scheme.bits, np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for at in range(0, n, CHUNK):
         upto = min(at + CHUNK, n)
-        shifted = [words[at + i : upto + i] for i in range(shingle)]
+        shifted = [words[at + i : upto + i] for i in range(width)]
         hashes = np.fromiter((digest(join(x), SEED) for x in zip(*shifted, strict=True)), np.uint64, upto - at)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        for k in range(scheme.bits // 64):
+            hashes = _mixed(hashes) if k else hashes
+            ones[64 * k : 64 * k + 64] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Further 64 bits of hashes, by odd multipliers and shifts."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, fp as a signed long, for every row."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = EXACT) -> DataFrame:
+    """``(doc_id, fp...)``, its words as signed longs, for every row."""
+    names = scheme.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), scheme) for t in b.column(1)], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, i]) for i in range(len(names)))], ["doc_id", *names])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    made = ", ".join(f"{c} long" for c in names)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, {made}")
 
 
-def _variants(fps: DataFrame) -> DataFrame:
-    """One row per fingerprint and wildcard bit: the segment without that bit, under the bit's number."""
+def _variants(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """One row per node and wildcard bit: the segment without that bit, under the bit's number."""
     keys = []
-    for first, bits in SEGMENTS:
-        segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
+    for first, bits in scheme.cuts:
+        word, low = divmod(first, 64)
+        segment = F.shiftrightunsigned(scheme.columns[word], low)
+        if low + bits > 64:
+            segment = segment.bitwiseOR(F.shiftleft(scheme.columns[word + 1], 64 - low))
         keys += [F.lit((first + i) << 32) + segment.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << i))) for i in range(bits)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("key"))
 
 
-def _forest(values: np.ndarray, others: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join what close pairs join: among ``values``, or between them and ``others``."""
-    nodes = values if others is None else np.concatenate([values, others])
-    parent = np.arange(len(nodes))
+def _unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unequal bits of fingerprints, row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _forest(values: np.ndarray, nodes: np.ndarray, distance: int, split: int | None = None) -> list[tuple[int, int]]:
+    """Links that join what close pairs join: among all ``values``, or between the first ``split`` and the others."""
+    parent = np.arange(len(values))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -78,30 +126,38 @@ def _forest(values: np.ndarray, others: np.ndarray | None = None) -> list[tuple[
         return i
 
     links = []
-    for i in range(len(values)):
-        lo = i + 1 if others is None else len(values)
-        near = lo + np.flatnonzero(np.bitwise_count(nodes[lo:] ^ nodes[i]) <= DISTANCE)
+    for i in range(len(values) if split is None else split):
+        lo = i + 1 if split is None else split
+        near = lo + np.flatnonzero(_unequal(values[lo:], values[i]) <= distance)
         near = near[parent[near] != parent[i]]
         for j in near:
             a, b = root(i), root(int(j))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                links.append((int(nodes[i].view(np.int64)), int(nodes[j].view(np.int64))))
+                links.append((int(nodes[i]), int(nodes[j])))
     return links
 
 
-def _close_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> links, and the rows of runs over BLOCK to be compared by tiles.
+def _close_in_runs(scheme: Scheme):
+    """Rows ``(key, fp..., node)`` sorted by key -> links, and the rows of runs over BLOCK to be compared by tiles.
+    Without a column for it, the node is the fingerprint's only word.
 
     Short runs are compared at once for all runs of a batch, by the distance in the sorted
     order; the last run of a batch waits for the next batch.
     """
+    words, most = len(scheme.columns), scheme.distance
+    names = ["a", "b", "key", "block", *scheme.columns]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "key", "block"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 2
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *(pa.nulls(len(rows), pa.int64()) for _ in names[2:])], names)
+
+    def passed_on(fps: np.ndarray, nodes: np.ndarray, key: int, block: int) -> pa.RecordBatch:
+        n = len(nodes)
+        own = [pa.array(fps[:, i].view(np.int64)) for i in range(words)]
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), pa.array(np.full(n, block)), *own], names)
 
-    def within(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def within(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
         short = np.repeat(sizes <= 32, sizes)
@@ -110,66 +166,78 @@ def _close_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             i = np.flatnonzero(short[:-d] & (keys[d:] == keys[:-d]))
             if not len(i):
                 break
-            i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= DISTANCE]
-            rows += zip(fps[i].view(np.int64).tolist(), fps[i + d].view(np.int64).tolist(), [None] * len(i), [None] * len(i), strict=True)
+            i = i[_unequal(fps[i], fps[i + d]) <= most]
+            rows += zip(nodes[i].tolist(), nodes[i + d].tolist(), strict=True)
         for at, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-            rows += [(a, b, None, None) for a, b in _forest(fps[at : at + n])]
+            rows += _forest(fps[at : at + n], nodes[at : at + n], most)
         if rows:
             yield out(rows)
 
-    key, parts, done = None, [], 0  # the run that is still open; blocks of it that have been passed on
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal parts, done
-        if parts:
-            run = np.concatenate(parts)
-            if done:
-                yield out([(int(x.view(np.int64)), None, key, done) for x in run])
-            elif len(run) > 1:
-                yield from within(np.zeros(len(run), np.int64), run)
-        parts, done = [], 0
-
-    for b in batches:
-        keys, fps = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-        if not len(keys):
-            continue
-        head = int(np.searchsorted(keys, keys[0], "right")) if keys[0] == key else 0
-        tail = int(np.searchsorted(keys, keys[-1], "left"))
-        if head:
-            parts.append(fps[:head])
-        if head < len(keys):
-            yield from close()
-            if head < tail:
-                yield from within(keys[head:tail], fps[head:tail])
-            key, parts = int(keys[-1]), [fps[max(head, tail) :]]
-        while sum(map(len, parts)) > BLOCK:
-            run = np.concatenate(parts)
-            yield out([(int(x.view(np.int64)), None, key, done) for x in run[:BLOCK]])
-            parts, done = [run[BLOCK:]], done + 1
-    yield from close()
-
-
-def _tile(group: pa.Table) -> pa.Table:
-    left = group.filter(pa.compute.equal(group["own"], True))["fp"].to_numpy().view(np.uint64)
-    right = group.filter(pa.compute.equal(group["own"], False))["fp"].to_numpy().view(np.uint64)
-    links = _forest(left, right if len(right) else None)
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-
-def close_pairs(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` -> links ``(a, b)`` whose components are those of all pairs at DISTANCE or less."""
-    spread = _variants(fps).repartition("key").sortWithinPartitions("key").select("key", "fp")
-    found = materialize(spread.mapInArrow(_close_in_runs, "a long, b long, key long, block long"), "close")
-    large = found.where("b is null").select(F.col("a").alias("fp"), "key", "block")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, done = None, [], 0  # the run that is still open; blocks of it that have been passed on
+
+        def held() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal parts, done
+            if parts:
+                fps, nodes = held()
+                if done:
+                    yield passed_on(fps, nodes, key, done)
+                elif len(nodes) > 1:
+                    yield from within(np.zeros(len(nodes), np.int64), fps, nodes)
+            parts, done = [], 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            fps = np.stack([b.column(1 + i).to_numpy() for i in range(words)], axis=1).view(np.uint64)
+            nodes = b.column(b.num_columns - 1).to_numpy()
+            head = int(np.searchsorted(keys, keys[0], "right")) if keys[0] == key else 0
+            tail = int(np.searchsorted(keys, keys[-1], "left"))
+            if head:
+                parts.append((fps[:head], nodes[:head]))
+            if head < len(keys):
+                yield from close()
+                if head < tail:
+                    yield from within(keys[head:tail], fps[head:tail], nodes[head:tail])
+                at = max(head, tail)
+                key, parts = int(keys[-1]), [(fps[at:], nodes[at:])]
+            while sum(len(x) for x, _ in parts) > BLOCK:
+                fps_, nodes_ = held()
+                yield passed_on(fps_[:BLOCK], nodes_[:BLOCK], key, done)
+                parts, done = [(fps_[BLOCK:], nodes_[BLOCK:])], done + 1
+        yield from close()
+
+    return run
+
+
+def _tile(scheme: Scheme):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("own", "descending")])
+        values = np.stack([group[c].to_numpy() for c in scheme.columns], axis=1).view(np.uint64)
+        own = int(np.count_nonzero(group["own"].to_numpy()))
+        links = _forest(values, group["node"].to_numpy(), scheme.distance, own if own < len(values) else None)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def close_pairs(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """Distinct fingerprints ``(fp...)`` or ``(fp..., node)`` -> links ``(a, b)`` of nodes whose components are those of
+    all pairs that share a variant and are close."""
+    kinds = ", ".join(f"{c} long" for c in ["a", "b", "key", "block", *scheme.columns])
+    spread = _variants(nodes, scheme).repartition("key").sortWithinPartitions("key").select("key", *nodes.columns)
+    found = materialize(spread.mapInArrow(_close_in_runs(scheme), kinds), "close")
+    large = found.where("b is null").select(F.col("a").alias("node"), "key", "block", *scheme.columns)
     links = found.where("b is not null").select("a", "b")
     if not large.isEmpty():
         last = large.groupBy("key").agg(F.max("block").alias("last"))
-        met = (
-            large.join(last, "key")
-            .select("fp", "key", "block", F.explode(F.expr("sequence(0L, last)")).alias("other"))
-            .select("fp", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("own"))
-        )
-        links = links.union(met.groupBy("key", "i", "j").applyInArrow(_tile, "a long, b long"))
+        met = large.join(last, "key").select("*", F.explode(F.expr("sequence(0L, last)")).alias("other"))
+        met = met.select("node", *scheme.columns, "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("own"))
+        links = links.union(met.groupBy("key", "i", "j").applyInArrow(_tile(scheme), "a long, b long"))
     return links.distinct()
 
 
@@ -198,11 +266,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return components(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Scheme = SIMILAR) -> DataFrame:
     """One row of each group of near copies: that with the smallest key; of rows that repeat a key, one.
-    Rows without a key cannot be told apart and stay, all of them."""
-    fps = materialize(fingerprints(docs, key, text), "fingerprints")
-    first = components(fps).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    Rows without a key cannot be told apart and stay, all of them. Null and empty texts are copies of each
+    other; an empty table stays empty; columns of any name are kept."""
+    fps = materialize(fingerprints(docs, key, text, scheme), "fingerprints")
+    nodes = materialize(fps.where("doc_id is not null").groupBy(*scheme.columns).agg(F.min("doc_id").alias("node")), "nodes")
+    reached = connected_components(close_pairs(nodes, scheme).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    first = nodes.join(reached, "node", "left_anti").select(F.col("node").alias("_keep")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"))
     own = F.col(f"_row.`{text}`")  # within the row: a text is shuffled once
     one = F.row_number().over(Window.partitionBy("_keep").orderBy(F.length(own), F.xxhash64(own)))

@@ -112,3 +112,59 @@ def test_connected_components(spark, seed):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     assert {i: got.get(i, i) for i in parent} == {i: root(i) for i in parent}
+
+
+def test_wide_fingerprints():
+    scheme = s.Scheme(5, 128, 8, 22)
+    words = [f"w{i % 97}" for i in range(300)]
+    parts = [" ".join(words[i : i + 5]).encode() for i in range(296)]
+    low = np.array([xxhash.xxh64_intdigest(p, 42) for p in parts], np.uint64)
+    want = [sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > 296) for h in (low, s._mixed(low))]
+    assert s.fingerprint(" ".join(words), scheme).tolist() == want
+    assert s.fingerprint("one", scheme).tolist()[0] == xxhash.xxh64_intdigest(b"one", 42)
+    assert scheme.cuts == [(16 * i, 16) for i in range(8)] and s.EXACT.cuts == [(0, 22), (22, 21), (43, 21)]
+    assert s.Scheme(5, 128, 3, 5).cuts == [(0, 43), (43, 43), (86, 42)]
+
+
+@pytest.mark.parametrize(("segments", "block"), [(8, 1 << 12), (8, 8), (3, 1 << 12)])
+def test_all_pairs_within_the_segments_reach(spark, segments, block, monkeypatch):
+    """Up to 2 s - 1 unequal bits no pair is lost, also where a segment spans two words and where runs go by tiles."""
+    monkeypatch.setattr(s, "BLOCK", block)
+    scheme = s.Scheme(5, 128, segments, 2 * segments - 1)
+    rng = random.Random(segments)
+    values = []
+    for _ in range(12):
+        at = rng.getrandbits(128)
+        for _ in range(12):
+            values.append(at)
+            for b in rng.sample(range(128), rng.choice([1, segments, 2 * segments - 1, 2 * segments + 1])):
+                at ^= 1 << b
+    signed = lambda x: int(np.uint64(x & (1 << 64) - 1).view(np.int64))
+    rows = [(signed(v), signed(v >> 64), 1000 + i) for i, v in enumerate(values)]
+    links = s.close_pairs(spark.createDataFrame(rows, "fp long, fp1 long, node long"), scheme)
+    got = {r["node"]: r["component"] for r in connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).collect()}
+    parent = {i: i for i in range(len(values))}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j, b in enumerate(values[:i]):
+            if (a ^ b).bit_count() <= scheme.distance:
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    assert {i: got.get(1000 + i, 1000 + i) - 1000 for i in parent} == {i: root(i) for i in parent}
+
+
+def test_stage_takes_near_copies_and_leaves_others(spark):
+    """Of pairs with a five-word similarity from 0.9 on nearly all, of pairs below 0.5 hardly any."""
+    rng = random.Random(1)
+    rows, want = [], 0
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:200], "new", *words[201:]])), (3 * i + 2, " ".join(x if j % 8 else "other" for j, x in enumerate(words)))]
+    kept = {r["doc_id"] for r in s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {3 * i for i in range(60)} <= kept
+    assert sum(3 * i + 1 in kept for i in range(60)) <= 2 and sum(3 * i + 2 in kept for i in range(60)) >= 55
