@@ -18,23 +18,29 @@ from strata.llm.common import WORD, materialize
 #: Weights by the rank of the source's name, repeating; the share of all words to take; most copies of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 SEED = "mix-1"
+#: Sources that one task sorts, about.
+RANGE = 1 << 16
 
 
 def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"{WORD}+")).cast("long")
 
 
-def ranked(sizes: DataFrame) -> DataFrame:
-    """Add ``rank``, from 0 on, of each source by code point, null last. Sources are sorted within ranges, and
-    a range begins where the counts of those before it end; no task holds them all."""
+def ranked(sizes: DataFrame, most: int = RANGE) -> DataFrame:
+    """Add ``rank``, from 0 on, of each source by code point, null last. Sources are sorted within ranges of about
+    ``most`` of them, and a range begins where the counts of those before it end; no task holds them all."""
     name = F.col("source")
-    dealt = sizes.withColumn("_null", name.isNull()).repartitionByRange("_null", "source").withColumn("_part", F.spark_partition_id())
-    dealt = materialize(dealt, "ranges")
-    counts = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())  # a row a partition
-    starts = dict(zip([p for p, _ in counts], accumulate([0, *(n for _, n in counts)]), strict=False))
-    begin = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.create_map().cast("map<int,int>")
+    ranges = -(-sizes.count() // most)
+    if ranges > 1:
+        dealt = sizes.withColumn("_null", name.isNull()).repartitionByRange(ranges, "_null", "source").withColumn("_part", F.spark_partition_id())
+        dealt = materialize(dealt.drop("_null"), "ranges")
+        counts = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())  # a row a range
+    else:
+        dealt, counts = sizes.withColumn("_part", F.lit(0)), [(0, 0)]
+    starts = zip([p for p, _ in counts], accumulate((n for _, n in counts), initial=0), strict=False)
+    begin = F.create_map(*[F.lit(x) for pair in starts for x in pair])
     place = F.row_number().over(Window.partitionBy("_part").orderBy(name.asc_nulls_last())) - 1
-    return dealt.withColumn("rank", F.try_element_at(begin, F.col("_part")) + place).drop("_part", "_null")
+    return dealt.withColumn("rank", F.try_element_at(begin, F.col("_part")) + place).drop("_part")
 
 
 def level_of(sources: DataFrame, share: float = SHARE, most: int = MOST) -> float:
@@ -78,8 +84,7 @@ def chance(key: Column, seed: str = SEED) -> Column:
 def plan(sized: DataFrame, source: str = "source") -> DataFrame:
     """Rows with ``_size`` -> the source table with its targets: one small row per source, in the shared folder."""
     sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("_size").alias("source_size"))
-    made = materialize(targets(materialize(sizes, "sizes")), "targets")
-    return made.select(F.col("source").alias("_source"), "source_size", "target", "rate")
+    return targets(materialize(sizes, "sizes")).select(F.col("source").alias("_source"), "source_size", "target", "rate")
 
 
 def draw(sized: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:

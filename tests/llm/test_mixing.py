@@ -65,8 +65,9 @@ def test_empty(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in blank] == [(0, 0.0, 0)] * 2
 
 
-def test_many_sources_without_a_single_task(spark):
+def test_many_sources_without_a_single_task(spark, monkeypatch):
     """Ranks and the level of 3,000 sources equal the plain way; no window or sort has them all in one partition."""
+    monkeypatch.setattr(mixing.ranked, "__defaults__", (100,))
     rng = random.Random(5)
     sizes = {f"s{rng.randrange(10**9)}": int(10 ** rng.uniform(0, 6)) for _ in range(3000)} | {None: 77, "": 5}
     frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
