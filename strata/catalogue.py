@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import bloom, codec, keys
 from strata.operators import batch, blocks, cache, compact, files, manifest, mvcc, order
+from strata.sources import bytesum
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -135,8 +136,8 @@ def kv_as_of_join(spark, d):
 
 @query(f"{W}{NEWEST}, {LIVE} SELECT user_key, value, row_number() OVER (ORDER BY user_key DESC) AS position FROM lv")
 def kv_scan_reverse(spark, d):
-    live = mvcc.scan(changelog(spark, d))
-    return order.rank_all(live, "user_key", mvcc.key_bucket(7), "position", descending=True).select("user_key", "value", "position")
+    log = changelog(spark, d)
+    return order.rank_all(mvcc.scan(log), "user_key", "position", descending=True, cuts=order.places(log, ["user_key"])).select("user_key", "value", "position")
 
 
 @query(f"""{W}t AS (SELECT unnest(['', 'user00002x', 'user00007', 'user00013', 'user99999']) AS target)
@@ -157,8 +158,8 @@ def kv_prefix_scan(spark, d):
 
 @query(f"{W}{NEWEST}, {LIVE} SELECT user_key, lead(user_key) OVER (ORDER BY user_key) AS next_user_key, lag(user_key) OVER (ORDER BY user_key) AS prev_user_key FROM lv")
 def kv_next_prev(spark, d):
-    live = mvcc.scan(changelog(spark, d)).select("user_key")
-    return order.neighbours(live, "user_key", mvcc.key_bucket(7))
+    log = changelog(spark, d)
+    return order.neighbours(mvcc.scan(log).select("user_key"), "user_key", order.places(log, ["user_key"]))
 
 
 @query(f"{W}x AS (SELECT 1) SELECT user_key, seq, vtype, value, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS newer_seq FROM cl")
@@ -194,7 +195,7 @@ VLEN = "CASE WHEN length({0}) < 128 THEN 1 ELSE 2 END"
 @query(f"""{W}{REC}, b AS (SELECT batch_id, count(*) AS n FROM rc GROUP BY 1), o AS (SELECT batch_id, 7 + sum(n) OVER (ORDER BY batch_id) - n + 1 AS base_seq FROM b)
 SELECT batch_id, pos, CAST(base_seq AS BIGINT) AS base_seq, CAST(base_seq + row_number() OVER (PARTITION BY batch_id ORDER BY pos) - 1 AS BIGINT) AS seq FROM rc JOIN o USING (batch_id)""")
 def batch_assign_sequence(spark, d):
-    out = batch.assign_sequences(_records(spark, d), 7, F.floor(F.col("batch_id") / 64))
+    out = batch.assign_sequences(_records(spark, d), 7)
     return out.select("batch_id", "pos", F.col("base_seq").cast("long"), F.col("seq").cast("long"))
 
 
@@ -404,7 +405,7 @@ def compact_pointer_pick(spark, d):
 SELECT user_key, seq, CAST((upto - n) // 4096 AS BIGINT) AS output_no FROM r""")
 def compact_split_outputs(spark, d):
     log = changelog(spark, d).select("user_key", "seq", "value")
-    return compact.split_by_size(log, mvcc.key_bucket(9), 4096).select("user_key", "seq", "output_no")
+    return compact.split_by_size(log, 4096).select("user_key", "seq", "output_no")
 
 
 @query()
@@ -415,14 +416,16 @@ def compact_grandparent_split(spark, d):
     return compact.grandparent_cuts(rows, grand, cap=600)
 
 
-@query(f"""{W}{LEVELLED}, {RANGES},
+@query(f"""{W}{LEVELLED}, {RANGES}, fw AS (SELECT level, file_size, substr(smallest, 1, 8) AS smallest, substr(smallest, 1, 8) || 'z' AS largest FROM fs WHERE level > 0 OR file_no % 2 = 0),
 b AS (SELECT range_no, coalesce(sum(file_size) FILTER (level = 0), 0) AS b0, coalesce(sum(file_size) FILTER (level = 1), 0) AS b1, coalesce(sum(file_size) FILTER (level = 2), 0) AS b2,
-  coalesce(sum(file_size) FILTER (level = 3), 0) AS b3 FROM rg LEFT JOIN fs ON largest >= low AND smallest <= high AND level > 1 GROUP BY range_no)
-SELECT range_no, CAST(CASE WHEN b0 > 0 THEN 0 WHEN b1 > 0 OR b2 > 2000 THEN 0 WHEN b2 > 0 OR b3 > 2000 THEN 1 ELSE 2 END AS BIGINT) AS level FROM b""")
+  coalesce(sum(file_size) FILTER (level = 3), 0) AS b3 FROM rg LEFT JOIN fw ON largest >= low AND smallest <= high AND hash_keep(level, smallest) GROUP BY range_no)
+SELECT range_no, CAST(CASE WHEN b0 > 0 THEN 0 WHEN b1 > 0 OR b2 > 20000 THEN 0 WHEN b2 > 0 OR b3 > 20000 THEN 1 ELSE 2 END AS BIGINT) AS level FROM b""".replace("hash_keep(level, smallest)", "CAST(substr(smallest, 5, 4) AS BIGINT) % 4 = level"))
 def memtable_output_level(spark, d):
-    """Where new files would go in a store that has only its files from level 2 on."""
+    """Where new files would go among narrow files of all levels, so that each condition holds for some of them."""
     log = changelog(spark, d)
-    return compact.memtable_levels(key_ranges(log), file_table(log).where("level > 1"), cap=2000)
+    head = F.substring("smallest", 1, 8)
+    narrow = file_table(log).where("level > 0 or file_no % 2 = 0").withColumn("largest", F.concat(head, F.lit("z"))).withColumn("smallest", head)
+    return compact.memtable_levels(key_ranges(log), narrow.where(F.substring("smallest", 5, 4).cast("long") % 4 == F.col("level")), cap=20000)
 
 
 @query(f"""{W}{LEVELLED}, k AS (SELECT seq AS probe_no, user_key FROM cl),
@@ -481,11 +484,14 @@ def internal_key_encode(spark, d):
     return changelog(spark, d).select("seq", F.hex(keys.internal_key(F.col("user_key").cast("binary"), F.col("seq"), F.col("vtype"))).alias("encoded"))
 
 
-@query(f"{W}x AS (SELECT 1) SELECT seq * 256 + vtype AS tag, seq, vtype, true AS is_valid FROM cl")
+@query(f"""{W}k AS (SELECT seq, CASE WHEN seq % 9 = 4 THEN 7 ELSE vtype END AS vtype, seq % 13 = 5 AS cut FROM cl)
+SELECT seq AS row_no, CASE WHEN NOT cut THEN seq * 256 + vtype END AS tag, CASE WHEN NOT cut THEN seq END AS seq, CASE WHEN NOT cut THEN vtype END AS vtype, NOT cut AND vtype <= 1 AS is_valid FROM k""")
 def tag_unpack(spark, d):
-    log = changelog(spark, d)
-    encoded = log.select(keys.pack_tag(F.col("seq"), F.col("vtype")).alias("tag"), keys.parse_internal_key(keys.internal_key(F.col("user_key").cast("binary"), F.col("seq"), F.col("vtype"))).alias("k"))
-    return encoded.select("tag", "k.seq", "k.vtype", "k.is_valid")
+    """Internal keys taken apart, among them keys of an unknown type and keys shorter than a tag."""
+    log = changelog(spark, d).withColumn("vtype", F.when(F.col("seq") % 9 == 4, 7).otherwise(F.col("vtype")))
+    whole = keys.internal_key(F.col("user_key").cast("binary"), F.col("seq"), F.col("vtype"))
+    found = log.select("seq", keys.parse_internal_key(F.when(F.col("seq") % 13 == 5, F.substring(whole, 1, 7)).otherwise(whole)).alias("k"))
+    return found.select(F.col("seq").alias("row_no"), keys.pack_tag(F.col("k.seq"), F.col("k.vtype")).alias("tag"), "k.seq", "k.vtype", "k.is_valid")
 
 
 @query(f"{W}x AS (SELECT 1) SELECT seq, lpad(upper(to_hex(length(value))), 2, '0') || upper(hex(value)) AS encoded, value AS decoded FROM cl")
@@ -495,7 +501,7 @@ def length_prefix(spark, d):
 
 
 BYTES = "list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))"
-CRC_TABLE = "[" + ", ".join(map(str, codec._crc_table())) + "]"
+CRC_TABLE = "[" + ", ".join(map(str, bytesum.crc_table())) + "]"
 CRC = f"""cr AS (SELECT seq, xor(list_reduce({BYTES.format("(user_key || '=' || value)")}, lambda c, b: xor(tb[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS crc
   FROM cl, (SELECT {CRC_TABLE}::BIGINT[] AS tb))"""
 
@@ -514,7 +520,7 @@ def crc32c_masked(spark, d):
 
 def _duck_hash(source: str, key: str, seed: int, into: str) -> str:
     """CTEs that hash the keys of ``source(key)`` into ``into(key, h)``."""
-    m, mask = codec.HASH_MULTIPLIER, codec.MASK32
+    m, mask = bytesum.HASH_MULTIPLIER, bytesum.MASK32
     mul = lambda x: f"((({x} & 65535) * {m} + (((({x} >> 16) * {m}) & 65535) << 16)) & {mask})"
     step = f"list_transform([{mul(f'((h + w) & {mask})')}], lambda y: xor(y, y >> 16))[1]"
     return f"""{into}_a AS (SELECT DISTINCT {key} AS k, {BYTES.format(key)} AS b FROM {source}),
@@ -524,7 +530,7 @@ def _duck_hash(source: str, key: str, seed: int, into: str) -> str:
 {into} AS (SELECT k, CASE WHEN r = 0 THEN h ELSE xor(t, t >> 24) END AS h FROM {into}_d)"""
 
 
-@query(f"WITH ks AS (SELECT 'k' || event_id || substr(event_type, 1, 1 + CAST(event_id % 4 AS INTEGER)) AS key FROM events), {_duck_hash('ks', 'key', codec.HASH_SEED, 'hs')} SELECT k AS key, h FROM hs")
+@query(f"WITH ks AS (SELECT 'k' || event_id || substr(event_type, 1, 1 + CAST(event_id % 4 AS INTEGER)) AS key FROM events), {_duck_hash('ks', 'key', bytesum.HASH_SEED, 'hs')} SELECT k AS key, h FROM hs")
 def kv_hash(spark, d):
     key = F.concat(F.lit("k"), F.col("event_id").cast("string"), F.substring(F.col("event_type"), F.lit(1), (F.lit(1) + F.col("event_id") % 4).cast("int")))
     return table(spark, d, "events").select(key.alias("key")).select("key", codec.hash32(F.col("key").cast("binary")).alias("h"))
@@ -536,10 +542,10 @@ def cache_shard(spark, d):
 
 
 def _duck_positions(bits: str) -> str:
-    return f"list_transform(range(0, 6), lambda j: ((h + j * ((h >> 17) | ((h << 15) & {codec.MASK32}))) & {codec.MASK32}) % {bits})"
+    return f"list_transform(range(0, 6), lambda j: ((h + j * ((h >> 17) | ((h << 15) & {bytesum.MASK32}))) & {bytesum.MASK32}) % {bits})"
 
 
-BLOOM = f"""{_duck_hash('cl', 'user_key', codec.HASH_SEED, 'hs')}, fk AS (SELECT DISTINCT file_no, user_key FROM cl),
+BLOOM = f"""{_duck_hash('cl', 'user_key', bytesum.HASH_SEED, 'hs')}, fk AS (SELECT DISTINCT file_no, user_key FROM cl),
 fb AS (SELECT file_no, CAST(ceil(greatest(count(*) * 10, 64) / 8.0) AS BIGINT) * 8 AS bits FROM fk GROUP BY 1),
 fp AS (SELECT file_no, bits, unnest({_duck_positions('bits')}) AS p FROM fk JOIN fb USING (file_no) JOIN hs ON k = user_key),
 ft AS (SELECT file_no, bits, p // 8 AS byte_no, bit_or(1 << CAST(p % 8 AS BIGINT)) AS byte_value FROM fp GROUP BY 1, 2, 3)"""
@@ -555,13 +561,13 @@ def bloom_build(spark, d):
 
 
 @query(f"""{W}{BLOOM}, pr AS (SELECT file_no, user_key FROM fk UNION ALL SELECT file_no, user_key || 'x' FROM fk UNION ALL SELECT file_no + 1000000, user_key FROM fk),
-{_duck_hash('pr', 'user_key', codec.HASH_SEED, 'hp')}, pp AS (SELECT file_no, user_key, unnest({_duck_positions('coalesce(bits, 64)')}) AS p FROM pr LEFT JOIN fb USING (file_no) JOIN hp ON k = user_key)
+{_duck_hash('pr', 'user_key', bytesum.HASH_SEED, 'hp')}, pp AS (SELECT file_no, user_key, unnest({_duck_positions('coalesce(bits, 64)')}) AS p FROM pr LEFT JOIN fb USING (file_no) JOIN hp ON k = user_key)
 SELECT pp.file_no, user_key, bool_and(coalesce((byte_value >> CAST(p % 8 AS BIGINT)) & 1, 0) = 1) AS may_match FROM pp LEFT JOIN ft ON ft.file_no = pp.file_no AND byte_no = p // 8 GROUP BY 1, 2""")
 def bloom_probe(spark, d):
     """Each key asks its own file, an absent key too, and a file without a filter."""
     log = _file_keys(spark, d)
     asked = log.union(log.select("file_no", F.concat("user_key", F.lit("x")))).union(log.select(F.col("file_no") + 1000000, "user_key"))
-    return bloom.probe(asked, bloom.build(log, ["file_no"]), ["file_no"])
+    return bloom.probe(asked, bloom.bitmaps(log, ["file_no"]), ["file_no"])
 
 
 @query(f"""{W}o AS (SELECT user_key, sum(length(user_key) + 8 + length(value)) OVER (ORDER BY user_key, seq DESC) - (length(user_key) + 8 + length(value)) AS off FROM cl)
@@ -569,7 +575,7 @@ SELECT CAST(off // 2048 AS BIGINT) AS filter_no, count(DISTINCT user_key) AS n_k
 def bloom_by_offset_window(spark, d):
     log = changelog(spark, d).withColumn("neg", -F.col("seq"))
     size = (F.octet_length("user_key") + 8 + F.octet_length("value")).cast("long")
-    placed = order.running_total(log.withColumn("n", size), ["user_key", "neg"], mvcc.key_bucket(9), F.col("n"), "upto")
+    placed = order.running_total(log.withColumn("n", size), ["user_key", "neg"], F.col("n"), "upto")
     window = bloom.window_of(F.col("upto") - F.col("n"))
     return placed.select(window.alias("filter_no"), "user_key").groupBy("filter_no").agg(F.countDistinct("user_key").alias("n_keys"))
 

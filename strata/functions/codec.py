@@ -1,18 +1,21 @@
-"""Byte codecs and checksums as column expressions; everything runs inside the JVM.
+"""Byte codecs and checksums as column expressions.
 
-Binary columns go in and out. Arithmetic on 32-bit words is done in longs and masked, as
-ANSI mode raises on overflow.
+Binary columns go in and out. Codecs run inside the JVM; arithmetic on 32-bit words is done in
+longs and masked, as ANSI mode raises on overflow. Checksums and hashes, which the JVM functions
+could only do byte by byte, take all rows of an Arrow batch at once in NumPy.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from strata.sources.bytesum import CRC_MASK_DELTA, HASH_SEED, MASK32, crc32c_of, hash32_of
 
-MASK32 = 0xFFFFFFFF
 # Fixed values of the formats.
-CRC_POLYNOMIAL, CRC_MASK_DELTA = 0x82F63B78, 0xA282EAD8
-HASH_MULTIPLIER, HASH_SEED = 0xC6A4A793, 0xBC9F1D34
 RECORD_TYPES = ("zero", "full", "first", "middle", "last")
 
 
@@ -103,28 +106,31 @@ def block_handle(offset: Column, size: Column) -> Column:
     return F.concat(varint(offset), varint(size))
 
 
-def _crc_table() -> list[int]:
-    table = []
-    for x in range(256):
-        for _ in range(8):
-            x = (x >> 1) ^ (CRC_POLYNOMIAL if x & 1 else 0)
-        table.append(x)
-    return table
+def _kept_null(found, *columns: pa.Array) -> pa.Array:
+    missing = columns[0].is_null()
+    for c in columns[1:]:
+        missing = pa.compute.or_(missing, c.is_null())
+    return pa.compute.if_else(missing, pa.scalar(None, pa.int64()), pa.array(found, pa.int64()))
+
+
+@F.arrow_udf(LongType())
+def _crc(b: pa.Array) -> pa.Array:
+    return _kept_null(crc32c_of(b), b)
+
+
+@F.arrow_udf(LongType())
+def _crc_after(b: pa.Array, start: pa.Array) -> pa.Array:
+    return _kept_null(crc32c_of(b, start.fill_null(0).to_numpy(zero_copy_only=False)), b, start)
+
+
+@F.arrow_udf(LongType())
+def _hash(b: pa.Array, seed: pa.Array) -> pa.Array:
+    return _kept_null(hash32_of(b, seed[0].as_py() if len(seed) else 0), b)
 
 
 def crc32c(b: Column, start: Column | None = None) -> Column:
     """CRC-32C (Castagnoli); ``start`` is the checksum of what comes before ``b``."""
-    table = F.array(*[F.lit(x).cast("long") for x in _crc_table()])
-    first = F.lit(MASK32).cast("long") if start is None else start.bitwiseXOR(F.lit(MASK32).cast("long"))
-    return let(
-        table,
-        lambda t: F.aggregate(
-            bytes_of(b),
-            first,
-            lambda crc, x: F.get(t, crc.bitwiseXOR(x).bitwiseAND(F.lit(255)).cast("int")).bitwiseXOR(F.shiftrightunsigned(crc, 8)),
-            lambda crc: crc.bitwiseXOR(F.lit(MASK32).cast("long")),
-        ),
-    )
+    return _crc(b) if start is None else _crc_after(b, start)
 
 
 def mask_crc(crc: Column) -> Column:
@@ -138,32 +144,9 @@ def unmask_crc(masked: Column) -> Column:
     return F.shiftrightunsigned(turned, 17).bitwiseOR(F.shiftleft(turned, 15).bitwiseAND(F.lit(MASK32)))
 
 
-def _times(x: Column) -> Column:
-    """x * HASH_MULTIPLIER modulo 2**32, by halves so that no product exceeds 48 bits."""
-    low = x.bitwiseAND(F.lit(0xFFFF)) * F.lit(HASH_MULTIPLIER)
-    high = F.shiftleft((F.shiftrightunsigned(x, 16) * F.lit(HASH_MULTIPLIER)).bitwiseAND(F.lit(0xFFFF)), 16)
-    return (low + high).bitwiseAND(F.lit(MASK32))
-
-
 def hash32(b: Column, seed: int = HASH_SEED) -> Column:
     """A 32-bit hash of a binary: words of four bytes are mixed in by multiplication and shifts."""
-    n = F.octet_length(b)
-    whole = n - n % 4
-
-    def mixed(x: Column) -> Column:
-        return let(_times(x.bitwiseAND(F.lit(MASK32))), lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, 16)))
-
-    def run(x: Column) -> Column:
-        at = F.when(whole > 0, F.sequence(F.lit(0), whole - 1, F.lit(4))).otherwise(F.array().cast("array<int>"))
-        words = F.transform(at, lambda i: F.get(x, i) + F.get(x, i + 1) * 256 + F.get(x, i + 2) * 65536 + F.get(x, i + 3) * 16777216)
-        begun = F.lit(seed).cast("long").bitwiseXOR(_times(n.cast("long")))
-        body = F.aggregate(words, begun, lambda h, w: mixed(h + w))
-        zero = F.lit(0).cast("long")
-        tail = F.coalesce(F.get(x, whole), zero) + F.coalesce(F.get(x, whole + 1), zero) * 256 + F.coalesce(F.get(x, whole + 2), zero) * 65536
-        ended = let(_times((body + tail).bitwiseAND(F.lit(MASK32))), lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, 24)))
-        return F.when(n % 4 == 0, body).otherwise(ended)
-
-    return let(bytes_of(b), run)
+    return _hash(b, F.lit(seed).cast("long"))
 
 
 def shard_of(b: Column, bits: int = 4) -> Column:

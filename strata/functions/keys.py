@@ -30,12 +30,13 @@ def parse_internal_key(key: Column) -> Column:
     """(user_key, seq, vtype, is_valid); invalid if shorter than a tag or of an unknown type."""
     n = F.octet_length(key)
     tag = read_fixed(F.when(n >= 8, F.substring(key, n - 7, F.lit(8))), 8)
-    return F.struct(
+    parts = lambda t: F.struct(
         F.when(n >= 8, F.substring(key, F.lit(1), n - 8)).alias("user_key"),
-        tag_seq(tag).alias("seq"),
-        tag_type(tag).alias("vtype"),
-        F.coalesce((n >= 8) & (tag_type(tag) <= VALUE), F.lit(False)).alias("is_valid"),
+        tag_seq(t).alias("seq"),
+        tag_type(t).alias("vtype"),
+        F.coalesce((n >= 8) & (tag_type(t) <= VALUE), F.lit(False)).alias("is_valid"),
     )
+    return let(tag, parts)
 
 
 def sort_key(comparator: str, user_key: Column) -> Column:

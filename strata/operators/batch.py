@@ -22,13 +22,13 @@ def record_bytes(key: Column, value: Column, vtype: Column) -> Column:
     return (F.lit(1) + part(key) + F.when(vtype == PUT, part(value)).otherwise(0)).cast("long")
 
 
-def assign_sequences(records: DataFrame, last_seq: int, bucket: Column) -> DataFrame:
+def assign_sequences(records: DataFrame, last_seq: int) -> DataFrame:
     """``(batch_id, pos)`` -> with ``base_seq`` of the batch and ``seq`` of the record.
 
     Batches are numbered in order of their ids; each begins one above the last of its predecessor.
     """
     sizes = records.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    bases = running_total(sizes, ["batch_id"], bucket, F.col("n"), "upto").select("batch_id", (F.col("upto") - F.col("n") + last_seq + 1).alias("base_seq"))
+    bases = running_total(sizes, ["batch_id"], F.col("n"), "upto").select("batch_id", (F.col("upto") - F.col("n") + last_seq + 1).alias("base_seq"))
     order = Window.partitionBy("batch_id").orderBy("pos")
     return records.join(bases, "batch_id").withColumn("seq", F.col("base_seq") + F.row_number().over(order) - 1)
 

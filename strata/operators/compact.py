@@ -39,21 +39,21 @@ def drop_obsolete(entries: DataFrame, snapshot: int, deeper: DataFrame) -> DataF
     return kept.where(~dead).unionByName(hides.join(covered(hides, deeper), "user_key", "left_semi").select(*kept.columns))
 
 
-def with_corrupt(entries: DataFrame, snapshot: int, stretch: int = 1 << 16) -> DataFrame:
+def with_corrupt(entries: DataFrame, snapshot: int) -> DataFrame:
     """``entries`` with ``is_valid`` and ``pos``: invalid keys are never dropped, and the entry after one
-    counts as the first of its key. Invalid keys are counted by stretches of positions, then across them."""
+    counts as the first of its key. Invalid keys are counted within buckets of positions, then across them."""
     broken = F.when(F.col("is_valid"), 0).otherwise(1).cast("long")
-    runs = running_total(entries, ["pos"], F.floor(F.col("pos") / stretch), broken, "run")
+    runs = running_total(entries, ["pos"], broken, "run")
     p = F.lag("seq").over(Window.partitionBy("run", "user_key", "is_valid").orderBy(F.col("seq").desc()))
     return runs.withColumn("p", F.when(F.col("is_valid"), p)).where(~F.col("is_valid") | F.col("p").isNull() | (F.col("p") > snapshot)).drop("run", "p")
 
 
-def split_by_size(entries: DataFrame, bucket, limit: int = TARGET_FILE_SIZE) -> DataFrame:
+def split_by_size(entries: DataFrame, limit: int = TARGET_FILE_SIZE) -> DataFrame:
     """Add ``output_no``: the entries in key order, cut where their running size passes a multiple of ``limit``."""
     size = F.octet_length("user_key") + 8 + F.coalesce(F.octet_length("value"), F.lit(0))
     rows = entries.withColumn("_size", size.cast("long"))
     # ties of a key stay in sequence order: newest first
-    total = running_total(rows.withColumn("_neg", -F.col("seq")), ["user_key", "_neg"], bucket, F.col("_size"), "_upto")
+    total = running_total(rows.withColumn("_neg", -F.col("seq")), ["user_key", "_neg"], F.col("_size"), "_upto")
     return total.withColumn("output_no", F.floor((F.col("_upto") - F.col("_size")) / limit).cast("long")).drop("_size", "_neg", "_upto")
 
 

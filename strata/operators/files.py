@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strata.operators.order import bucketed, places, running_total
 from strata.schema import L0_COMPACTION, LEVELS, allowed_seeks, level_bytes
 
 
@@ -92,19 +93,16 @@ def closure(files: DataFrame, low, high) -> list[int]:
     return sorted(chosen)
 
 
-#: Characters of a key that make its bucket: keys of a bucket are merged with files in one window.
-BUCKET = 7
-
-
-def _merged(keys: DataFrame, files: DataFrame, by: str, bucket: int = BUCKET) -> DataFrame:
+def _merged(keys: DataFrame, files: DataFrame, by: str, cuts: list[tuple] | None = None) -> DataFrame:
     """Each (level, key) with the first file whose ``by`` bound is at or after the key.
 
-    Keys and bounds are merged within buckets of the key's first characters; the first file after
-    a bucket comes from a table of one row per level and bucket.
+    Keys and bounds are merged within buckets that a sample of the keys divides evenly; the first file
+    after a bucket comes from a table of one row per level and bucket.
     """
     rows = files.select("level", F.col(by).alias("at"), F.lit(1).alias("kind"), F.struct(*files.columns).alias("f"))
     asks = keys.select("level", F.col("user_key").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["f"].dataType).alias("f"))
-    both = rows.unionByName(asks).withColumn("bucket", F.substring("at", 1, bucket))
+    cuts = places(keys, ["user_key"]) if cuts is None else cuts
+    both = bucketed(rows.unionByName(asks), ["at"], cuts, "bucket")
     ahead = Window.partitionBy("level", "bucket").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     heads = both.groupBy("level", "bucket").agg(F.min_by("f", F.when(F.col("f").isNotNull(), F.col("at"))).alias("head"))
     later = Window.partitionBy("level").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
@@ -113,7 +111,7 @@ def _merged(keys: DataFrame, files: DataFrame, by: str, bucket: int = BUCKET) ->
     return near.select("level", F.col("at").alias("user_key"), F.coalesce("near", "carried").alias("found"))
 
 
-def covered(keys: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def covered(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     """The distinct ``user_key``s that lie in any of ``ranges(smallest, largest)``.
 
     Overlapping ranges are joined to disjoint ones first; each key then meets one of them at most, by
@@ -122,12 +120,12 @@ def covered(keys: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFra
     numbered = ranges.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("file_no"), "smallest", "largest")
     disjoint = islands(numbered).select("level", F.col("low").alias("smallest"), F.col("high").alias("largest"))
     asked = keys.select(F.lit(0).alias("level"), "user_key").distinct()
-    return _merged(asked, disjoint, "largest", bucket).where(F.col("found.smallest") <= F.col("user_key")).select("user_key")
+    return _merged(asked, disjoint, "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key")).select("user_key")
 
 
 def find_file(keys: DataFrame, files: DataFrame) -> DataFrame:
     """``keys(level, user_key)`` -> the first file of the level whose largest key is at or after the key."""
-    return _merged(keys.distinct(), files, "largest").select("level", "user_key", F.col("found.file_no").alias("file_no"))
+    return _merged(keys.distinct(), files, "largest", places(keys, ["user_key"])).select("level", "user_key", F.col("found.file_no").alias("file_no"))
 
 
 def files_to_search(keys: DataFrame, files: DataFrame) -> DataFrame:
@@ -139,7 +137,7 @@ def files_to_search(keys: DataFrame, files: DataFrame) -> DataFrame:
     top = F.broadcast(files.where("level = 0"))
     young = asked.join(top, F.col("user_key").between(F.col("smallest"), F.col("largest"))).select("user_key", "level", "file_no")
     levels = asked.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS - 1))))
-    deep = _merged(levels, files.where("level > 0"), "largest").where(F.col("found.smallest") <= F.col("user_key"))
+    deep = _merged(levels, files.where("level > 0"), "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key"))
     both = young.unionByName(deep.select("user_key", "level", F.col("found.file_no").alias("file_no")))
     order = Window.partitionBy("user_key").orderBy("level", F.col("file_no").desc())
     return both.withColumn("probe_order", F.row_number().over(order).cast("long"))
@@ -153,19 +151,17 @@ def next_level_overlap(files: DataFrame) -> DataFrame:
     return met.groupBy("level", "file_no").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("overlap_bytes"))
 
 
-def approximate_sizes(ranges: DataFrame, entries: DataFrame, bucket: int = 7) -> DataFrame:
+def approximate_sizes(ranges: DataFrame, entries: DataFrame) -> DataFrame:
     """``ranges(range_no, low, high)`` -> bytes stored in [low, high).
 
     Sizes are summed by key first; each bound then takes the running total at its place in the
-    merged order of keys and bounds, so no range is joined to the keys it spans. ``bucket`` is the
-    length of the key prefix within which the order is merged.
+    merged order of keys and bounds, so no range is joined to the keys it spans.
     """
-    from strata.operators.order import running_total
-
     size = F.octet_length("user_key") + 8 + F.coalesce(F.octet_length("value"), F.lit(0))
     keys = entries.groupBy("user_key").agg(F.sum(size).cast("long").alias("bytes"))
     rows = keys.select(F.col("user_key").alias("at"), F.lit(1).alias("kind"), "bytes", F.lit(None).cast("long").alias("range_no"), F.lit(0).alias("side"))
     bound = lambda c, side: ranges.where(F.col(c).isNotNull()).select(F.col(c).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bytes"), "range_no", F.lit(side).alias("side"))
     both = rows.unionByName(bound("low", -1)).unionByName(bound("high", 1))
-    totals = running_total(both, ["at", "kind"], F.substring("at", 1, bucket), F.col("bytes"), "before").where("kind = 0")
+    cuts = [(*at, 0) for at in places(entries, ["user_key"])]
+    totals = running_total(both, ["at", "kind"], F.col("bytes"), "before", cuts).where("kind = 0")
     return totals.groupBy("range_no").agg(F.greatest(F.sum(F.col("before") * F.col("side")), F.lit(0)).cast("long").alias("bytes"))

@@ -1,8 +1,10 @@
 """Totals, ranks and neighbours over a global order, without a global window.
 
-``bucket`` is an order-preserving expression of the order column: rows of a smaller bucket
-come before rows of a larger one. Windows run within buckets; what crosses them is carried
-by a table with one row per bucket.
+Rows are dealt into buckets at places of the order that a sample of the rows divides evenly, so
+no choice of keys makes a bucket of them all, and a key with very many rows is divided too where
+the order has further columns. Windows run within buckets; what crosses them is carried by a
+table with one row per bucket. The places are literals: the same in every branch of a plan and
+in every attempt of a task.
 """
 
 from __future__ import annotations
@@ -11,28 +13,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Buckets for each shuffle partition, and at most; rows of the sample for each bucket.
+PER_PARTITION, MOST, SAMPLE = 2, 4096, 32
+#: Places that a row is compared with by a tree of conditions; beyond, the places between two of them are counted.
+TREE = 64
 
-def running_total(df: DataFrame, order: list[str], bucket: Column, value: Column, into: str) -> DataFrame:
-    """Add the sum of ``value`` over all rows up to and with each row."""
-    rows = df.withColumn("_b", bucket).withColumn("_v", value)
+
+def places(rows: DataFrame, order: list[str], buckets: int | None = None) -> list[tuple]:
+    """Places of ``order`` that divide the rows about evenly: at most ``buckets`` - 1 tuples, in order.
+
+    Two jobs over the columns of the order alone: a count and a sample, which reaches the driver.
+    """
+    n = buckets or min(MOST, PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = rows.select(*order)
+    held, want = keys.count(), SAMPLE * n
+    if held > want:
+        keys = keys.sample(min(1.0, 1.2 * want / held), seed=7)
+    sample = [tuple(r) for r in keys.orderBy(*order).collect()]
+    found = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
+    return list(dict.fromkeys(found))
+
+
+def bucket_of(cuts: list[tuple], order: list[str], kinds: dict[str, str]) -> Column:
+    """The number of places at or before a row."""
+    lit = lambda cut: [F.lit(v).cast(kinds[c]).alias(c) for v, c in zip(cut, order, strict=True)]
+    own = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    at = (lambda cut: lit(cut)[0]) if len(order) == 1 else (lambda cut: F.struct(*lit(cut)))
+    step = -(-len(cuts) // TREE) if len(cuts) > TREE else 1
+
+    def count(low: int, high: int) -> Column:
+        """Of the places low * step to high * step, given that the first is at or before the row and the last is not."""
+        if high - low == 1:
+            between = cuts[low * step + 1 : high * step] if low >= 0 else cuts[: max(0, high * step)]
+            more = F.size(F.filter(F.array(*map(at, between)), lambda c: c <= own)) if between else F.lit(0)
+            return F.lit(max(0, low * step + 1)) + more
+        middle = (low + high) // 2
+        return F.when(own >= at(cuts[middle * step]), count(middle, high)).otherwise(count(low, middle))
+
+    return count(-1, -(-len(cuts) // step)).cast("int") if cuts else F.lit(0)
+
+
+def bucketed(df: DataFrame, order: list[str], cuts: list[tuple] | None = None, into: str = "_b") -> DataFrame:
+    """Add the bucket of each row; ``cuts`` by default from the rows themselves."""
+    cuts = places(df, order) if cuts is None else cuts
+    return df.withColumn(into, bucket_of(cuts, order, dict(df.dtypes)))
+
+
+def running_total(df: DataFrame, order: list[str], value: Column, into: str, cuts: list[tuple] | None = None, total: str | None = None) -> DataFrame:
+    """Add the sum of ``value`` over all rows up to and with each row, and if ``total`` names a column, over all rows."""
+    rows = bucketed(df.withColumn("_v", value), order, cuts)
     inner = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.groupBy("_b").agg(F.sum("_v").alias("_s"))
-    before = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).select("_b", "_before")
+    before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"), *([F.sum("_s").over(Window.partitionBy()).alias(total)] if total else []))
     return rows.withColumn("_run", F.sum("_v").over(inner)).join(before, "_b").withColumn(into, F.col("_run") + F.col("_before")).drop("_b", "_v", "_run", "_before")
 
 
-def rank_all(df: DataFrame, order: str, bucket: Column, into: str = "rank", descending: bool = False) -> DataFrame:
+def rank_all(df: DataFrame, order: str, into: str = "rank", descending: bool = False, cuts: list[tuple] | None = None) -> DataFrame:
     """Add the 1-based rank of each row by ``order``, which is unique."""
-    out = running_total(df, [order], bucket, F.lit(1).cast("long"), "_up")
-    if not descending:
-        return out.withColumnRenamed("_up", into)
-    n = df.count()
-    return out.withColumn(into, F.lit(n + 1) - F.col("_up")).drop("_up")
+    out = running_total(df, [order], F.lit(1).cast("long"), "_up", cuts, "_all")
+    return out.withColumn(into, F.col("_all") + 1 - F.col("_up") if descending else F.col("_up")).drop("_up", "_all")
 
 
-def neighbours(df: DataFrame, order: str, bucket: Column) -> DataFrame:
+def neighbours(df: DataFrame, order: str, cuts: list[tuple] | None = None) -> DataFrame:
     """Add ``next_<order>`` and ``prev_<order>`` of each row; ``order`` is unique."""
-    rows = df.withColumn("_b", bucket)
+    rows = bucketed(df, [order], cuts)
     inner = Window.partitionBy("_b").orderBy(order)
     edges = rows.groupBy("_b").agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     across = Window.orderBy("_b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 from strata.functions.bloom import MIN_BITS, MOST_PROBES, WINDOW_BITS, probes
-from strata.functions.codec import HASH_MULTIPLIER, HASH_SEED, MASK32
+from strata.sources.bytesum import HASH_MULTIPLIER, HASH_SEED, MASK32
 
 
 def hash32(data: bytes, seed: int = HASH_SEED) -> int:

@@ -201,7 +201,7 @@ class Store:
         else:
             from strata.operators.order import rank_all
 
-            numbered = rank_all(batch, "pos", F.floor(F.col("pos") / 65536), "seq").withColumn("seq", F.col("seq") + base)
+            numbered = rank_all(batch, "pos", "seq").withColumn("seq", F.col("seq") + base)
         rows = numbered.select(F.col("user_key").cast("binary").alias("user_key"), F.col("seq").cast("long").alias("seq"), F.col("vtype").cast("int").alias("vtype"), F.col("value").cast("binary").alias("value"))
         added = self._write_files(rows, 0, max(1, self.options.partitions))
         held = self.rows()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators import mvcc
+from strata.schema import VALUE
 
 
 def changes(stream: DataFrame) -> DataFrame:
@@ -30,5 +31,6 @@ def follow(stream: DataFrame, table: str, checkpoint: str, trigger: dict | None
 
 
 def live(spark: SparkSession, table: str) -> DataFrame:
-    """The live rows of a followed table."""
-    return mvcc.scan(spark.read.parquet(table).select("user_key", "seq", "vtype", "value"))
+    """The live rows of a followed table; its batches may repeat a version."""
+    held = spark.read.parquet(table).select("user_key", "seq", "vtype", "value")
+    return mvcc.newest_of_few(held).where(F.col("vtype") == VALUE).select("user_key", "seq", "value")

@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -5,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import bloom, codec, keys
 from strata.schema import Options
-from strata.sources import bytesum
+from strata.sources import bytesum, filterblock
 
 
 def one(spark, expr, **columns):
@@ -88,7 +92,7 @@ def test_comparators(spark):
 
 def test_bloom_never_misses(spark):
     held = spark.range(2000).select((F.col("id") % 3).alias("g"), F.format_string("key%d", "id").alias("user_key"))
-    filters = bloom.build(held, ["g"])
+    filters = bloom.bitmaps(held, ["g"])
     assert bloom.probe(held, filters, ["g"]).where("not may_match").count() == 0
     absent = spark.range(3000).select((F.col("id") % 3).alias("g"), F.format_string("other%d", "id").alias("user_key"))
     assert bloom.probe(absent, filters, ["g"]).where("may_match").count() < 60
@@ -135,3 +139,38 @@ def test_status_and_records(spark):
     assert [r[0] for r in codes.collect()] == ["zero", "full", "first", "middle", "last", "unknown"]
     handle = spark.range(1).select(codec.block_handle(F.lit(300), F.lit(5)).alias("h")).head()["h"]
     assert bytes(handle) == bytesum.put_varint(300) + bytesum.put_varint(5)
+
+
+def test_checksums_by_lanes_and_columns():
+    """Long strings by lanes and many strings side by side equal the byte-by-byte definition."""
+    rng = random.Random(6)
+    rows = [rng.randbytes(n) for n in (*range(40), 2047, 2048, 2049, 5000, 70_001)] * 2 + [None, b""]
+
+    def plain(data, crc=0):
+        crc ^= bytesum.MASK32
+        for b in data:
+            crc = bytesum._TABLE[(crc ^ b) & 255] ^ (crc >> 8)
+        return crc ^ bytesum.MASK32
+
+    want = [plain(r or b"") for r in rows]
+    assert [bytesum.crc32c(r or b"") for r in rows] == want == bytesum.crc32c_of(pa.array(rows, pa.binary())).tolist()
+    assert bytesum.crc32c(rows[44], 77) == plain(rows[44], 77)
+    starts = np.array([rng.getrandbits(32) for _ in rows])
+    sliced = pa.array([b"zz", *rows], pa.binary()).slice(1)
+    assert bytesum.crc32c_of(sliced, starts).tolist() == [plain(r or b"", int(s)) for r, s in zip(rows, starts, strict=True)]
+    assert bytesum.hash32_of(sliced).tolist() == [filterblock.hash32(r or b"") for r in rows]
+    assert len(bytesum.crc32c_of(pa.array([], pa.binary()))) == 0 == len(bytesum.hash32_of(pa.array([], pa.binary())))
+
+
+def test_bloom_in_parts(spark):
+    """A filter that is larger than one bitmap."""
+    held = spark.range(10_000).select(F.lit(1).alias("g"), F.format_string("key%d", "id").alias("user_key"))
+    filters = bloom.bitmaps(held, ["g"])
+    assert filters.count() == 4
+    assert bloom.probe(held, filters, ["g"]).where("not may_match").count() == 0
+    absent = held.select("g", F.concat("user_key", F.lit("x")).alias("user_key"))
+    assert bloom.probe(absent, filters, ["g"]).where("may_match").count() < 200
+
+
+def test_null_bytes(spark):
+    assert one(spark, codec.crc32c(F.col("b")), b=(None, "binary")) is None and one(spark, codec.hash32(F.col("b")), b=(None, "binary")) is None

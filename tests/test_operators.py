@@ -51,9 +51,9 @@ def test_corrupt_keys_break_runs(spark):
 def test_order_helpers(spark):
     keys = sorted({f"{random.Random(i).randrange(10**6):06d}" for i in range(300)})
     df = spark.createDataFrame([(k,) for k in keys], "k string")
-    bucket = F.substring("k", 1, 2)
-    assert [r["rank"] for r in order.rank_all(df, "k", bucket).orderBy("k").collect()] == list(range(1, len(keys) + 1))
-    near = {r["k"]: (r["prev_k"], r["next_k"]) for r in order.neighbours(df, "k", bucket).collect()}
+    assert [r["rank"] for r in order.rank_all(df, "k").orderBy("k").collect()] == list(range(1, len(keys) + 1))
+    assert [r["rank"] for r in order.rank_all(df, "k", descending=True).orderBy("k").collect()] == list(range(len(keys), 0, -1))
+    near = {r["k"]: (r["prev_k"], r["next_k"]) for r in order.neighbours(df, "k").collect()}
     assert near == {k: (p, n) for k, p, n in zip(keys, [None, *keys], [*keys[1:], None], strict=False)}
 
 
@@ -149,11 +149,10 @@ def test_flush_level():
     assert [f.file_no for f in compaction.search_order([*rows, FileRow(0, 12, "a", "z", 1)], "p")] == [12, 9]
 
 
-@pytest.mark.parametrize("stretch", [2, 1000])
-def test_corrupt_runs_by_stretch(spark, stretch):
+def test_corrupt_runs_by_bucket(spark):
     rows = [(i, "k", 100 - i, i % 5 != 3) for i in range(40)]
     log = spark.createDataFrame(rows, "pos long, user_key string, seq long, is_valid boolean")
-    kept = sorted(r["pos"] for r in compact.with_corrupt(log, 1000, stretch).collect())
+    kept = sorted(r["pos"] for r in compact.with_corrupt(log, 1000).collect())
     assert kept == sorted({0} | {i for i in range(40) if i % 5 in (3, 4)})
 
 
@@ -169,33 +168,62 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
         text = plan(df)
         assert "GreaterThanOrEqual(user_key" in text or "EqualTo(user_key" in text
         assert "<= 5)" in text.split("FileScan")[0] and "unused" not in text
-        assert "Window" not in text and text.count("Exchange hashpartitioning") == 1
+        assert "Window" not in text and text.count("Exchange hashpartitioning") == (1 if "EqualTo(user_key" in text else 2)
 
 
 def test_no_global_windows(spark):
     log = spark.range(100).select(F.format_string("user%05d", "id").alias("user_key"))
-    for df in (order.rank_all(log, "user_key", mvcc.key_bucket(7)), order.neighbours(log, "user_key", mvcc.key_bucket(7))):
+    for df in (order.rank_all(log, "user_key"), order.neighbours(log, "user_key")):
         # the only single partition holds one row per bucket
-        assert plan(df).count("SinglePartition") <= 1
-
-
-@pytest.mark.parametrize("bucket", [1, 2, 9])
-def test_merged_order_equals_search(spark, bucket, monkeypatch):
-    monkeypatch.setattr(files._merged, "__defaults__", (bucket,))
-    rng = random.Random(bucket)
+        assert plan(df).count("SinglePartition") <= 2
+
+
+@pytest.mark.parametrize("keys", ["url", "same prefix", "hot", "few"])
+def test_buckets_are_even(spark, keys):
+    """Rows of a bucket, whatever the keys: long common prefixes, one key with most rows, fewer keys than buckets."""
+    n = 20_000
+    key = {
+        "url": F.format_string("https://www.example.org/pages/%08d.html", "id"), "same prefix": F.format_string("%0200d", "id"),
+        "hot": F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.format_string("k%05d", "id")), "few": F.format_string("%d", F.col("id") % 3),
+    }[keys]
+    rows = spark.range(n).select(key.alias("user_key"), (-F.col("id")).alias("neg"))
+    sizes = [r["count"] for r in order.bucketed(rows, ["user_key", "neg"]).groupBy("_b").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+    alone = [r["count"] for r in order.bucketed(rows, ["user_key"]).groupBy("_b").count().collect()]
+    assert len(alone) == {"hot": len(alone), "few": 3}.get(keys, 8) and sum(alone) == n
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 66, 200, 1000])
+def test_buckets_count_the_places_before(spark, n):
+    cuts = [(3 * i,) for i in range(n)]
+    rows = spark.range(-2, 3 * n + 3).withColumn("b", order.bucket_of(cuts, ["id"], {"id": "bigint"}))
+    assert all(r["b"] == sum(c <= r["id"] for (c,) in cuts) for r in rows.collect())
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 9])
+def test_merged_order_equals_search(spark, buckets, monkeypatch):
+    monkeypatch.setattr(order, "PER_PARTITION", buckets)
+    rng = random.Random(buckets)
     bounds = sorted(rng.sample(range(1000), 60))
     held = [(1, i, f"{a:03d}", f"{b:03d}", 1, 1) for i, (a, b) in enumerate(zip(bounds[::2], bounds[1::2], strict=True))]
     asked = [f"{rng.randrange(1000):03d}" for _ in range(200)]
     got = {r["user_key"]: r["file_no"] for r in files.find_file(spark.createDataFrame([(1, k) for k in asked], "level long, user_key string"), frame(spark, held)).collect()}
     assert got == {k: next((no for _, no, _, b, *_ in held if b >= k), None) for k in asked}
     ranges = [(f"{a:03d}", f"{a + rng.randrange(40):03d}") for a in rng.sample(range(900), 25)]
-    inside = files.covered(spark.createDataFrame([(k,) for k in asked], "user_key string"), spark.createDataFrame(ranges, "smallest string, largest string"), bucket)
+    inside = files.covered(spark.createDataFrame([(k,) for k in asked], "user_key string"), spark.createDataFrame(ranges, "smallest string, largest string"))
     assert {r["user_key"] for r in inside.collect()} == {k for k in asked if any(a <= k <= b for a, b in ranges)}
     keys = spark.createDataFrame([(k,) for k in asked], "user_key string")
     outside = compact.at_base_level(keys, spark.createDataFrame(ranges, "smallest string, largest string"))
     assert sorted(r["user_key"] for r in outside.collect()) == sorted(k for k in asked if not any(a <= k <= b for a, b in ranges))
 
 
+def test_newest_is_hashed(spark):
+    log = spark.range(100).select(F.format_string("k%d", F.col("id") % 7).alias("user_key"), F.col("id").alias("seq"), F.lit(1).alias("vtype"), F.lit("v").alias("value"))
+    text = plan(mvcc.scan(log))
+    assert "SortAggregate" not in text and "HashAggregate" in text and "Window" not in text
+    assert sorted(r["seq"] for r in mvcc.scan(log, 50).collect()) == list(range(44, 51))
+
+
 @pytest.mark.parametrize("width", [1, 10, 1000])
 def test_newer_versions_by_stretch(spark, width):
     rng = random.Random(width)
