@@ -23,7 +23,13 @@ SEEK_BYTES, MIN_SEEKS = 16384, 100
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of a store. ``clamped`` keeps the sizes in their allowed ranges."""
+    """Settings of a store. ``clamped`` keeps the sizes in their allowed ranges.
+
+    ``paranoid`` refuses damaged logs; ``block_size`` is the size of a Parquet page; files are of about ``max_file_size``
+    bytes, and the budgets of levels grow with it; ``partitions`` overrides how many a write makes. ``wal`` lets small
+    writes wait for ``write_buffer`` bytes behind a log, which ``sync`` forces to disk and ``reuse_logs`` goes on with after a
+    crash. ``retain`` are the seconds that replaced files stay. ``restart_interval`` is for table files.
+    """
 
     create_if_missing: bool = True
     error_if_exists: bool = False
@@ -35,8 +41,14 @@ class Options:
     restart_interval: int = 16
     max_open_files: int = 1000
     write_buffer: int = 4 * 1048576
-    max_file_size: int = TARGET_FILE_SIZE
+    max_file_size: int = 128 * 1048576
     partitions: int = 0
+    wal: bool = False
+    sync: bool = False
+    reuse_logs: bool = False
+    take_lock: bool = False
+    back_pressure: bool = True
+    retain: float = 3600.0
 
     def clamped(self) -> Options:
         def clamp(x: int, low: int, high: int) -> int:
