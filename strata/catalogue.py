@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import bloom, codec, keys
 from strata.operators import batch, blocks, cache, compact, files, manifest, mvcc, order
+from strata.operators.fold import unfold
 from strata.sources import bytesum
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,7 +223,14 @@ def batch_append(spark, d):
     return batch.append(r.where("pos < 60"), r.where("pos >= 60").withColumn("pos", F.col("pos") - 60))
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT doc_id % 16 AS queue, doc_id AS pos, CAST(strlen(text) * 16 AS BIGINT) AS n_bytes, doc_id % 11 = 0 AS sync FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY pos) AS rn, CASE WHEN n_bytes <= 131072 THEN n_bytes + 131072 ELSE 1048576 END AS own FROM q),
+r AS (SELECT queue, pos, n_bytes, sync, rn, 0::BIGINT AS group_no, n_bytes AS size, own AS cap, sync AS head FROM o WHERE rn = 1
+  UNION ALL SELECT o.queue, o.pos, o.n_bytes, o.sync, o.rn, r.group_no + CASE WHEN r.size + o.n_bytes > r.cap OR (o.sync AND NOT r.head) THEN 1 ELSE 0 END,
+    CASE WHEN r.size + o.n_bytes > r.cap OR (o.sync AND NOT r.head) THEN o.n_bytes ELSE r.size + o.n_bytes END,
+    CASE WHEN r.size + o.n_bytes > r.cap OR (o.sync AND NOT r.head) THEN o.own ELSE r.cap END, CASE WHEN r.size + o.n_bytes > r.cap OR (o.sync AND NOT r.head) THEN o.sync ELSE r.head END
+  FROM r JOIN o ON o.queue = r.queue AND o.rn = r.rn + 1)
+SELECT queue, pos, n_bytes, sync, group_no FROM r""")
 def group_commit(spark, d):
     docs = table(spark, d, "documents")
     waiting = docs.select(F.pmod("doc_id", F.lit(16)).alias("queue"), F.col("doc_id").alias("pos"), (F.octet_length("text") * 16).cast("long").alias("n_bytes"), (F.col("doc_id") % 11 == 0).alias("sync"))
@@ -408,10 +416,14 @@ def compact_split_outputs(spark, d):
     return compact.split_by_size(log, 4096).select("user_key", "seq", "output_no")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CL}, {LEVELLED}, k AS (SELECT file_no AS compaction, user_key, seq, row_number() OVER (PARTITION BY file_no ORDER BY user_key, seq DESC) AS rn,
+  CAST((SELECT coalesce(sum(file_size), 0) FROM fs WHERE level = 2 AND largest < user_key) AS BIGINT) AS passed FROM le WHERE level = 1),
+r AS (SELECT compaction, user_key, seq, rn, passed AS base, false AS cut FROM k WHERE rn = 1
+  UNION ALL SELECT k.compaction, k.user_key, k.seq, k.rn, CASE WHEN k.passed - r.base > 600 THEN k.passed ELSE r.base END, k.passed - r.base > 600 FROM r JOIN k ON k.compaction = r.compaction AND k.rn = r.rn + 1)
+SELECT compaction, user_key, seq, cut FROM r""")
 def compact_grandparent_split(spark, d):
     log = changelog(spark, d)
-    grand = sorted((r["largest"], r["file_size"]) for r in file_table(log).where("level = 2").collect())
+    grand = file_table(log).where("level = 2")
     rows = levelled(log).where("level = 1").select(F.col("file_no").alias("compaction"), "user_key", "seq")
     return compact.grandparent_cuts(rows, grand, cap=600)
 
@@ -626,13 +638,37 @@ def block_restarts(spark, d):
     return deltas.groupBy("grp").agg(F.count_if("restart").alias("restarts"))
 
 
-@query()
+_W = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 ELSE 4 END"
+
+
+def _duck_used(used: str, count: str) -> str:
+    """The bytes of a block after entry e, which is number ``count`` in it."""
+    shared = f"(CASE WHEN {count} % 16 = 0 THEN 0 ELSE e.shared END)"
+    return f"({used} + {_W.format(shared)} + {_W.format(f'(e.k - {shared})')} + {_W.format('e.size')} + e.k - {shared} + e.size)"
+
+
+def _duck_step(used: str, count: str) -> str:
+    now = _duck_used(used, count)
+    return f"{now} AS used, {count} + 1 AS n, {now} + 4 * (({count} + 16) // 16) + 4 >= 4096 AS closes"
+
+
+CUT = f"""{URLS}, e AS (SELECT ro.grp, ro.user_key, rn, strlen(ro.user_key) AS k, strlen(html) AS size,
+  coalesce(list_filter(range(1, least(length(pk), length(ro.user_key)) + 1), lambda i: substr(pk, i, 1) <> substr(ro.user_key, i, 1))[1] - 1, least(length(pk), length(ro.user_key)), 0) AS shared
+  FROM ro JOIN (SELECT printf('%s|%08d', url, page_id) AS user_key, html FROM pages) h ON h.user_key = ro.user_key),
+r AS (SELECT e.grp, e.user_key, e.rn, 0::BIGINT AS block_no, {_duck_step('0', '0')} FROM e WHERE rn = 0
+  UNION ALL SELECT e.grp, e.user_key, e.rn, r.block_no + CASE WHEN r.closes THEN 1 ELSE 0 END, {_duck_step('(CASE WHEN r.closes THEN 0 ELSE r.used END)', '(CASE WHEN r.closes THEN 0 ELSE r.n END)')}
+  FROM r JOIN e ON e.grp = r.grp AND e.rn = r.rn + 1)"""
+
+
+@query(f"WITH RECURSIVE {CUT} SELECT grp, block_no, count(*) AS n_entries FROM r GROUP BY grp, block_no")
 def block_cut(spark, d):
     cut = blocks.cut_blocks(_urls(spark, d), "grp")
     return cut.groupBy("grp", "block_no").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUT}, b AS (SELECT grp, block_no, count(*) AS n_entries, min(user_key) AS first_key, max(user_key) AS a FROM r GROUP BY grp, block_no),
+n AS (SELECT *, lead(first_key) OVER (PARTITION BY grp ORDER BY block_no) AS b FROM b), p AS (SELECT *, list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))[1] AS i FROM n)
+SELECT grp, block_no, n_entries, CASE WHEN b IS NULL THEN chr(ascii(substr(a, 1, 1)) + 1) WHEN i IS NOT NULL AND ascii(substr(a, i, 1)) + 1 < ascii(substr(b, i, 1)) THEN substr(a, 1, i - 1) || chr(ascii(substr(a, i, 1)) + 1) ELSE a END AS index_key FROM p""")
 def block_index(spark, d):
     return blocks.block_index(blocks.cut_blocks(_urls(spark, d), "grp"), "grp").select("grp", "block_no", "n_entries", F.col("index_key").cast("string").alias("index_key"))
 
@@ -640,20 +676,31 @@ def block_index(spark, d):
 # logs, caches, streams, stores
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT source, doc_id, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+r AS (SELECT DISTINCT source, 0::BIGINT AS rn, NULL::BIGINT AS doc_id, 0::BIGINT AS kind, -7::BIGINT AS place, 0::BIGINT AS start, 0::BIGINT AS length, true AS ends FROM q
+  UNION ALL SELECT source, rn, doc_id, CAST(CASE WHEN NOT begun THEN CASE WHEN start + n = size THEN 1 ELSE 2 END WHEN start + n = size THEN 4 ELSE 3 END AS BIGINT), place, start, n, start + n = size FROM (
+    SELECT *, CAST(least(size - start, room - 7) AS BIGINT) AS n FROM (
+      SELECT *, CASE WHEN free < 7 THEN after + free ELSE after END AS place, CASE WHEN free < 7 THEN 32768 ELSE free END AS room FROM (
+        SELECT q.source, q.rn, q.doc_id, q.size, CASE WHEN r.ends THEN 0 ELSE r.start + r.length END AS start, NOT r.ends AS begun, r.place + 7 + r.length AS after, 32768 - (r.place + 7 + r.length) % 32768 AS free
+        FROM r JOIN q ON q.source = r.source AND q.rn = r.rn + CASE WHEN r.ends THEN 1 ELSE 0 END))))
+SELECT source, doc_id, kind, place AS "at", start, length FROM r WHERE rn > 0""")
 def wal_fragments(spark, d):
     """Fragments of a log of the documents' texts, in order of their ids, one log for each source."""
     from strata.sources import wal
 
-    def run(pdf):
-        import pandas as pd
+    def begin():
+        at = 0
+
+        def step(doc_id: int, n: int) -> list[tuple]:
+            nonlocal at
+            found = [(doc_id, *x) for _, *x in wal.fragments([n], at)]
+            at = found[-1][2] + wal.HEADER + found[-1][4]
+            return found
 
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
-        rows = [(pdf["doc_id"][r], *x) for r, *x in wal.fragments(pdf["n"].tolist())]
-        return pd.DataFrame(rows, columns=["doc_id", "kind", "at", "start", "length"]).assign(source=pdf["source"][0])
+        return step
 
     sized = table(spark, d, "documents").select("source", "doc_id", F.octet_length("text").alias("n"))
-    return sized.groupBy("source").applyInPandas(run, "doc_id long, kind long, at long, start long, length long, source string")
+    return unfold(sized, "source", ["doc_id"], ["doc_id", "n"], begin, "doc_id long, kind long, at long, start long, length long")
 
 
 def _scratch(spark: SparkSession) -> str:

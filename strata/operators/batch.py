@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strata.operators.fold import fold
 from strata.operators.order import running_total
 
 HEADER = 12
@@ -63,15 +63,17 @@ def group_commit(queue: DataFrame, by: str = "queue") -> DataFrame:
     Each step depends on the last cut, so a queue is folded in order.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", ignore_index=True)
-        groups, size, cap, sync, group = [], 0, -1, False, -1
-        for n, s in zip(rows["n_bytes"], rows["sync"], strict=True):
+    def begin():
+        size, cap, sync, group = 0, -1, False, -1
+
+        def step(n: int, s: bool) -> tuple[int]:
+            nonlocal size, cap, sync, group
             if group < 0 or size + n > cap or (s and not sync):
                 group, size, sync = group + 1, 0, s
                 cap = n + SMALL_HEAD if n <= SMALL_HEAD else GROUP_CAP
             size += n
-            groups.append(group)
-        return rows.assign(group_no=pd.Series(groups, dtype="int64"))
+            return (group,)
+
+        return step
 
-    return queue.groupBy(by).applyInPandas(fold, queue.withColumn("group_no", F.lit(0).cast("long")).schema)
+    return fold(queue, by, ["pos"], ["n_bytes", "sync"], begin, "group_no long")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.functions.codec import varint_length
 from strata.functions.keys import short_successor, shortest_separator
+from strata.operators.fold import fold
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
@@ -27,30 +27,33 @@ def prefix_deltas(entries: DataFrame, group: str, key: str = "user_key", interva
 
 
 def cut_blocks(entries: DataFrame, group: str, key: str = "user_key", value: str = "value", size: int = 4096, interval: int = 16) -> DataFrame:
-    """Add ``block_no``: a block closes once its entries and restart array reach ``size``.
+    """``block_no`` of each entry: a block closes once its entries and restart array reach ``size``.
 
-    The size of a block depends on where the last one was cut, so each file is folded in order.
+    The size of a block depends on where the last one was cut, so each file is folded in order. Only
+    the lengths of values take part; the result has all columns but ``value``.
     """
-    rows = entries.withColumns({"_k": F.col(key).cast("binary"), "_n": F.coalesce(F.octet_length(value), F.lit(0))})
+    rows = entries.withColumns({"_k": F.col(key).cast("binary"), "_n": F.coalesce(F.octet_length(value), F.lit(0))}).drop(value)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, ignore_index=True)
-        blocks, block, used, count, last = [], 0, 0, 0, b""
+    def begin():
+        block, used, count, last = 0, 0, 0, b""
         width = lambda x: max(1, -(-int(x).bit_length() // 7))
-        for k, n in zip(pdf["_k"], pdf["_n"], strict=True):
-            k, shared = bytes(k), 0
+
+        def step(k: bytes, n: int) -> tuple[int]:
+            nonlocal block, used, count, last
+            shared, now = 0, block
             if count % interval:
                 least = min(len(k), len(last))
                 while shared < least and k[shared] == last[shared]:
                     shared += 1
             used += width(shared) + width(len(k) - shared) + width(n) + len(k) - shared + n
             count, last = count + 1, k
-            blocks.append(block)
             if used + 4 * (-(-count // interval)) + 4 >= size:
                 block, used, count = block + 1, 0, 0
-        return pdf.drop(columns=["_k", "_n"]).assign(block_no=pd.Series(blocks, dtype="int64"))
+            return (now,)
+
+        return step
 
-    return rows.groupBy(group).applyInPandas(fold, entries.withColumn("block_no", F.lit(0).cast("long")).schema)
+    return fold(rows, group, ["_k"], ["_k", "_n"], begin, "block_no long").drop("_k", "_n")
 
 
 def block_index(blocked: DataFrame, group: str, key: str = "user_key") -> DataFrame:

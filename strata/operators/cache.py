@@ -4,56 +4,35 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _distances(keys: np.ndarray) -> np.ndarray:
-    """Distinct keys between an access and the one before of the same key; -1 for first accesses.
-
-    A tree of counts over the trace holds a one at each key's latest access.
-    """
-    n = len(keys)
-    tree, last, out = np.zeros(n + 1, np.int64), {}, np.full(n, -1, np.int64)
-
-    def add(i: int, d: int) -> None:
-        i += 1
-        while i <= n:
-            tree[i] += d
-            i += i & -i
-
-    def upto(i: int) -> int:
-        s = 0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    for i, k in enumerate(keys.tolist()):
-        if k in last:
-            out[i] = upto(i) - upto(last[k] + 1)
-            add(last[k], -1)
-        add(i, 1)
-        last[k] = i
-    return out
+from strata.operators.fold import fold
 
 
 def lru_trace(trace: DataFrame, capacity: int, shard: str = "shard") -> DataFrame:
     """``(shard, t, key)`` -> ``(shard, t, state)``: cold, hit or miss of a least-recently-used cache.
 
-    An access hits if fewer than ``capacity`` distinct keys came since the last one of its key. Shards
-    are independent caches, and one task each; a trace within a shard is sequential by nature.
+    An access hits if fewer than ``capacity`` distinct keys came since the last one of its key. The first access
+    of each key is found by an aggregate, so that the fold over a shard holds the keys in the cache and no others.
     """
+    first = trace.groupBy(shard, "key").agg(F.min("t").alias("_first"))
+    rows = trace.join(first, [shard, "key"]).select(shard, "t", "key", (F.col("t") == F.col("_first")).alias("_cold"))
+
+    def begin():
+        held: OrderedDict = OrderedDict()
+
+        def step(key, cold: bool) -> tuple[str]:
+            state = "cold" if cold else "hit" if key in held else "miss"
+            held[key] = None
+            held.move_to_end(key)
+            if len(held) > capacity:
+                held.popitem(last=False)
+            return (state,)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", ignore_index=True)
-        d = _distances(pd.factorize(rows["key"])[0])
-        return pd.DataFrame({shard: rows[shard], "t": rows["t"], "state": np.where(d < 0, "cold", np.where(d < capacity, "hit", "miss"))})
+        return step
 
-    kinds = dict(trace.dtypes)
-    return trace.groupBy(shard).applyInPandas(run, f"{shard} {kinds[shard]}, t {kinds['t']}, state string")
+    return fold(rows, shard, ["t"], ["key", "_cold"], begin, "state string").select(shard, "t", "state")
 
 
 class LruCache:

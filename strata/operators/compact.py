@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.operators.files import covered
+from strata.operators.files import covered, merged
+from strata.operators.fold import fold
 from strata.operators.mvcc import newer_seq
-from strata.operators.order import running_total
+from strata.operators.order import places, running_total
 from strata.schema import DELETION, GRANDPARENT_FACTOR, MAX_MEMTABLE_LEVEL, TARGET_FILE_SIZE
 
 
@@ -57,26 +57,33 @@ def split_by_size(entries: DataFrame, limit: int = TARGET_FILE_SIZE) -> DataFram
     return total.withColumn("output_no", F.floor((F.col("_upto") - F.col("_size")) / limit).cast("long")).drop("_size", "_neg", "_upto")
 
 
-def grandparent_cuts(keys: DataFrame, grandparents: list[tuple], cap: int) -> DataFrame:
+def grandparent_cuts(keys: DataFrame, grandparents: DataFrame, cap: int) -> DataFrame:
     """``keys(compaction, user_key, seq)`` in internal order -> with ``cut``: whether an output ends before the key.
 
-    While the keys pass files two levels down, those files' sizes are summed; above ``cap`` the sum
-    starts anew and the output is cut. The sum resets, so each compaction is folded in order.
+    While the keys pass files two levels down, ``grandparents(largest, file_size)``, those files' sizes are
+    summed; above ``cap`` the sum starts anew and the output is cut. What lies before each key comes from an
+    ordered merge with the running size of the files; the fold over a compaction only tells where it starts anew.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["user_key", "seq"], ascending=[True, False], ignore_index=True)
-        cuts, i, total, seen = [], 0, 0, False
-        for key in rows["user_key"]:
-            while i < len(grandparents) and key > grandparents[i][0]:
-                total += grandparents[i][1] if seen else 0
-                i += 1
-            seen = True
-            cuts.append(total > cap)
-            total = 0 if total > cap else total
-        return rows.assign(cut=pd.Series(cuts, dtype="bool"))
-
-    return keys.groupBy("compaction").applyInPandas(fold, keys.withColumn("cut", F.lit(False)).schema)
+    placed = running_total(grandparents.select("largest", "file_size"), ["largest"], F.col("file_size"), "_upto")
+    held = placed.select(F.lit(0).alias("level"), "largest", (F.col("_upto") - F.col("file_size")).alias("before"))
+    asked = keys.select(F.lit(0).alias("level"), "user_key").distinct()
+    found = merged(asked, held, "largest", places(keys, ["user_key"])).select("user_key", F.col("found.before").alias("_before"))
+    whole = grandparents.agg(F.sum("file_size")).head()[0] or 0
+    passed = keys.join(found, "user_key").withColumn("_passed", F.coalesce("_before", F.lit(whole).cast("long"))).withColumn("_neg", -F.col("seq"))
+
+    def begin():
+        base = None
+
+        def step(passed: int) -> tuple[bool]:
+            nonlocal base
+            base = passed if base is None else base
+            cut = passed - base > cap
+            base = passed if cut else base
+            return (cut,)
+
+        return step
+
+    return fold(passed, "compaction", ["user_key", "_neg"], ["_passed"], begin, "cut boolean").select(*keys.columns, "cut")
 
 
 def trivial_moves(candidates: DataFrame, cap: int = GRANDPARENT_FACTOR * TARGET_FILE_SIZE) -> DataFrame:

@@ -62,6 +62,12 @@ def range_matches(ranges: DataFrame, files: DataFrame) -> DataFrame:
     return ranges.join(files, meets)
 
 
+def some_overlap(ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """The ``ranges(range_no, low, high)`` that any file overlaps, null bounds open; a range leaves at its first file."""
+    meets = (F.col("low").isNull() | (F.col("largest") >= F.col("low"))) & (F.col("high").isNull() | (F.col("smallest") <= F.col("high")))
+    return ranges.join(files.select("smallest", "largest"), meets, "left_semi")
+
+
 def islands(files: DataFrame) -> DataFrame:
     """Groups of files whose ranges are connected by overlaps: ``(level, island, low, high, n_files)``."""
     order = Window.partitionBy("level").orderBy("smallest", "file_no")
@@ -93,7 +99,7 @@ def closure(files: DataFrame, low, high) -> list[int]:
     return sorted(chosen)
 
 
-def _merged(keys: DataFrame, files: DataFrame, by: str, cuts: list[tuple] | None = None) -> DataFrame:
+def merged(keys: DataFrame, files: DataFrame, by: str, cuts: list[tuple] | None = None) -> DataFrame:
     """Each (level, key) with the first file whose ``by`` bound is at or after the key.
 
     Keys and bounds are merged within buckets that a sample of the keys divides evenly; the first file
@@ -120,12 +126,12 @@ def covered(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     numbered = ranges.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("file_no"), "smallest", "largest")
     disjoint = islands(numbered).select("level", F.col("low").alias("smallest"), F.col("high").alias("largest"))
     asked = keys.select(F.lit(0).alias("level"), "user_key").distinct()
-    return _merged(asked, disjoint, "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key")).select("user_key")
+    return merged(asked, disjoint, "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key")).select("user_key")
 
 
 def find_file(keys: DataFrame, files: DataFrame) -> DataFrame:
     """``keys(level, user_key)`` -> the first file of the level whose largest key is at or after the key."""
-    return _merged(keys.distinct(), files, "largest", places(keys, ["user_key"])).select("level", "user_key", F.col("found.file_no").alias("file_no"))
+    return merged(keys.distinct(), files, "largest", places(keys, ["user_key"])).select("level", "user_key", F.col("found.file_no").alias("file_no"))
 
 
 def files_to_search(keys: DataFrame, files: DataFrame) -> DataFrame:
@@ -137,7 +143,7 @@ def files_to_search(keys: DataFrame, files: DataFrame) -> DataFrame:
     top = F.broadcast(files.where("level = 0"))
     young = asked.join(top, F.col("user_key").between(F.col("smallest"), F.col("largest"))).select("user_key", "level", "file_no")
     levels = asked.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS - 1))))
-    deep = _merged(levels, files.where("level > 0"), "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key"))
+    deep = merged(levels, files.where("level > 0"), "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key"))
     both = young.unionByName(deep.select("user_key", "level", F.col("found.file_no").alias("file_no")))
     order = Window.partitionBy("user_key").orderBy("level", F.col("file_no").desc())
     return both.withColumn("probe_order", F.row_number().over(order).cast("long"))

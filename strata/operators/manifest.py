@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def replay(edits: DataFrame, upto: int | None = None) -> DataFrame:
     return last.where("_l.kind = 'add'").select("level", "file_no", *[F.col(f"_l.{c}") for c in payload])
 
 
+def live_set(edits: DataFrame, versions: list[int]) -> DataFrame:
+    """The files that any of the versions in use names, each version being the state after an edit."""
+    return reduce(DataFrame.union, [replay(edits, v).select("level", "file_no") for v in versions]).distinct()
+
+
 def pointers(edits: DataFrame) -> DataFrame:
     """The last compaction pointer of each level."""
     rows = edits.where("kind = 'compact_ptr'")
