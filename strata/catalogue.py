@@ -6,6 +6,7 @@ The stores of these queries are made from the driver's tables: ``events`` as a c
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable
 
@@ -298,6 +299,68 @@ def next_level_overlap(spark, d):
     return files.next_level_overlap(file_table(changelog(spark, d)))
 
 
+OPEN = f"""{RANGES}, ro AS (SELECT range_no, CASE WHEN range_no % 3 > 0 THEN low END AS low, CASE WHEN range_no % 5 > 0 THEN high END AS high FROM rg)"""
+
+
+def _open_ranges(log: DataFrame) -> DataFrame:
+    u = F.col("range_no")
+    return key_ranges(log).select(u, F.when(u % 3 > 0, F.col("low")).alias("low"), F.when(u % 5 > 0, F.col("high")).alias("high"))
+
+
+@query(f"""{W}{LEVELLED}, {OPEN} SELECT range_no, level, file_no FROM ro JOIN fs ON (low IS NULL OR largest >= low) AND (high IS NULL OR smallest <= high)""")
+def file_overlap_open(spark, d):
+    """Ranges without a lower or an upper bound, or neither."""
+    log = changelog(spark, d)
+    return files.range_matches(_open_ranges(log), file_table(log)).select("range_no", "level", "file_no")
+
+
+@query(f"""{W}{LEVELLED}, {OPEN} SELECT range_no FROM ro WHERE EXISTS (SELECT 1 FROM fs WHERE level = 1 AND file_no % 3 = 0 AND (low IS NULL OR largest >= low) AND (high IS NULL OR smallest <= high))""")
+def some_file_overlaps(spark, d):
+    log = changelog(spark, d)
+    return files.some_overlap(_open_ranges(log), file_table(log).where("level = 1 and file_no % 3 = 0")).select("range_no")
+
+
+WIDE = """wf AS (SELECT 0::BIGINT AS level, CAST((seq - 1) // 100 AS BIGINT) AS file_no, min(user_key) AS smallest, max(user_key) AS largest FROM cl GROUP BY 2)"""
+
+
+def _wide(log: DataFrame) -> DataFrame:
+    """A level 0 of very many files."""
+    return files.metadata(log.withColumn("file_no", F.expr("(seq - 1) div 100")), ["file_no"]).withColumn("level", F.lit(0).cast("long"))
+
+
+@query(f"""{W}{WIDE}, k AS (SELECT DISTINCT user_key FROM cl)
+SELECT user_key, level, file_no, row_number() OVER (PARTITION BY user_key ORDER BY file_no DESC) AS probe_order FROM k JOIN wf ON user_key BETWEEN smallest AND largest""")
+def files_to_search_wide(spark, d):
+    """All files of level 0 that hold a key, however many there are."""
+    log = changelog(spark, d)
+    return files.files_to_search(log, _wide(log))
+
+
+@query(f"""WITH RECURSIVE {CL}, {RANGES}, f AS (SELECT range_no AS file_no, low AS smallest, high AS largest FROM rg WHERE range_no % 9 < 4),
+c AS (SELECT 'user00010' AS low, 'user00012' AS high UNION SELECT least(low, min(smallest)), greatest(high, max(largest)) FROM c JOIN f ON largest >= low AND smallest <= high GROUP BY low, high),
+e AS (SELECT min(low) AS low, max(high) AS high FROM c) SELECT file_no FROM f, e WHERE largest >= low AND smallest <= high""")
+def l0_closure(spark, d):
+    """Files that a range reaches once it is widened by each file found: chains with gaps between them."""
+    f = key_ranges(changelog(spark, d)).where("range_no % 9 < 4")
+    held = f.select(F.lit(0).cast("long").alias("level"), F.col("range_no").alias("file_no"), F.col("low").alias("smallest"), F.col("high").alias("largest"))
+    return spark.createDataFrame([(n,) for n in files.closure(held, "user00010", "user00012")], "file_no long")
+
+
+@query(f"""{W}{LEVELLED}, sp AS (SELECT min(smallest) AS lo, max(largest) AS hi FROM fs WHERE level = 0), b AS (SELECT fs.* FROM fs, sp WHERE level = 1 AND largest >= lo AND smallest <= hi),
+w AS (SELECT least(lo, (SELECT min(smallest) FROM b)) AS lo, greatest(hi, (SELECT max(largest) FROM b)) AS hi FROM sp)
+SELECT 'input' AS role, level, file_no FROM fs WHERE level = 0 UNION ALL SELECT 'below', level, file_no FROM b UNION ALL SELECT 'grandparent', level, file_no FROM fs, w WHERE level = 2 AND largest >= lo AND smallest <= hi""")
+def compact_pick(spark, d):
+    """The compaction of level 0, by its score or else for a file whose seeks are spent: its files, which all overlap, what
+    they meet at level 1, and below it."""
+    from strata.plans import compaction
+
+    held = file_table(changelog(spark, d)).select("level", "file_no", "smallest", "largest", "file_size").collect()  # metadata
+    held = [compaction.FileRow(*r) for r in held]
+    plan = compaction.pick(held, {}, victim=max((f for f in held if f.level == 0), key=lambda f: f.file_no))
+    rows = [(role, f.level, f.file_no) for role, some in (("input", plan.inputs), ("below", plan.below), ("grandparent", plan.grandparents)) for f in some]
+    return spark.createDataFrame(rows, "role string, level long, file_no long")
+
+
 # manifest
 
 
@@ -319,6 +382,37 @@ def manifest_replay(spark, d):
     return manifest.replay(_edits(spark, d))
 
 
+@query(f"""WITH {EDITS.split("lf AS")[0].rstrip().rstrip(",")}, v AS (SELECT unnest([0, 1]) AS i, (SELECT max(edit_id) FROM ed) AS top),
+x AS (SELECT i, level, file_no, kind, row_number() OVER (PARTITION BY i, level, file_no ORDER BY edit_id DESC, (kind = 'add') DESC, pos DESC) AS rn FROM ed, v WHERE edit_id <= CASE WHEN i = 0 THEN top ELSE top // 2 END)
+SELECT DISTINCT level, file_no FROM x WHERE rn = 1 AND kind = 'add'""")
+def live_file_set(spark, d):
+    """Files of the current version and of one that a reader still holds."""
+    e = _edits(spark, d)
+    top = e.agg(F.max("edit_id")).head()[0]
+    return manifest.live_set(e, [top, top // 2])
+
+
+@query(f"WITH {EDITS.split('lf AS')[0].rstrip().rstrip(',')} SELECT edit_id, pos, kind, level, file_no, CASE WHEN kind = 'add' THEN file_size END AS file_size FROM ed")
+def edit_codec(spark, d):
+    """Edits in their byte format, one record each, and back."""
+    from strata.sources import edits
+
+    def begin():
+        held = []
+
+        def step(kind: str, level: int, no: int, size: int, last: bool) -> list[tuple]:
+            held.append(("add", level, no, size, b"a", b"z") if kind == "add" else ("del", level, no))
+            return [(edits.encode(held),)] if last else []
+
+        return step
+
+    e = _edits(spark, d)
+    ends = e.groupBy("edit_id").agg(F.max("pos").alias("end"))
+    rows = e.join(ends, "edit_id").withColumn("last", F.col("pos") == F.col("end"))
+    payloads = unfold(rows, "edit_id", ["pos"], ["kind", "level", "file_no", "file_size", "last"], begin, "payload binary")
+    return edits.read_edits(payloads.withColumnRenamed("edit_id", "record_no")).select("edit_id", "pos", "kind", "level", "file_no", "file_size")
+
+
 NAMES = """nm AS (SELECT CASE WHEN event_id % 6 = 0 THEN printf('%06d.log', event_id) WHEN event_id % 6 = 1 THEN printf('%06d.ldb', event_id % 300) WHEN event_id % 6 = 2 THEN printf('MANIFEST-%06d', event_id)
   WHEN event_id % 6 = 3 THEN printf('%06d.dbtmp', event_id) WHEN event_id = 4 THEN 'CURRENT' WHEN event_id = 5 THEN 'LOCK' WHEN event_id = 10 THEN 'LOG' WHEN event_id = 11 THEN 'LOG.old'
   ELSE printf('x%d.txt', event_id) END AS name FROM events),
@@ -355,8 +449,32 @@ def missing_files(spark, d):
     return manifest.lost(manifest.replay(_edits(spark, d)), manifest.parse_listing(_names(spark, d))).select("level", "file_no")
 
 
+@query(f"WITH {NAMES} SELECT name, number FROM pn WHERE kind = 'log' AND (number >= 600 OR number = 6)")
+def logs_to_replay(spark, d):
+    return manifest.logs_to_replay(manifest.parse_listing(_names(spark, d)), 600, 6).select("name", "number")
+
+
 # compaction
 
+
+@query(f"{W}sn AS (SELECT seq FROM cl WHERE seq % 1000 = 77) SELECT CAST(coalesce((SELECT min(seq) FROM sn), 0) AS BIGINT) AS oldest, CAST((SELECT max(seq) FROM cl) AS BIGINT) AS without")
+def oldest_snapshot(spark, d):
+    log = changelog(spark, d)
+    top = log.agg(F.max("seq")).head()[0]
+    held = log.where("seq % 1000 = 77").select("seq")
+    return spark.createDataFrame([(compact.smallest_snapshot(held, 0), compact.smallest_snapshot(held.where("false"), top))], "oldest long, without long")
+
+
+@query(f"""{W}{MID}, e AS (SELECT user_key, seq, row_number() OVER (ORDER BY user_key, seq DESC) AS pos, seq % 7 <> 3 AS is_valid FROM cl),
+r AS (SELECT *, sum(CASE WHEN is_valid THEN 0 ELSE 1 END) OVER (ORDER BY pos) AS run FROM e), p AS (SELECT *, lag(seq) OVER (PARTITION BY run, user_key, is_valid ORDER BY pos) AS p FROM r)
+SELECT user_key, seq, is_valid FROM p, s WHERE NOT is_valid OR p IS NULL OR p > snap""")
+def compact_corrupt_keys(spark, d):
+    """Corrupt keys are kept, and the entry after one counts as the first of its key."""
+    log = changelog(spark, d).select("user_key", "seq", (F.col("seq") % 7 != 3).alias("is_valid"), (-F.col("seq")).alias("neg"))
+    placed = order.running_total(log, ["user_key", "neg"], F.lit(1).cast("long"), "pos")
+    return compact.with_corrupt(placed, middle(log)).select("user_key", "seq", "is_valid")
+
+
 NEWER = "nr AS (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS p FROM cl)"
 
 
@@ -614,6 +732,33 @@ def short_successor(spark, d):
     return _pairs(spark, d).select("p_partkey", keys.short_successor(F.col("a").cast("binary")).cast("string").alias("successor"))
 
 
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'zero' WHEN 1 THEN 'full' WHEN 2 THEN 'first' WHEN 3 THEN 'middle' WHEN 4 THEN 'last' ELSE 'unknown' END AS kind,
+  CASE event_id % 6 WHEN 0 THEN 'OK' WHEN 1 THEN 'NotFound: ' || event_type WHEN 2 THEN 'Corruption: ' || event_type WHEN 3 THEN 'Not implemented: ' || event_type
+  WHEN 4 THEN 'Invalid argument: ' || event_type ELSE 'IO error: ' || event_type END AS status FROM events""")
+def codes_to_text(spark, d):
+    codes = F.array(*[F.lit(c) for c in keys.STATUS])
+    code = F.get(codes, (F.col("event_id") % 6).cast("int"))
+    return table(spark, d, "events").select("event_id", codec.record_type(F.col("event_id") % 7).alias("kind"), keys.status_text(code, F.col("event_type")).alias("status"))
+
+
+@query("""SELECT event_id, CAST(greatest(74, least(50000, event_id)) AS BIGINT) AS max_open_files, CAST(greatest(65536, least(1073741824, event_id * 1000000)) AS BIGINT) AS write_buffer,
+  CAST(greatest(1048576, least(1073741824, event_id * 900000)) AS BIGINT) AS max_file_size, CAST(greatest(1024, least(4194304, event_id * 3000)) AS BIGINT) AS block_size FROM events""")
+def option_clamps(spark, d):
+    """Options far below, within and far above their bounds."""
+    import pyarrow as pa
+
+    from strata.schema import Options
+
+    names = ["max_open_files", "write_buffer", "max_file_size", "block_size"]
+
+    def run(batches):
+        for b in batches:
+            made = [Options(max_open_files=i, write_buffer=i * 1000000, max_file_size=i * 900000, block_size=i * 3000).clamped() for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([getattr(o, n) for o in made], pa.int64()) for n in names)], ["event_id", *names])
+
+    return table(spark, d, "events").select("event_id").mapInArrow(run, "event_id long, " + ", ".join(f"{n} long" for n in names))
+
+
 # blocks
 
 URLS = """ur AS (SELECT page_id % 8 AS grp, printf('%s|%08d', url, page_id) AS user_key FROM pages),
@@ -703,6 +848,76 @@ def wal_fragments(spark, d):
     return unfold(sized, "source", ["doc_id"], ["doc_id", "n"], begin, "doc_id long, kind long, at long, start long, length long")
 
 
+def _batches(log: DataFrame) -> DataFrame:
+    """The changelog as write batches of 100 rows in their byte format: ``(batch_id, payload)``."""
+    from strata.sources import wal
+
+    def begin():
+        held = []
+
+        def step(seq: int, vtype: int, key: str, value: str, last: bool) -> list[tuple]:
+            held.append((vtype, key.encode(), value.encode()))
+            return [(wal.encode_batch(seq - len(held) + 1, held),)] if last else []
+
+        return step
+
+    rows = log.withColumn("batch_id", F.expr("(seq - 1) div 100"))
+    ends = rows.groupBy("batch_id").agg(F.max("seq").alias("end"))
+    rows = rows.join(ends, "batch_id").withColumn("last", F.col("seq") == F.col("end"))
+    return unfold(rows, "batch_id", ["seq"], ["seq", "vtype", "user_key", "value", "last"], begin, "payload binary")
+
+
+@query(f"""{W}x AS (SELECT 1) SELECT user_key, seq, vtype, CASE WHEN vtype = 1 THEN value END AS value, NULL::VARCHAR AS reason FROM cl WHERE (seq - 1) // 100 % 5 <> 2
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'unknown batch tag' FROM (SELECT DISTINCT (seq - 1) // 100 AS b FROM cl) WHERE b % 5 = 2""")
+def batch_replay(spark, d):
+    """Batches decoded; of every fifth the first tag is damaged, and its batch is told instead."""
+    from strata.sources import wal
+
+    batches = _batches(changelog(spark, d))
+    hurt = F.concat(F.substring("payload", 1, 12), F.lit(b"\x09"), F.expr("substring(payload, 14)"))
+    found = wal.replay(batches.select(F.when(F.col("batch_id") % 5 == 2, hurt).otherwise(F.col("payload")).alias("payload"), F.lit(None).cast("string").alias("reason")))
+    return found.select(F.col("user_key").cast("string").alias("user_key"), "seq", "vtype", F.col("value").cast("string").alias("value"), "reason")
+
+
+@query(f"{W}x AS (SELECT 1) SELECT user_key, seq, vtype, CASE WHEN vtype = 1 THEN value END AS value FROM cl WHERE (seq - 1) // 100 % 8 IN (1, 5, 6, 7)")
+def log_recovery(spark, d):
+    """The batches appended to eight logs, of which those from number 5 on and one earlier are recovered."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from strata.sources import wal
+
+    at = f"{_scratch(spark)}/logs"
+
+    def write(batches):
+        files_, base = fs.FileSystem.from_uri(at)
+        files_.create_dir(base, recursive=True)
+        log, sink, place, n = None, None, 0, 0
+
+        def close():
+            sink.close()
+            files_.move(f"{base}/.{log:06d}.open", f"{base}/{log:06d}.log")
+
+        for b in batches:
+            for no, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if no != log:
+                    if sink is not None:
+                        close()
+                    log, place, n = no, 0, n + 1
+                    sink = files_.open_output_stream(f"{base}/.{no:06d}.open", compression=None)
+                data = wal.encode([payload], place)
+                sink.write(data)
+                place += len(data)
+        if sink is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    dealt = _batches(changelog(spark, d)).select((F.col("batch_id") % 8).cast("int").alias("log_no"), "payload", "batch_id")
+    dealt.repartition("log_no").sortWithinPartitions("log_no", "batch_id").select("log_no", "payload").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    found = wal.recover(spark, at, 5, 1)
+    return found.select(F.col("user_key").cast("string").alias("user_key"), "seq", "vtype", F.col("value").cast("string").alias("value"))
+
+
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
     import uuid
@@ -772,9 +987,56 @@ def store_round_trip(spark, d):
     return scanned.select(F.col("user_key").cast("string").alias("user_key"), "seq", F.col("value").cast("string").alias("value"))
 
 
+def _as_text(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_key").cast("string").alias("user_key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@query(_SQL["kv_snapshot_scan"])
+def store_snapshot(spark, d):
+    """A store read at a snapshot after later batches, a compaction and a vacuum."""
+    from strata.sources.store import Store
+
+    at = f"{_scratch(spark)}/store"
+    log = changelog(spark, d)
+    snap = middle(log)
+    store = Store.open(spark, at)
+    for part in (log.where(F.col("seq") <= snap), log.where(F.col("seq") > snap)):
+        store.write(part.select(F.col("seq").alias("pos"), "user_key", "vtype", "value"))
+        if not store.snapshots:
+            held = store.snapshot()
+    store.compact()
+    store.vacuum(0)
+    return _as_text(store.scan(snapshot=held))
+
+
+@query(f"""{W}{NEWEST}, {LIVE} SELECT * FROM (VALUES ('num-files-at-level0', '0'), ('num-files-at-level7', NULL), ('no-such-property', NULL)) v(name, value)
+UNION ALL SELECT 'approximate-size', CAST(sum(length(user_key) + 8 + length(value)) AS VARCHAR) FROM cl UNION ALL SELECT 'destroyed', 'true'""")
+def store_properties(spark, d):
+    """Properties of a store of one batch, which goes straight to a deeper level; the store is destroyed then."""
+    from strata.schema import Options
+    from strata.sources.store import Store, StoreError
+
+    at = f"{_scratch(spark)}/store"
+    with Store.open(spark, at) as store:
+        store.write(changelog(spark, d).select(F.col("seq").alias("pos"), "user_key", "vtype", "value"))
+        rows = [(n, store.property(n)) for n in ("num-files-at-level0", "num-files-at-level7", "no-such-property", "approximate-size")]
+    Store.destroy(spark, at)
+    try:
+        Store.open(spark, at, Options(create_if_missing=False))
+    except StoreError:
+        rows.append(("destroyed", "true"))
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 @query(f"{W}x AS (SELECT 1) SELECT user_key, seq, vtype, value FROM cl")
 def table_file_scan(spark, d):
     """The changelog written to table files in their byte format and read back as a data source."""
+    found = spark.read.format("strata_table").load(_tables(spark, d))
+    return found.select(F.col("user_key").cast("string").alias("user_key"), "seq", "vtype", F.col("value").cast("string").alias("value"))
+
+
+def _tables(spark, d) -> str:
+    """The changelog as table files with filter blocks, by ranges of keys; entries are written as they come."""
     import uuid
 
     import pyarrow as pa
@@ -785,19 +1047,47 @@ def table_file_scan(spark, d):
     at = f"{_scratch(spark)}/tables"
 
     def write(batches):
-        entries = [(k.encode() + (s << 8 | t).to_bytes(8, "little"), v.encode(), k, s) for b in batches for k, s, t, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        entries.sort(key=lambda e: (e[2], -e[3]))
-        if entries:
+        def entries():
+            nonlocal n
+            for b in batches:
+                for k, s, t, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    n += 1
+                    yield k.encode() + (s << 8 | t).to_bytes(8, "little"), v.encode()
+
+        n, rows = 0, entries()
+        first = next(rows, None)
+        if first is not None:
             files_, base = fs.FileSystem.from_uri(at)
             files_.create_dir(base, recursive=True)
             name = f"{uuid.uuid4().int % 10**9:09d}.ldb"
-            with files_.open_output_stream(f"{base}/.{name}") as f:
-                f.write(sst.encode_table([(k, v) for k, v, *_ in entries]))
+            with files_.open_output_stream(f"{base}/.{name}", compression=None) as f:
+                sst.write_table(itertools.chain([first], rows), f, bits_per_key=10)
             files_.move(f"{base}/.{name}", f"{base}/{name}")
-            yield pa.RecordBatch.from_pydict({"n": [len(entries)]})
+            yield pa.RecordBatch.from_pydict({"n": [n]})
 
     log = changelog(spark, d).select("user_key", "seq", "vtype", "value")
-    log.repartition(4, "user_key").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    log.repartitionByRange("user_key").sortWithinPartitions("user_key", F.col("seq").desc()).mapInArrow(write, "n long").agg(F.sum("n")).collect()
     spark.dataSource.register(sst.TableSource)
-    found = spark.read.format("strata_table").load(at)
-    return found.select(F.col("user_key").cast("string").alias("user_key"), "seq", "vtype", F.col("value").cast("string").alias("value"))
+    return at
+
+
+@query(f"{W}k AS (SELECT DISTINCT user_key FROM cl) SELECT k.user_key, j.seq, j.vtype FROM k LEFT JOIN (SELECT user_key, max(seq) AS seq, arg_max(vtype, seq) AS vtype FROM cl GROUP BY 1) j ON j.user_key = k.user_key UNION ALL SELECT user_key || 'x', NULL, NULL FROM k")
+def table_get(spark, d):
+    """Each key, and one that is absent after each, looked up in the table files by index, filter and block seeks."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from strata.sources import sst
+
+    at = _tables(spark, d)
+
+    def run(batches):
+        files_, base = fs.FileSystem.from_uri(at)
+        tables = [sst.Table(files_.open_input_file(x.path)) for x in files_.get_file_info(fs.FileSelector(base)) if x.path.endswith(".ldb")]
+        for b in batches:
+            keys_ = b.column(0).to_pylist()
+            found = [next((r for r in (t.get(k.encode()) for t in tables) if r is not None), (None, None)) for k in keys_]
+            yield pa.RecordBatch.from_arrays([pa.array(keys_), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int32())], ["user_key", "seq", "vtype"])
+
+    asked = changelog(spark, d).select("user_key").distinct()
+    return asked.union(asked.select(F.concat("user_key", F.lit("x")))).mapInArrow(run, "user_key string, seq long, vtype int")

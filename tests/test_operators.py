@@ -168,7 +168,7 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
         text = plan(df)
         assert "GreaterThanOrEqual(user_key" in text or "EqualTo(user_key" in text
         assert "<= 5)" in text.split("FileScan")[0] and "unused" not in text
-        assert "Window" not in text and text.count("Exchange hashpartitioning") == (1 if "EqualTo(user_key" in text else 2)
+        assert "Window" not in text and text.count("Exchange hashpartitioning") <= (1 if "EqualTo(user_key" in text else 2)
 
 
 def test_no_global_windows(spark):

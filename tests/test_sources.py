@@ -1,4 +1,5 @@
 import dataclasses
+import itertools
 import os
 import random
 import threading
@@ -390,3 +391,55 @@ def test_sizes_by_metadata(spark, tmp_path):
         s.write(spark.range(1000).select(F.col("id").alias("pos"), F.format_string("k%04d", "id").cast("binary").alias("user_key"), F.lit(1).alias("vtype"), F.lit("12345").cast("binary").alias("value")))
         assert len(s.files) == 4
         assert s.approximate_sizes([(b"a", b"z"), (b"k0100", b"k0900"), (b"k0000", b"k0001"), (b"x", b"z"), (b"k0999", b"l")]) == [18000, 14400, 18, 0, 18]
+
+
+@pytest.mark.parametrize("bits", [0, 10])
+def test_table_seeks(bits):
+    """Gets, seeks, backward scans and offsets against a sorted list; a get reads one block or none."""
+    rng = random.Random(bits)
+    names = sorted({bytes(rng.choice(b"abc\xff") for _ in range(rng.randrange(1, 7))) for _ in range(900)})
+    rows = sorted([(k, s, rng.randrange(2), rng.randbytes(rng.randrange(30))) for k in names for s in rng.sample(range(50), rng.randrange(1, 4))], key=lambda r: (r[0], -r[1]))
+    data = sst.encode_table([(k + (s << 8 | t).to_bytes(8, "little"), v) for k, s, t, v in rows], 256, interval=4, bits_per_key=bits)
+    table = sst.Table(data)
+    assert len(table.index) > 50 and (table.filter is not None) == bool(bits)
+    parts = [(*sst.split_internal_key(k), v) for _, k, v in table.scan()]
+    assert parts == rows and [(*sst.split_internal_key(k), v) for _, k, v in table.backward()] == rows[::-1]
+    misses = 0
+    for k in [*rng.sample(names, 200), *(bytes(rng.choice(b"abcd\xff") for _ in range(rng.randrange(1, 7))) for _ in range(300))]:
+        for seq in (None, rng.randrange(50)):
+            want = [r for r in rows if r[0] == k and (seq is None or r[1] <= seq)]
+            before = table.blocks_read
+            assert table.get(k, seq) == (want[0][1:] if want else None)
+            misses += table.blocks_read == before
+            assert table.blocks_read - before <= 2
+            after = [(*sst.split_internal_key(x), v) for _, x, v in itertools.islice(table.seek(k, seq), 3)]
+            assert after == [r for r in rows if r[0] > k or (r[0] == k and (seq is None or r[1] <= seq))][:3]
+    assert (misses > 100) == bool(bits)
+    offsets = [table.offset(k) for k in names]
+    assert offsets == sorted(offsets) and table.offset(b"") == 0 and len(data) > table.offset(b"\xff" * 9) >= offsets[-1]
+    last = [list(sst.Block(table._contents(handle)).entries())[-1][0] for _, handle in table.index]
+    assert all(sst.sort_key(k) >= sst.sort_key(x) for (k, _), x in zip(table.index, last, strict=True)) and sum(len(k) for k, _ in table.index) <= sum(map(len, last))
+
+
+def test_index_keys():
+    tag = lambda s: (s << 8 | 1).to_bytes(8, "little")
+    assert sst.index_key(b"abcdef" + tag(3), b"abzz" + tag(9)) == b"abd" + sst.NEWEST.to_bytes(8, "little")
+    assert sst.index_key(b"abc" + tag(3), b"abc" + tag(2)) == b"abc" + tag(3) and sst.index_key(b"a" + tag(3), None) == b"a" + tag(3)
+    assert sst.index_key(b"foo" + tag(1), None) == b"g" + sst.NEWEST.to_bytes(8, "little") and sst.index_key(b"\xff" + tag(1), None) == b"\xff" + tag(1)
+
+
+def test_filters_reach_the_tables(spark, tmp_path):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        entries = [(f"key{i:05d}".encode() + (i << 8 | 1).to_bytes(8, "little"), b"v" * 50) for i in range(3000)]
+        (tmp_path / "000007.ldb").write_bytes(sst.encode_table(entries, bits_per_key=10))
+        spark.dataSource.register(sst.TableSource)
+        df = spark.read.format("strata_table").option("pushdown", "true").load(str(tmp_path))
+        low, high = bytearray(b"key00100"), bytearray(b"key00200")
+        assert df.where((F.col("user_key") >= F.lit(low)) & (F.col("user_key") < F.lit(high))).count() == 100
+        assert [r["seq"] for r in df.where(F.col("user_key") == F.lit(low)).collect()] == [100] and df.where(F.col("user_key") == F.lit(bytearray(b"key00100x"))).count() == 0
+        reader = sst.FilteredTableReader({"path": str(tmp_path)})
+        assert len(list(reader.pushFilters([sst.EqualTo(("user_key",), bytes(low)), sst.LessThan(("seq",), 5)]))) == 2 and reader.equal == bytes(low)
+        assert [r[1] for r in reader.read(reader.partitions()[0])] == [100]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
