@@ -18,8 +18,11 @@ from strata.llm.common import materialize
 from strata.llm.components import connected_components
 
 THRESHOLD = 0.98
-#: Vectors in a block, about; a tile holds two blocks.
-BLOCK = 2048
+#: Vectors in a block, about, of labels that make up to BLOCKS blocks of them. Of larger labels blocks grow, so that a vector
+#: is sent to no more tiles, up to LARGEST vectors and NUMBERS components; a tile holds two blocks.
+BLOCK, BLOCKS, LARGEST, NUMBERS = 2048, 16, 1 << 14, 1 << 22
+#: Bounds that are computed at a time.
+PRODUCTS = 1 << 21
 #: Room for the rounding of the bound itself.
 SLACK = 1e-9
 
@@ -80,8 +83,9 @@ def _tile(threshold: float):
             unit = full / np.linalg.norm(full, axis=1)[:, None]
             left = np.flatnonzero(own[rows])
             right = np.flatnonzero(~own[rows]) if not own.all() else left
-            for at in range(0, len(left), 512):
-                part = left[at : at + 512]
+            step = max(16, min(512, PRODUCTS // max(1, len(right))))
+            for at in range(0, len(left), step):
+                part = left[at : at + step]
                 i, j = candidates(unit[part], unit[right], threshold)
                 i, j = part[i], right[j]
                 if right is left:
@@ -111,8 +115,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     Vectors are compared if their labels are equal and not null. Null and empty vectors, zero
     vectors and those with null or non-finite components link with nothing and are their own
     component. Equal vectors of a label are compared as one and count as often as they occur.
-    Blocks hold about ``block`` vectors however large a label is; the number of tiles of a
-    label grows with the square of its blocks, as any exact comparison of all pairs does.
+    Blocks hold about ``block`` vectors, or more where a label would make very many of them; the number of
+    tiles of a label grows with the square of its blocks, as any exact comparison of all pairs does.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("label"))
     number = vectors.schema["embedding"].dataType.elementType.simpleString()
@@ -121,7 +125,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     good = rows.where("usable").select("vec_id", "label", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(number)).otherwise(x)).alias("embedding"))
     classes = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
-    blocks = materialize(classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")), "blocks")
+    n = F.count(F.lit(1))
+    size = F.greatest(F.least(F.greatest(n / BLOCKS, F.lit(block)), F.lit(LARGEST), F.lit(NUMBERS) / F.max(F.size("embedding"))), F.lit(16))
+    blocks = materialize(classes.groupBy("label").agg(F.ceil(n / size).cast("long").alias("blocks")), "blocks")
     dealt = classes.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = met.select("rep", "n", "embedding", "label", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") <= F.col("j")).alias("own"))

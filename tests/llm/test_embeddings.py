@@ -83,3 +83,11 @@ def test_vectors_near_the_ends_of_doubles(spark):
     rows = [(1, [1e300, 1e300], 1), (2, [2e-300, 2e-300], 1), (3, [1e300, -1e300], 1), (4, [5e-324, 0.0], 1), (5, [1.0, 1e-9], 1)]
     got = e.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False)]
+
+
+@pytest.mark.parametrize(("blocks", "numbers", "products"), [(2, 1 << 22, 1 << 21), (16, 200, 64), (3, 1 << 22, 700)])
+def test_blocks_of_any_size(spark, blocks, numbers, products, monkeypatch):
+    for name, value in (("BLOCKS", blocks), ("NUMBERS", numbers), ("PRODUCTS", products)):
+        monkeypatch.setattr(e, name, value)
+    rows = sample(5, 200)
+    assert sorted(map(tuple, e.link_vectors(spark.createDataFrame(rows, SCHEMA), block=4).collect())) == brute(rows)
