@@ -171,7 +171,12 @@ def apply(statistics_: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+
+    Null and empty texts have statistics and scores like any other; rows that repeat a key are scored each; an empty
+    table gives an empty one. A document with unequal labels takes the smallest; without labels every score is one
+    half. Other columns of ``docs`` and ``labels`` are left out.
+    """
     stats = materialize(document_statistics(docs), "statistics")
     return apply(stats, train(stats, labels)).select(
         "doc_id", (crc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

@@ -149,3 +149,11 @@ def test_long_frequent_words_are_held(spark):
     counts = spark.createDataFrame([("e" * 40, 100), ("a", 9), ("f" * 90000, 50)], "word string, n long")
     docs = spark.createDataFrame([("a",)], "text string")
     assert b.fit(docs, counts, 1 << 18, 2, 2).words == [b"e" * 40, b"a"]
+
+
+def test_clashing_names(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = docs.withColumns({c: F.lit(1) for c in ("row", "word", "n", "held_out", "score", "base", "ids")})
+    score = lambda d: sorted((r["doc_id"], round(r["score"], 9)) for r in b.score_documents(d).collect())
+    assert score(odd) == score(docs)

@@ -1,4 +1,5 @@
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -119,3 +120,46 @@ def test_query(spark):
     assert len(out) == 4 and {(r["page_id"], r["n_chars"]) for r in out} == {(1, len(h.main_text(PAGE))), (2, 0), (None, 0)}
     assert all(r["n_chars"] == len(r["text"]) for r in out)
     assert h.extract(pages.where("false")).count() == 0
+
+
+class Reader(HTMLParser):
+    """Blocks by the standard library's parser: what is between two block tags, without hidden elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.text, self.raw = [], [], 0
+
+    def cut(self):
+        text = " ".join("".join(self.text).split())
+        self.found += [text] if text else []
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title", "noscript", "template", "svg", "iframe", "textarea", "select", "object"):
+            self.raw += 1
+        elif tag in h.BLOCK:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title", "noscript", "template", "svg", "iframe", "textarea", "select", "object"):
+            self.raw -= 1
+        elif tag in h.BLOCK:
+            self.cut()
+
+    def handle_data(self, data):
+        self.text += [data] if not self.raw else []
+
+
+def test_blocks_by_another_parser(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r["html"]]
+    for page in [PAGE, *pages]:
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        reader.cut()
+        assert [t for t, *_ in h.blocks(page)] == reader.found
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "own", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert h.extract(pages).columns == ["page_id", "url", "text", "n_chars"] and h.extract(pages).head()["text"] == h.main_text(PAGE)

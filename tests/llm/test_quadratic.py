@@ -1,7 +1,11 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strata.llm import quadratic as q
 
@@ -71,3 +75,65 @@ def test_without_labels_or_rows(spark):
 def test_statistics_are_finite():
     for t in (None, "", " ", "\n\n", "a", "a\na\na", "#", "é" * 10, "🙂 " * 9, "A" * 100_000):
         assert np.isfinite(q.statistics(t)).all() and len(q.statistics(t)) == len(q.NAMES)
+
+
+def plain_statistics(text):
+    """The statistics by counting in plain Python, in the order of NAMES."""
+    raw = (text or "").encode()
+    logit = lambda p: math.log((p + 0.005) / (1.005 - p))
+    words = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    solid = max(1, sum(b not in b" \t\n\x0b\x0c\r" for b in raw))
+    count = lambda some: sum(b in some for b in raw)
+    upper = sum(65 <= b <= 90 for b in raw)
+    letters = max(1, upper + sum(97 <= b <= 122 or b >= 192 for b in raw))
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / len(sizes) if sizes else 0.0
+    spread = math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes)) if sizes else 0.0
+    pairs = list(zip(words, words[1:]))
+    shares = [n / len(raw) for n in Counter(raw).values()]
+    packed = sum(len(zlib.compress(raw[i : i + q.BLOCK], 1)) for i in range(0, len(raw), q.BLOCK))
+    return [
+        math.log1p(len(words)), math.log1p(mean), math.log1p(spread), logit(upper / letters), logit(sum(48 <= b <= 57 for b in raw) / solid),
+        logit(count(b"#*$%&<>@^~=+_{}[]/\\") / solid), logit(count(b".,;:?") / solid), logit(count(b"!") / solid), logit(count(b"|") / solid), logit(count(b"\"'()-`") / solid),
+        logit(len(set(words)) / len(words) if words else 1.0), logit(1 - len(set(lines)) / len(lines) if lines else 0.0), math.log((packed + 1) / (len(raw) + 1)) if raw else 0.0,
+        -sum(p * math.log2(p) for p in shares), logit(sum(s <= 3 for s in sizes) / len(sizes) if sizes else 0.0), math.log1p(len(words) / max(1, len(lines))),
+        logit(1 - len(set(pairs)) / len(pairs) if pairs else 0.0),
+    ]
+
+
+def test_rows_by_brute_force(spark):
+    """Statistics, moments, shrinkage and scores from scratch, on a table of the driver and made-up texts."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    rows = [tuple(r) for r in table.collect()] + [(90_001, None), (90_002, ""), (90_003, "é É\n\x0b#!|'\n1 2"), (90_004, "a " * 70_000)]
+    x = {i: np.array(plain_statistics(t)) for i, t in rows}
+    known = {}
+    for i, y in labels.collect():
+        if y in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2 and i in x:
+            known[i] = min(y, known.get(i, y))
+    by = {k: np.array([x[i] for i, y in known.items() if y == k]) for k in (0, 1)}
+    every = np.concatenate([by[0], by[1]])
+    scale = np.sqrt(np.maximum(every.var(axis=0), 1e-6))
+    covs = {k: np.cov(v.T, bias=True) / np.outer(scale, scale) for k, v in by.items()}
+    pooled = sum(len(by[k]) * covs[k] for k in by) / len(every) + 1e-3 * np.eye(len(scale))
+    want = {}
+    for i, v in x.items():
+        logs = []
+        for k in (0, 1):
+            cov = 0.6 * covs[k] + 0.3 * pooled + 0.1 * np.diag(np.diag(pooled))
+            d = (v - by[k].mean(axis=0)) / scale
+            logs.append(-0.5 * d @ np.linalg.solve(cov, d) - 0.5 * np.linalg.slogdet(cov)[1] + math.log((len(by[k]) + 1) / (len(every) + 2)))
+        want[i] = 1 / (1 + math.exp(-max(-500, min(500, (logs[1] - logs[0]) / q.TEMPERATURE))))
+    out = q.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(out) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in out)
+
+
+def test_clashing_names_and_ties(spark):
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = docs.withColumns({c: F.lit(1) for c in ("x", "y", "score", "held_out", "predicted", "quality")})
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    both = known.union(known.withColumn("quality", F.lit(1))).withColumns({"x": F.lit(0), "text": F.lit("n")})  # each twice: the smallest label counts
+    score = lambda d, k: sorted((r["doc_id"], round(r["score"], 9)) for r in q.score_documents(d, k).collect())
+    assert score(odd, both) == score(docs, known)
