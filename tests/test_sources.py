@@ -2,6 +2,7 @@ import dataclasses
 import itertools
 import os
 import random
+import shutil
 import threading
 
 import pytest
@@ -443,3 +444,29 @@ def test_filters_reach_the_tables(spark, tmp_path):
         assert [r[1] for r in reader.read(reader.partitions()[0])] == [100]
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_stream_is_compacted_and_survives_a_replay(spark, tmp_path):
+    schema = "user_key string, seq long, vtype int, value string"
+    log = spark.createDataFrame([(f"k{i % 11}", i, int(i % 4 > 0), str(i)) for i in range(1, 300)], schema)
+    log.repartition(8).write.parquet(f"{tmp_path}/log")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    table, state = f"{tmp_path}/table", f"{tmp_path}/state"
+    live.follow(stream, table, state, every=3).awaitTermination()
+    want = {}
+    for i in range(1, 300):
+        want[f"k{i % 11}"] = str(i) if i % 4 else None
+    want = {k: v for k, v in want.items() if v}
+    read = lambda: {r["user_key"]: r["value"] for r in live.live(spark, table).collect()}
+    assert read() == want and len([n for n in os.listdir(table) if n.startswith("batch=")]) < 8
+    last = max(int(n) for n in os.listdir(f"{state}/commits") if n.isdigit())
+    for n in (f"{last}", f".{last}.crc"):  # the last batch was written, its commit was not: it runs again
+        os.remove(f"{state}/commits/{n}")
+    live.follow(stream, table, state, every=3).awaitTermination()
+    assert read() == want
+    live.compact(spark, table)
+    assert len([n for n in os.listdir(table) if n.startswith("batch=")]) == 2 and read() == want and live.compact(spark, table) == 0
+    shutil.copytree(f"{table}/batch={last}", f"{table}/batch={last + 1}")
+    merged = next(n for n in os.listdir(table) if n.endswith("-merged"))
+    shutil.copytree(f"{table}/{merged}", f"{table}/{merged.removesuffix('-merged')}")  # a run that ended before its deletions
+    assert read() == want and live.compact(spark, table) >= 1 and read() == want
