@@ -7,12 +7,12 @@ The stores of these queries are made from the driver's tables: ``events`` as a c
 from __future__ import annotations
 
 import itertools
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata import scratch
 from strata.functions import bloom, codec, keys
 from strata.operators import batch, blocks, cache, compact, files, manifest, mvcc, order
 from strata.operators.fold import unfold
@@ -920,13 +920,7 @@ def log_recovery(spark, d):
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local[")
-        root = f"file://{tempfile.mkdtemp(prefix='strata-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return scratch.path(spark, "query")
 
 
 @query()
@@ -1059,7 +1053,7 @@ def _tables(spark, d) -> str:
         if first is not None:
             files_, base = fs.FileSystem.from_uri(at)
             files_.create_dir(base, recursive=True)
-            name = f"{uuid.uuid4().int % 10**9:09d}.ldb"
+            name = f"{uuid.uuid4().int % 10**9:06d}.ldb"
             with files_.open_output_stream(f"{base}/.{name}", compression=None) as f:
                 sst.write_table(itertools.chain([first], rows), f, bits_per_key=10)
             files_.move(f"{base}/.{name}", f"{base}/{name}")
@@ -1083,10 +1077,11 @@ def table_get(spark, d):
 
     def run(batches):
         files_, base = fs.FileSystem.from_uri(at)
-        tables = [sst.Table(files_.open_input_file(x.path)) for x in files_.get_file_info(fs.FileSelector(base)) if x.path.endswith(".ldb")]
+        held = sst.TableCache(files_, base)
+        numbers = [int(x.base_name.removesuffix(".ldb")) for x in files_.get_file_info(fs.FileSelector(base)) if x.path.endswith(".ldb")]
         for b in batches:
             keys_ = b.column(0).to_pylist()
-            found = [next((r for r in (t.get(k.encode()) for t in tables) if r is not None), (None, None)) for k in keys_]
+            found = [next((r for r in (held.get(n, k.encode()) for n in numbers) if r is not None), (None, None)) for k in keys_]
             yield pa.RecordBatch.from_arrays([pa.array(keys_), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int32())], ["user_key", "seq", "vtype"])
 
     asked = changelog(spark, d).select("user_key").distinct()

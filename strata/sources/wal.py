@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.sources.bytesum import crc32c, masked
+from strata.sources.bytesum import crc32c, masked, put_varint, take_varint
 
 # Fixed values of the format.
 BLOCK, HEADER = 32768, 7
@@ -120,8 +120,6 @@ def read_logs(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
 
 def encode_batch(base_seq: int, records: list[tuple[int, bytes, bytes | None]]) -> bytes:
     """A write batch: base sequence, count, then (vtype, key, value) records."""
-    from strata.sources.bytesum import put_varint
-
     out = bytearray(struct.pack("<QI", base_seq, len(records)))
     for vtype, key, value in records:
         out += bytes([vtype]) + put_varint(len(key)) + key
@@ -130,36 +128,44 @@ def encode_batch(base_seq: int, records: list[tuple[int, bytes, bytes | None]])
     return bytes(out)
 
 
-def decode_batch(data: bytes) -> list[tuple[int, int, bytes, bytes | None]]:
-    """``(seq, vtype, key, value)`` of each record; ValueError tells what is corrupt."""
-    from strata.sources.bytesum import take_varint
-
+def visit_batch(data: bytes, put: Callable[[bytes, bytes], None], delete: Callable[[bytes], None]) -> int:
+    """Hand the records of a batch to ``put`` and ``delete`` in order; its base sequence. ValueError tells what is corrupt,
+    after the records before it have been handed over."""
     if len(data) < 12:
         raise ValueError("batch too small")
     base, count = struct.unpack_from("<QI", data)
-    at, out = 12, []
+    at, n = 12, 0
 
     def part(at: int, what: str) -> tuple[bytes, int]:
         try:
-            n, at = take_varint(data, at, 5)
+            size, at = take_varint(data, at, 5)
         except ValueError:
             raise ValueError(f"bad batch {what}") from None
-        if at + n > len(data):
+        if at + size > len(data):
             raise ValueError(f"bad batch {what}")
-        return data[at : at + n], at + n
+        return data[at : at + size], at + size
 
     while at < len(data):
         vtype, at = data[at], at + 1
         if vtype not in (0, 1):
             raise ValueError("unknown batch tag")
         key, at = part(at, "put" if vtype else "delete")
-        value = None
         if vtype:
             value, at = part(at, "put")
-        out.append((base + len(out), vtype, key, value))
-    if len(out) != count:
+            put(key, value)
+        else:
+            delete(key)
+        n += 1
+    if n != count:
         raise ValueError("batch has wrong count")
-    return out
+    return base
+
+
+def decode_batch(data: bytes) -> list[tuple[int, int, bytes, bytes | None]]:
+    """``(seq, vtype, key, value)`` of each record; ValueError tells what is corrupt."""
+    rows: list[tuple[int, bytes, bytes | None]] = []
+    base = visit_batch(data, lambda k, v: rows.append((1, k, v)), lambda k: rows.append((0, k, None)))
+    return [(base + i, *r) for i, r in enumerate(rows)]
 
 
 def replay(logs: DataFrame, paranoid: bool = False) -> DataFrame:

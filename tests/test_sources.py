@@ -470,3 +470,33 @@ def test_stream_is_compacted_and_survives_a_replay(spark, tmp_path):
     merged = next(n for n in os.listdir(table) if n.endswith("-merged"))
     shutil.copytree(f"{table}/{merged}", f"{table}/{merged.removesuffix('-merged')}")  # a run that ended before its deletions
     assert read() == want and live.compact(spark, table) >= 1 and read() == want
+
+
+def test_table_cache(tmp_path):
+    from pyarrow import fs
+
+    for number, name in ((1, "000001.ldb"), (2, "000002.sst"), (3, "000003.ldb")):
+        (tmp_path / name).write_bytes(sst.encode_table([(b"k" + (number << 8 | 1).to_bytes(8, "little"), b"v%d" % number)], bits_per_key=10))
+    held = sst.TableCache(fs.LocalFileSystem(), str(tmp_path), capacity=2)
+    assert [held.get(i, b"k") for i in (1, 2, 3)] == [(i, 1, b"v%d" % i) for i in (1, 2, 3)] and set(held.held.table) == {2, 3}
+    with pytest.raises(FileNotFoundError):
+        held.get(4, b"k")
+    (tmp_path / "000004.ldb").write_bytes(b"short")
+    with pytest.raises(sst.TableError):
+        held.get(4, b"k")
+    (tmp_path / "000004.ldb").write_bytes(sst.encode_table([]))
+    assert held.get(4, b"k") is None and list(held.scan(3, b"a"))[0][2] == b"v3"
+    cursor = held.scan(2)
+    next(cursor)
+    held.evict(2)
+    assert 2 not in held.held.table and list(cursor) == []
+
+
+def test_batch_visitor():
+    seen = []
+    data = wal.encode_batch(7, [(1, b"a", b"1"), (0, b"b", None), (1, b"c", b"")])
+    assert wal.visit_batch(data, lambda k, v: seen.append((k, v)), seen.append) == 7 and seen == [(b"a", b"1"), b"b", (b"c", b"")]
+    seen.clear()
+    with pytest.raises(ValueError, match="put"):
+        wal.visit_batch(wal.encode_batch(7, [(1, b"a", b"1"), (1, b"c", b"xyz")])[:-1], lambda k, v: seen.append(k), seen.append)
+    assert seen == [b"a"]
