@@ -2,56 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata import scratch
 from strata.functions.codec import let  # noqa: F401  used by the operators
 
 #: A word is a run of characters other than these.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
-_own_scratch: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    ``spark.checkpoint.dir`` names it. Where that is unset, a local session gets a
-    temporary folder; a cluster falls back to its warehouse, which is shared.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        if not _own_scratch:
-            _own_scratch.append(tempfile.mkdtemp(prefix="strata-"))
-        return "file://" + _own_scratch[0]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_strata_scratch"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
-    path = f"{scratch_root(spark)}/strata-{uuid.uuid4().hex}/{name}"
-    atexit.register(remove_path, spark, path)
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target.getParent(), True)
-    except Exception:  # the session may be gone; the folder then stays for the cluster's own cleaning
-        pass
+scratch_path, remove_path = scratch.path, scratch.remove
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
