@@ -158,17 +158,20 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PIECES.split(", ")]
         gc.disable()  # tuples of ids make no cycles, and there are many for the collector to walk
-        for b in batches:
-            tok, rows = _tokenizer(path), []
-            for some in _slices(b):
-                ids, counts = tok.ids(some.column(1))
-                for key_, own in zip(some.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    raw = np.append(own, np.uint32(END)).astype("<u4", copy=False)
-                    for n, at in enumerate(range(0, len(raw), capacity)):
-                        part = raw[at : at + capacity]
-                        rows.append((key_, n, at, len(part), zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+        try:
+            for b in batches:
+                tok, rows = _tokenizer(path), []
+                for some in _slices(b):
+                    ids, counts = tok.ids(some.column(1))
+                    for key_, own in zip(some.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                        raw = np.append(own, np.uint32(END)).astype("<u4", copy=False)
+                        for n, at in enumerate(range(0, len(raw), capacity)):
+                            part = raw[at : at + capacity]
+                            rows.append((key_, n, at, len(part), zlib.crc32(part)))
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+        finally:
+            gc.enable()  # the worker may go on with other operators
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
