@@ -18,13 +18,12 @@ could hold, are rows: each of their tokens meets its word's count and class in a
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,32 +40,70 @@ CLUSTERED, CLASSES, SWEEPS = 1024, 40, 8
 TOKENS, MOST = 4_000_000, 4096
 #: Times that the words held by every worker choose a class: by neighbours among the seeds first, then by all held.
 ROUNDS = 2
-#: Distinct words that a task counts before it passes them on, and adjacent pairs before it adds them up.
-FLUSH, PAIRS = 300_000, 1 << 21
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Words that a task counts before it passes them on, and contexts before it adds them up; bytes of text that it takes at a time.
+FLUSH, PAIRS, PART = 1_000_000, 1 << 21, 8 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about PART bytes of text; a longer text is a part of its own."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, with A-Z in lower case, and how many each text has; null texts have none."""
+    # the type stays as it is: cast slices keep their first offset, which ascii_lower then overlooks
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # the six ASCII spaces
+    words, counts = split.flatten(), pc.list_value_length(split).to_numpy()
+    solid = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(solid).as_py():  # what is before leading and after trailing spaces
+        ends = np.r_[0, np.cumsum(solid.to_numpy(zero_copy_only=False))]
+        upto = np.cumsum(counts)
+        words, counts = words.filter(solid), ends[upto] - ends[upto - counts]
+    return words, counts.astype(np.int64)
+
+
+def numbers(texts: pa.Array, held: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """All texts as the numbers of their words, in a row, each with an end before and after it; where each text starts
+    there; the words; and their places there. Words that are not held have the number after the last one, ends the next."""
+    words, counts = tokens(texts)
+    starts = np.cumsum(counts + 2) - counts - 2
+    flat = np.full(int(counts.sum()) + 2 * len(counts), len(held) + 1, np.int32)
+    places = np.arange(len(words)) + np.repeat(2 * np.arange(len(counts)) + 1, counts)
+    flat[places] = pc.fill_null(pc.index_in(words, held), len(held)).to_numpy()
+    return flat, starts, words, places
+
+
+def word_array(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
 
 
 def word_counts(training: DataFrame) -> DataFrame:
     """``(text)`` -> ``(word, n)`` over all rows; counted within tasks before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        parts, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            words = pa.array(list(counts), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            whole = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            yield from pa.table({"word": whole["word"], "n": whole["n_sum"]}).to_batches(max_chunksize=100_000)
 
         for b in batches:
-            for t in b.column(0):
-                counts.update(tokens(t.as_py()))
-                if len(counts) > FLUSH:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+            for part in slices(b, 0):
+                found = pc.value_counts(tokens(part.column(0))[0])
+                parts.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+                size += len(found)
+                if size > FLUSH:
+                    yield from out()
+                    parts, size = [], 0
+        if size:
+            yield from out()
 
     return training.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -75,29 +112,18 @@ def class_pairs(training: DataFrame, words: list[bytes]) -> np.ndarray:
     """Counts of adjacent symbols: the words given, all other words as one, and the end of a text,
     which also stands before its first word. At most (words + 2) ** 2 numbers reach the driver."""
     spark = training.sparkSession
-    k = len(words)
-    held = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    side = k + 2
+    side = len(words) + 2
+    held = spark.sparkContext.broadcast(word_array(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = held.value, np.zeros(side * side, np.int64)
-        parts, n = [], 0
-
-        def add() -> None:
-            nonlocal parts, n
-            if parts:
-                np.add(total, np.bincount(np.concatenate(parts), minlength=side * side), out=total)
-            parts, n = [], 0
-
+        total = np.zeros(side * side, np.int64)
         for b in batches:
-            for t in b.column(0):
-                words = tokens(t.as_py())
-                ids = np.fromiter(map(of.get, words, repeat(k)), np.int64, len(words))
-                parts.append(np.r_[k + 1, ids] * side + np.r_[ids, k + 1])
-                n += len(words)
-                if n > PAIRS:
-                    add()
-        add()
+            for part in slices(b, 0):
+                flat, starts, _, _ = numbers(part.column(0), held.value)
+                pair = flat[:-1].astype(np.int64) * side + flat[1:]
+                within = np.ones(len(pair), bool)
+                within[starts[1:] - 1] = False  # from one text's end to the next one's
+                np.add(total, np.bincount(pair[within], minlength=side * side), out=total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -252,51 +278,41 @@ def read(docs: DataFrame, model: Model) -> DataFrame:
     of its words, with an end at both ends, and every token of a rare word with its neighbours' numbers.
     Rare words all have the number after the last held word, the end has the next one."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((model.words, model.logs, math.log10(model.ends + 0.5), math.log10(model.norm), bool(model.ends)))
+    held = spark.sparkContext.broadcast((word_array(model.words), model.logs, math.log10(model.ends + 0.5), math.log10(model.norm), bool(model.ends)))
     kind = dict(docs.dtypes)["doc_id"]
     names = [x.split()[0] for x in READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, logs, end_log, log_norm, ends = held.value
-        of, none = {w: i for i, w in enumerate(words)}, len(words)
-        logs = np.append(logs, 0.0)
-        row = TaskContext.get().partitionId() << 33
+        none = len(words)
+        logs = np.r_[logs, 0.0, end_log]  # each text has two ends, of which one is its token
+        first = TaskContext.get().partitionId() << 33
+
+        def part_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            flat, starts, found, places = numbers(b.column(2), words)
+            sizes = np.diff(np.r_[starts, len(flat)])
+            row = first + np.arange(len(b))
+            first += len(b)
+            base = np.add.reduceat(logs[flat], starts) - end_log - log_norm * (sizes - 1)
+            known = np.add.reduceat((flat < none).astype(np.int64), starts) + ends
+            n = len(b)
+            whole = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * np.r_[starts, len(flat)].astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+            cols = [pa.array(row), b.column(0), b.column(1), pa.array(sizes - 1), pa.array(known), pa.array(base), whole]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(n, t) for t in (pa.string(), pa.int64(), pa.int32(), pa.int32()))], names)
+            rare = np.flatnonzero(flat[places] == none)
+            for k in range(0, len(rare), 100_000):
+                some = rare[k : k + 100_000]
+                at = places[some]
+                text = np.searchsorted(starts, at, "right") - 1
+                m = len(some)
+                cols = [pa.array(row[text]), pa.nulls(m, b.schema.field(0).type), b.column(1).take(pa.array(text)), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.binary()))]
+                cols += [found.take(pa.array(some)), pa.array(at - starts[text] - 1), pa.array(flat[at - 1]), pa.array(flat[at + 1])]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
         for b in batches:
-            keys = b.schema.field(0).type
-            docs, rare, size = [], [], 0
-
-            def out(keys: pa.DataType = keys) -> Iterator[pa.RecordBatch]:
-                nonlocal docs, rare, size
-                if docs:
-                    kinds = (pa.int64(), keys, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
-                    cols = [pa.array(c, t) for c, t in zip(zip(*docs, strict=True), kinds, strict=True)]
-                    cols += [pa.nulls(len(docs), t) for t in (pa.string(), pa.int64(), pa.int32(), pa.int32())]
-                    yield pa.RecordBatch.from_arrays(cols, names)
-                if size:
-                    rows, held_out, found, at, before, after = zip(*rare, strict=True)
-                    lengths = [len(x) for x in at]
-                    cols = [pa.array(np.repeat(rows, lengths)), pa.nulls(size, keys), pa.array(np.repeat(held_out, lengths))]
-                    cols += [pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.binary())]
-                    cols.append(pa.array([w for x in found for w in x], pa.binary()).cast(pa.string()))
-                    cols += [pa.array(np.concatenate(x)) for x in (at, before, after)]
-                    yield pa.RecordBatch.from_arrays(cols, names)
-                docs, rare, size = [], [], 0
-
-            for key, held_out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                found = tokens(text.as_py())
-                ids = np.full(len(found) + 2, none + 1, np.int32)
-                ids[1:-1] = np.fromiter(map(of.get, found, repeat(none)), np.int32, len(found))
-                own = ids[1:-1]
-                base = float(logs[own].sum()) + end_log - log_norm * (len(found) + 1)
-                docs.append((row, key, held_out, len(found) + 1, int((own < none).sum()) + ends, base, ids.tobytes()))
-                at = np.flatnonzero(own == none)
-                if len(at):
-                    rare.append((row, held_out, [found[i] for i in at.tolist()], at, ids[at], ids[at + 2]))
-                    size += len(at)
-                row += 1
-                if size > 50_000:
-                    yield from out()
-            yield from out()
+            for part in slices(b, 2):
+                yield from part_of(part)
 
     return materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, READ.format(kind)), "read")
 

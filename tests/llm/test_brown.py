@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,21 @@ def test_clashing_names(spark):
     odd = docs.withColumns({c: F.lit(1) for c in ("row", "word", "n", "held_out", "score", "base", "ids")})
     score = lambda d: sorted((r["doc_id"], round(r["score"], 9)) for r in b.score_documents(d).collect())
     assert score(odd) == score(docs)
+
+
+def test_tokens_of_slices(monkeypatch):
+    """Parts of a batch, with nulls, empty texts and spaces of all kinds, give the words of plain Python."""
+    monkeypatch.setattr(b, "PART", 40)
+    rng = random.Random(2)
+    parts = ["Word", "É", "a\u0305b", "x\u00a0y", "q\u0085z", "\x1c", "ſ", " ", "  ", "\t", "\n", "\x0b", "\x0c\r", "İK"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300)] + [None, "", " ", "z" * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    held = b.word_array([b"word", b"x\xc2\xa0y"])
+    got = []
+    for part in b.slices(batch.slice(3), 0):
+        flat, starts, found, places = b.numbers(part.column(0), held)
+        assert [flat[i] for i in places] == [{"word": 0, "x\u00a0y": 1}.get(w, 2) for w in found.to_pylist()] and (np.delete(flat, places) == 3).all()
+        split = np.split(np.array(found.cast(pa.binary()).to_pylist(), object), np.searchsorted(places, starts)[1:])
+        got += [list(x) for x in split]
+    assert got == [words(t) for t in texts[3:]]
+    assert list(b.slices(batch.slice(0, 0), 0)) == []
