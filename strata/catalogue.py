@@ -175,11 +175,14 @@ def kv_first_last(spark, d):
 
 
 @query(f"""{W}u AS (SELECT user_key, seq, vtype, 0 AS source_no FROM cl WHERE file_no % 2 = 0 UNION ALL SELECT user_key, seq, vtype, 1 AS source_no FROM cl WHERE file_no % 2 = 1)
-SELECT * FROM u""")
+SELECT *, row_number() OVER (ORDER BY user_key, seq DESC) AS position FROM u""")
 def kv_merge_sources(spark, d):
+    """Two sorted sources as one, each row with its place in the merged order."""
     log = changelog(spark, d)
     parts = [log.where(F.col("file_no") % 2 == i).select("user_key", "seq", "vtype") for i in (0, 1)]
-    return mvcc.in_internal_order(mvcc.merge_sources(parts))
+    merged = mvcc.merge_sources(parts).withColumn("neg", -F.col("seq"))
+    placed = order.running_total(merged, ["user_key", "neg"], F.lit(1).cast("long"), "position").drop("neg")
+    return mvcc.in_internal_order(placed)
 
 
 # batches
@@ -591,7 +594,11 @@ def varint_encode(spark, d):
 
 @query(f"WITH {NUM} SELECT event_id, x AS decoded FROM v")
 def varint_decode(spark, d):
-    return _numbers(spark, d).select("event_id", codec.read_varint(codec.varint(F.col("x"))).alias("decoded"))
+    """Numbers read from bytes that are spelled out from their binary digits, without the encoder."""
+    digits = F.conv(F.col("x"), 10, 2)
+    groups = F.reverse(F.regexp_extract_all(F.lpad(digits, (F.ceil(F.length(digits) / 7) * 7).cast("int"), F.lit("0")), F.lit("(.{7})"), F.lit(1)))
+    spelled = F.transform(F.col("groups"), lambda g, i: F.lpad(F.conv(F.concat(F.when(i < F.size("groups") - 1, "1").otherwise("0"), g), 2, 16), 2, "0"))
+    return _numbers(spark, d).withColumn("groups", groups).select("event_id", codec.read_varint(F.unhex(F.array_join(spelled, ""))).alias("decoded"))
 
 
 @query(f"WITH {NUM} SELECT event_id, CAST(length({_duck_varint('x')}) // 2 AS INTEGER) AS n FROM v")
