@@ -505,9 +505,10 @@ GRAND = """gp AS (SELECT a.level, a.file_no, count(DISTINCT CASE WHEN b.level =
 @query(f"{W}{LEVELLED}, {GRAND} SELECT level, file_no, n_next, grandparent_bytes, n_next = 0 AND grandparent_bytes <= 20971520 AS trivial FROM gp")
 def compact_trivial_move(spark, d):
     f = file_table(changelog(spark, d)).select("level", "file_no", "smallest", "largest", "file_size")
-    below = f.select(F.col("level").alias("l2"), F.col("file_no").alias("f2"), F.col("smallest").alias("lo"), F.col("largest").alias("hi"), F.col("file_size").alias("bytes"))
-    met = f.join(below, (F.col("l2") - F.col("level")).isin(1, 2) & (F.col("lo") <= F.col("largest")) & (F.col("hi") >= F.col("smallest")), "left").groupBy("level", "file_no")
-    inputs = met.agg(
+    above = f.select("level", "file_no", F.col("smallest").alias("low"), F.col("largest").alias("high"), F.explode(F.array(F.col("level") + 1, F.col("level") + 2)).alias("l2"))
+    below = f.select(F.col("level").alias("l2"), "smallest", "largest", F.col("file_size").alias("bytes"))
+    found = files.met(above, below, ("l2",)).select("level", "file_no", "l2", "bytes")
+    inputs = f.select("level", "file_no").join(found, ["level", "file_no"], "left").groupBy("level", "file_no").agg(
         F.count_if(F.col("l2") == F.col("level") + 1).alias("n_next"), F.coalesce(F.sum(F.when(F.col("l2") == F.col("level") + 2, F.col("bytes"))), F.lit(0)).cast("long").alias("grandparent_bytes")
     ).withColumn("n_inputs", F.lit(1))
     return compact.trivial_moves(inputs).drop("n_inputs")

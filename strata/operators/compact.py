@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.operators.files import covered, merged
+from strata.operators.files import covered, merged, met
 from strata.operators.fold import fold
 from strata.operators.mvcc import newer_seq
 from strata.operators.order import places, running_total
@@ -97,10 +97,9 @@ def memtable_levels(flushed: DataFrame, files: DataFrame, cap: int = GRANDPARENT
     Level 0 if level 0 overlaps; else down while the next level has no overlap and the level after
     it not too much, to level 2 at most.
     """
-    meets = (F.col("largest") >= F.col("low")) & (F.col("smallest") <= F.col("high"))
     per = lambda level: F.coalesce(F.sum(F.when(F.col("level") == level, F.col("file_size"))), F.lit(0))
-    met = flushed.join(files.select("level", "smallest", "largest", "file_size"), meets, "left").groupBy("range_no")
-    bytes_ = met.agg(*[per(i).alias(f"b{i}") for i in range(MAX_MEMTABLE_LEVEL + 2)])
+    found = met(flushed, files.select("level", "smallest", "largest", "file_size")).select("range_no", "level", "file_size")
+    bytes_ = flushed.select("range_no").join(found, "range_no", "left").groupBy("range_no").agg(*[per(i).alias(f"b{i}") for i in range(MAX_MEMTABLE_LEVEL + 2)])
     level = F.lit(MAX_MEMTABLE_LEVEL)
     for i in reversed(range(MAX_MEMTABLE_LEVEL)):
         level = F.when((F.col(f"b{i + 1}") > 0) | (F.col(f"b{i + 2}") > cap), i).otherwise(level)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.operators.order import bucketed, places, running_total
+from strata.operators.order import bucket_of, bucketed, places, running_total
 from strata.schema import L0_COMPACTION, LEVELS, allowed_seeks, level_bytes
 
 
@@ -52,20 +52,38 @@ def overlapping(files: DataFrame, low=None, high=None) -> DataFrame:
     return out if high is None else out.where(F.col("smallest") <= F.lit(high))
 
 
-def range_matches(ranges: DataFrame, files: DataFrame) -> DataFrame:
-    """``ranges(range_no, low, high)`` with the files each overlaps, null bounds open.
+#: Files and ranges of a bucket of keys, about, where they meet.
+PER_BUCKET = 32
+
+
+def met(ranges: DataFrame, files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``ranges(low, high, ...)`` with each file they overlap, null bounds open; columns ``by`` of both must be equal.
 
-    File tables are metadata: joined by inequality they are the small side, and the planner
-    broadcasts them while they are below its threshold.
+    Keys are cut into buckets that files and ranges divide evenly. A range and a file are rows of each bucket they
+    reach, and meet by an equality join in the first one they share, so no range is compared with the files of other keys.
     """
+    begins = files.select(F.col("smallest").alias("at")).union(ranges.where("low is not null").select("low"))
+    cuts = places(begins, ["at"], PER_BUCKET)
+    kind = dict(files.dtypes)["smallest"]
+
+    def spread(df: DataFrame, low: str, high: str, first: str) -> DataFrame:
+        one = lambda c, otherwise: F.when(F.col(c).isNull(), otherwise).otherwise(bucket_of(cuts, [c], {c: kind}))
+        ends = df.withColumn(first, one(low, F.lit(0))).withColumn("_last", one(high, F.lit(len(cuts))))
+        return ends.where(F.col(first) <= F.col("_last")).withColumn("_bucket", F.explode(F.sequence(first, "_last"))).drop("_last")
+
+    both = spread(ranges, "low", "high", "_r").join(spread(files, "smallest", "largest", "_f"), ["_bucket", *by])
     meets = (F.col("low").isNull() | (F.col("largest") >= F.col("low"))) & (F.col("high").isNull() | (F.col("smallest") <= F.col("high")))
-    return ranges.join(files, meets)
+    return both.where((F.col("_bucket") == F.greatest("_r", "_f")) & meets).drop("_bucket", "_r", "_f")
+
+
+def range_matches(ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """``ranges(range_no, low, high)`` with the files each overlaps, null bounds open."""
+    return met(ranges, files)
 
 
 def some_overlap(ranges: DataFrame, files: DataFrame) -> DataFrame:
-    """The ``ranges(range_no, low, high)`` that any file overlaps, null bounds open; a range leaves at its first file."""
-    meets = (F.col("low").isNull() | (F.col("largest") >= F.col("low"))) & (F.col("high").isNull() | (F.col("smallest") <= F.col("high")))
-    return ranges.join(files.select("smallest", "largest"), meets, "left_semi")
+    """The ``ranges(range_no, low, high)`` that any file overlaps, null bounds open."""
+    return ranges.join(met(ranges, files.select("smallest", "largest")).select("range_no").distinct(), "range_no", "left_semi")
 
 
 def islands(files: DataFrame) -> DataFrame:
@@ -140,8 +158,8 @@ def files_to_search(keys: DataFrame, files: DataFrame) -> DataFrame:
     Level 0 first, its newest file first, then the one covering file of each deeper level.
     """
     asked = keys.select("user_key").distinct()
-    top = F.broadcast(files.where("level = 0"))
-    young = asked.join(top, F.col("user_key").between(F.col("smallest"), F.col("largest"))).select("user_key", "level", "file_no")
+    points = asked.select("user_key", F.col("user_key").alias("low"), F.col("user_key").alias("high"))
+    young = met(points, files.where("level = 0")).select("user_key", "level", "file_no")
     levels = asked.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS - 1))))
     deep = merged(levels, files.where("level > 0"), "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key"))
     both = young.unionByName(deep.select("user_key", "level", F.col("found.file_no").alias("file_no")))
@@ -151,10 +169,10 @@ def files_to_search(keys: DataFrame, files: DataFrame) -> DataFrame:
 
 def next_level_overlap(files: DataFrame) -> DataFrame:
     """For each file from level 1 on, the bytes of the next level it overlaps."""
-    above = files.where("level > 0").select("level", "file_no", "smallest", "largest")
-    below = files.select((F.col("level") - 1).alias("level"), F.col("smallest").alias("lo"), F.col("largest").alias("hi"), F.col("file_size").alias("bytes"))
-    met = above.join(below, [above["level"] == below["level"], F.col("lo") <= F.col("largest"), F.col("hi") >= F.col("smallest")], "left").drop(below["level"])
-    return met.groupBy("level", "file_no").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("overlap_bytes"))
+    above = files.where("level > 0").select("level", "file_no", F.col("smallest").alias("low"), F.col("largest").alias("high"))
+    below = files.select((F.col("level") - 1).alias("level"), "smallest", "largest", F.col("file_size").alias("bytes"))
+    found = met(above, below, ("level",)).groupBy("level", "file_no").agg(F.sum("bytes").alias("bytes"))
+    return above.select("level", "file_no").join(found, ["level", "file_no"], "left").select("level", "file_no", F.coalesce("bytes", F.lit(0)).cast("long").alias("overlap_bytes"))
 
 
 def approximate_sizes(ranges: DataFrame, entries: DataFrame) -> DataFrame:

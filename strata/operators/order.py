@@ -19,17 +19,21 @@ PER_PARTITION, MOST, SAMPLE = 2, 4096, 32
 TREE = 64
 
 
-def places(rows: DataFrame, order: list[str], buckets: int | None = None) -> list[tuple]:
-    """Places of ``order`` that divide the rows about evenly: at most ``buckets`` - 1 tuples, in order.
+def places(rows: DataFrame, order: list[str], per: int | None = None) -> list[tuple]:
+    """Places of ``order`` that divide the rows about evenly, in order: for buckets of ``per`` rows, or by default as many
+    as the shuffle's partitions call for.
 
     Two jobs over the columns of the order alone: a count and a sample, which reaches the driver.
     """
-    n = buckets or min(MOST, PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = rows.select(*order)
-    held, want = keys.count(), SAMPLE * n
+    held = keys.count()
+    n = PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if per is None else max(2, held // per)
+    n = min(MOST, n)
+    want = SAMPLE * n
     if held > want:
         keys = keys.sample(min(1.0, 1.2 * want / held), seed=7)
-    sample = [tuple(r) for r in keys.orderBy(*order).collect()]
+    # strings compare by code points here and by their bytes in Spark, which is the same order; nulls come first
+    sample = sorted((tuple(r) for r in keys.collect()), key=lambda r: [(v is not None, bytes(v) if isinstance(v, bytearray) else v) for v in r])
     found = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
     return list(dict.fromkeys(found))
 

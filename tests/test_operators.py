@@ -230,3 +230,20 @@ def test_newer_versions_by_stretch(spark, width):
     log = [(rng.choice("aaaaab"), s, 1, None) for s in rng.sample(range(300), 150)]
     got = {r["seq"]: r["newer_seq"] for r in mvcc.all_versions(spark.createDataFrame(log, LOG), width).collect()}
     assert got == {s: min((t for j, t, *_ in log if j == k and t > s), default=None) for k, s, *_ in log}
+
+
+@pytest.mark.parametrize("per", [1, 5, 1000])
+def test_ranges_meet_files_in_buckets(spark, per, monkeypatch):
+    """Against all pairs: wide and narrow ranges, open bounds, overlapping files, by level or not; no nested loop."""
+    monkeypatch.setattr(files, "PER_BUCKET", per)
+    rng = random.Random(per)
+    key = lambda x: f"{x:04d}"
+    held = [(rng.randrange(3), i, key(a := rng.randrange(900)), key(a + rng.choice([0, 3, 40, 600])), 1, 1) for i in range(70)]
+    asked = [(i, rng.randrange(3), None if i % 9 == 0 else key(a := rng.randrange(900)), None if i % 7 == 0 else key((a if i % 9 else 300) + rng.choice([0, 5, 500]))) for i in range(60)]
+    ranges = spark.createDataFrame(asked, "range_no long, level long, low string, high string")
+    found = files.met(ranges, frame(spark, held), ("level",))
+    near = lambda r, f: (r[2] is None or f[3] >= r[2]) and (r[3] is None or f[2] <= r[3])
+    assert sorted((r["range_no"], r["file_no"]) for r in found.collect()) == sorted((r[0], f[1]) for r in asked for f in held if r[1] == f[0] and near(r, f))
+    assert "NestedLoop" not in plan(found)
+    pairs = files.range_matches(ranges.drop("level"), frame(spark, held)).collect()
+    assert sorted((r["range_no"], r["file_no"]) for r in pairs) == sorted((r[0], f[1]) for r in asked for f in held if near(r, f))
