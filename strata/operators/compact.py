@@ -29,14 +29,18 @@ def at_base_level(keys: DataFrame, deeper: DataFrame) -> DataFrame:
     return keys.join(covered(keys, deeper), "user_key", "left_anti")
 
 
-def drop_obsolete(entries: DataFrame, snapshot: int, deeper: DataFrame) -> DataFrame:
+def drop_obsolete(entries: DataFrame, snapshot: int, deeper: DataFrame | None) -> DataFrame:
     """``drop_hidden``, and without deletions at or below the snapshot that have nothing deeper to hide.
-    ``deeper(smallest, largest)`` are the files of all levels below the output's."""
+    ``deeper(smallest, largest)`` are the files of all levels below the output's; None says there are none."""
     kept = drop_hidden(entries, snapshot)
     dead = (F.col("vtype") == DELETION) & (F.col("seq") <= snapshot)
+    if deeper is None:
+        return kept.where(~dead)
     # only the deletions at issue are looked up
     hides = kept.where(dead)
-    return kept.where(~dead).unionByName(hides.join(covered(hides, deeper), "user_key", "left_semi").select(*kept.columns))
+    # by buckets of the entries, which are read for it, not of what is left of them
+    found = covered(hides, deeper, places(entries, ["user_key"]))
+    return kept.where(~dead).unionByName(hides.join(found, "user_key", "left_semi").select(*kept.columns))
 
 
 def with_corrupt(entries: DataFrame, snapshot: int) -> DataFrame:

@@ -56,14 +56,15 @@ def overlapping(files: DataFrame, low=None, high=None) -> DataFrame:
 PER_BUCKET = 32
 
 
-def met(ranges: DataFrame, files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def met(ranges: DataFrame, files: DataFrame, by: tuple[str, ...] = (), cuts: list[tuple] | None = None) -> DataFrame:
     """``ranges(low, high, ...)`` with each file they overlap, null bounds open; columns ``by`` of both must be equal.
 
     Keys are cut into buckets that files and ranges divide evenly. A range and a file are rows of each bucket they
     reach, and meet by an equality join in the first one they share, so no range is compared with the files of other keys.
     """
-    begins = files.select(F.col("smallest").alias("at")).union(ranges.where("low is not null").select("low"))
-    cuts = places(begins, ["at"], PER_BUCKET)
+    if cuts is None:
+        begins = files.select(F.col("smallest").alias("at")).union(ranges.where("low is not null").select("low"))
+        cuts = places(begins, ["at"], PER_BUCKET)
     kind = dict(files.dtypes)["smallest"]
 
     def spread(df: DataFrame, low: str, high: str, first: str) -> DataFrame:
@@ -135,7 +136,7 @@ def merged(keys: DataFrame, files: DataFrame, by: str, cuts: list[tuple] | None
     return near.select("level", F.col("at").alias("user_key"), F.coalesce("near", "carried").alias("found"))
 
 
-def covered(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+def covered(keys: DataFrame, ranges: DataFrame, cuts: list[tuple] | None = None) -> DataFrame:
     """The distinct ``user_key``s that lie in any of ``ranges(smallest, largest)``.
 
     Overlapping ranges are joined to disjoint ones first; each key then meets one of them at most, by
@@ -144,7 +145,7 @@ def covered(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     numbered = ranges.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("file_no"), "smallest", "largest")
     disjoint = islands(numbered).select("level", F.col("low").alias("smallest"), F.col("high").alias("largest"))
     asked = keys.select(F.lit(0).alias("level"), "user_key").distinct()
-    return merged(asked, disjoint, "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key")).select("user_key")
+    return merged(asked, disjoint, "largest", places(keys, ["user_key"]) if cuts is None else cuts).where(F.col("found.smallest") <= F.col("user_key")).select("user_key")
 
 
 def find_file(keys: DataFrame, files: DataFrame) -> DataFrame:
@@ -159,9 +160,10 @@ def files_to_search(keys: DataFrame, files: DataFrame) -> DataFrame:
     """
     asked = keys.select("user_key").distinct()
     points = asked.select("user_key", F.col("user_key").alias("low"), F.col("user_key").alias("high"))
-    young = met(points, files.where("level = 0")).select("user_key", "level", "file_no")
+    cuts = places(keys, ["user_key"])
+    young = met(points, files.where("level = 0"), (), cuts).select("user_key", "level", "file_no")
     levels = asked.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS - 1))))
-    deep = merged(levels, files.where("level > 0"), "largest", places(keys, ["user_key"])).where(F.col("found.smallest") <= F.col("user_key"))
+    deep = merged(levels, files.where("level > 0"), "largest", cuts).where(F.col("found.smallest") <= F.col("user_key"))
     both = young.unionByName(deep.select("user_key", "level", F.col("found.file_no").alias("file_no")))
     order = Window.partitionBy("user_key").orderBy("level", F.col("file_no").desc())
     return both.withColumn("probe_order", F.row_number().over(order).cast("long"))

@@ -623,7 +623,7 @@ class Store:
         rows = self.spark.read.schema(CHANGELOG).parquet(*[f"{self.path}/{self.files[k]['path']}" for k in old])
         deeper = [(bytearray(f.smallest), bytearray(f.largest)) for f in self.rows() if f.level > target]
         keep = min(self.snapshots, default=self.last_seq)
-        kept = compact.drop_obsolete(rows, keep, self.spark.createDataFrame(deeper, "smallest binary, largest binary"))
+        kept = compact.drop_obsolete(rows, keep, self.spark.createDataFrame(deeper, "smallest binary, largest binary") if deeper else None)
         size = sum(self.files[k]["file_size"] for k in old)
         added = self._write_files(kept, target, size)
         self._commit(added, old, pointer)
