@@ -7,8 +7,10 @@ under an equal variant are compared in full; a variant with m fingerprints yield
 m - 1 links, a spanning forest of its close pairs, which leaves the components unchanged.
 
 A ``Scheme`` says how wide fingerprints are, how they are cut and which are close. With s segments
-all pairs of up to 2 s - 1 unequal bits share a variant; of those beyond, most do, as it takes one
-segment only.
+all pairs of up to 2 s - 1 unequal bits share a variant. Where close ones may differ in more, blocks of
+fingerprints meet in tiles instead, and a tile looks up, for each piece of 16 bits, the pieces in reach:
+radii that add up to the distance, so that a pair beyond its radius in every piece is not close. No
+close pair is lost either way.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from strata.llm.components import connected_components, with_least
 SEED = 42
 #: Shingles whose bits are counted at a time, and fingerprints of one variant compared in one task.
 CHUNK, BLOCK = 1 << 15, 1 << 12
+#: Where blocks of fingerprints meet in tiles: there are so many blocks, or more that none holds much over so many, but one of
+#: few fingerprints; pairs that are compared at a time, and pairs of a tile from which on it looks pieces up.
+TILES, TILE, ALONE, PAIRS, LOOKUP = 16, 1 << 19, 1 << 12, 1 << 16, 1 << 34
 
 
 @dataclass(frozen=True)
@@ -138,6 +143,133 @@ def _forest(values: np.ndarray, nodes: np.ndarray, distance: int, split: int | N
     return links
 
 
+class _Groups:
+    """What links have joined so far: a label per row, the least row of its group, and the links that joined groups."""
+
+    def __init__(self, n: int):
+        self.label, self.links = np.arange(n), []
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.label[a], self.label[b]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            at = np.flatnonzero(low != high)
+            if not len(at):
+                return
+            at = at[np.lexsort((low[at], high[at]))]
+            one = at[np.r_[True, high[at[1:]] != high[at[:-1]]]]  # of the links of a label the one to the least
+            to = np.arange(len(self.label))
+            to[high[one]] = low[one]
+            while (to[to] != to).any():
+                to = to[to]
+            self.label = to[self.label]
+            self.links.append((a[one], b[one]))
+            a, b = a[at], b[at]
+
+
+def _masks(radius: int) -> np.ndarray:
+    """The numbers of 16 bits of which at most ``radius`` are set, those of fewer first."""
+    every = np.arange(1 << 16)
+    ones = np.bitwise_count(every)
+    return np.concatenate([every[ones == r] for r in range(radius + 1)]) if radius >= 0 else every[:0]
+
+
+def _radii(scheme: Scheme) -> list[int]:
+    """Per piece of 16 bits the unequal bits that are looked up; -1 for none. Each radius and one more make distance + 1."""
+    n = scheme.bits // 16
+    most, more = divmod(scheme.distance + 1, n)
+    return [most - (i >= more) for i in range(n)]
+
+
+def _by_piece(key: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows in the order of their pieces, of a piece by group and its largest group last; per piece the first row and the
+    end, and the largest group's rows and label."""
+    by = np.lexsort((label, key))
+    runs = np.flatnonzero(np.r_[True, (key[by[1:]] != key[by[:-1]]) | (label[by[1:]] != label[by[:-1]])])
+    sizes = np.diff(np.r_[runs, len(by)])
+    size = np.empty(len(by), np.int64)
+    size[by] = np.repeat(sizes, sizes)
+    by = np.lexsort((label, size, key))
+    counts = np.bincount(key, minlength=1 << 16)
+    ends, held = np.cumsum(counts), np.flatnonzero(counts)
+    most, whose = np.zeros(1 << 16, np.int64), np.full(1 << 16, -1)
+    most[held], whose[held] = size[by[ends[held] - 1]], label[by[ends[held] - 1]]
+    return by, ends - counts, ends, most, whose
+
+
+def _joined(values: np.ndarray, scheme: Scheme, split: int | None = None) -> _Groups:
+    """Groups that all close pairs join: among all ``values``, or between the first ``split`` and the others, where close
+    pairs on one side may be joined too."""
+    groups, found, held = _Groups(len(values)), [], 0
+    first = np.arange(len(values) if split is None else split)
+    other = first if split is None else np.arange(split, len(values))
+    if not len(first) or not len(other):
+        return groups
+    sums = np.uint8 if scheme.bits < 256 else np.uint16
+
+    def flush() -> None:
+        nonlocal held
+        if found:
+            groups.join(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            found.clear()
+            held = 0
+
+    def compare(a: np.ndarray, b: np.ndarray, words: list[np.ndarray], among: np.ndarray | slice) -> None:
+        """Every row of ``a`` with those of ``b``, whose words are given, ``among`` which it looks."""
+        nonlocal held
+        words = [w[among] for w in words]
+        n = len(words[0])
+        step = max(1, PAIRS // n)
+        for at in range(0, len(a), step):
+            own = values[a[at : at + step]]
+            apart = np.bitwise_count(own[:, :1] ^ words[0]).astype(sums, copy=False)
+            for k in range(1, len(words)):
+                apart += np.bitwise_count(own[:, k : k + 1] ^ words[k])
+            near = apart <= scheme.distance
+            if near.any():
+                i, j = np.divmod(np.flatnonzero(near), n)
+                i, j = a[at + i], b[among][j]
+                found.append((i[i != j], j[i != j]))
+                held += len(found[-1][0])
+                if held > PAIRS:
+                    flush()
+
+    if len(first) * len(other) <= LOOKUP:
+        step, words = max(1, len(first) // 16), list(values[other].T.copy())
+        for at in range(0, len(first), step):
+            compare(first[at : at + step], other, words, slice(at if split is None else 0, None))  # each pair once, nearly
+        flush()
+        return groups
+    pieces = values.view(np.uint16)  # the order of the bytes only says which bits are a piece
+    for piece in pieces.T:  # neighbours first, so that a crowd is one group before its pairs are looked up
+        by = np.argsort(piece, kind="stable")
+        for d in (1, 2):
+            near = _unequal(values[by[:-d]], values[by[d:]]) <= scheme.distance
+            groups.join(by[:-d][near], by[d:][near])
+    for piece, radius in zip(pieces.T, _radii(scheme), strict=True):
+        masks, steps = _masks(radius), np.arange(len(other))
+        rows, begin, end, most, whose = right = _by_piece(piece[other], groups.label[other])
+        rows_, begin_, end_, most_, whose_ = right if split is None else _by_piece(piece[first], groups.label[first])
+        left, right, words = first[rows_], other[rows], list(values[other[rows]].T.copy())
+        for g in np.flatnonzero(end_ > begin_).tolist():
+            there = masks ^ g
+            if split is None:
+                there = there[there >= g]  # each pair of pieces once
+            there = there[end[there] > begin[there]]
+            crowd = end_[g] - (most_[g] if most_[g] > 32 else 0)
+            for at, to in ((begin_[g], crowd), (crowd, end_[g])):
+                if at == to:
+                    continue
+                count = end[there] - begin[there]
+                if at == crowd:  # a large group passes over its own rows
+                    count -= np.where(whose[there] == whose_[g], most[there], 0)
+                ends = count.cumsum()
+                if len(ends) and ends[-1]:
+                    compare(left[at:to], right, words, steps[: ends[-1]] + (begin[there] - ends + count).repeat(count))
+        flush()
+    return groups
+
+
 def _close_in_runs(scheme: Scheme):
     """Rows ``(key, fp..., node)`` sorted by key -> links, and the rows of runs over BLOCK to be compared by tiles.
     Without a column for it, the node is the fingerprint's only word.
@@ -215,6 +347,8 @@ def _close_in_runs(scheme: Scheme):
 
 
 def _tile(scheme: Scheme):
+    """Tiles of a run whose rows share a variant -> links."""
+
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("own", "descending")])
         values = np.stack([group[c].to_numpy() for c in scheme.columns], axis=1).view(np.uint64)
@@ -225,9 +359,38 @@ def _tile(scheme: Scheme):
     return run
 
 
+def _whole_tile(scheme: Scheme):
+    """Tiles of any two blocks, or of one with itself -> links."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("own", "descending")])
+        values = np.stack([group[c].to_numpy() for c in scheme.columns], axis=1).view(np.uint64)
+        nodes, own = group["node"].to_numpy(), int(np.count_nonzero(group["own"].to_numpy()))
+        links = _joined(values, scheme, own if own < len(values) else None).links
+        a, b = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+        if own < len(values):  # what is close within a block is found where the block meets itself
+            across = (a < own) != (b < own)
+            a, b = a[across], b[across]
+        return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
+
+    return run
+
+
+def _tiled_pairs(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """As ``close_pairs``, of all close pairs whatever they share: every two blocks of fingerprints are compared."""
+    n = nodes.count()
+    blocks = max(TILES if n > ALONE else 1, -(-n // TILE))
+    cut = nodes.select(*scheme.columns, F.col(nodes.columns[-1]).alias("node"), F.pmod(F.xxhash64(*scheme.columns), F.lit(blocks)).alias("block"))
+    met = cut.select("*", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("other"))
+    met = met.select("node", *scheme.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("own"))
+    return met.groupBy("i", "j").applyInArrow(_whole_tile(scheme), "a long, b long").distinct()
+
+
 def close_pairs(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """Distinct fingerprints ``(fp...)`` or ``(fp..., node)`` -> links ``(a, b)`` of nodes whose components are those of
-    all pairs that share a variant and are close."""
+    all close pairs."""
+    if scheme.distance >= 2 * scheme.segments:  # close pairs need not share a variant
+        return _tiled_pairs(nodes, scheme)
     kinds = ", ".join(f"{c} long" for c in ["a", "b", "key", "block", *scheme.columns])
     spread = _variants(nodes, scheme).repartition("key").sortWithinPartitions("key").select("key", *nodes.columns)
     found = materialize(spread.mapInArrow(_close_in_runs(scheme), kinds), "close")

@@ -168,3 +168,77 @@ def test_stage_takes_near_copies_and_leaves_others(spark):
     kept = {r["doc_id"] for r in s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {3 * i for i in range(60)} <= kept
     assert sum(3 * i + 1 in kept for i in range(60)) <= 2 and sum(3 * i + 2 in kept for i in range(60)) >= 55
+
+
+def apart(rng, value, bits):
+    """The value with so many bits turned, evenly over its eight pieces of 16 bits."""
+    turned = [b for k, n in enumerate([bits // 8 + (i < bits % 8) for i in range(8)]) for b in rng.sample(range(16 * k, 16 * k + 16), n)]
+    return value ^ sum(1 << b for b in turned)
+
+
+def groups_of(values, distance):
+    parent = list(range(len(values)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j, b in enumerate(values[:i]):
+            if (a ^ b).bit_count() <= distance:
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in parent]
+
+
+def as_words(values):
+    return np.array([[v & (1 << 64) - 1, v >> 64] for v in values], np.uint64)
+
+
+@pytest.mark.parametrize(("alone", "tiles", "tile"), [(1 << 12, 16, 1 << 19), (8, 3, 1 << 19), (8, 1, 40)])
+def test_close_pairs_without_a_common_variant_are_linked(spark, alone, tiles, tile, monkeypatch):
+    """Pairs of 16 to 22 bits, two or more in each segment, are close; those of 23 are not."""
+    for name, x in (("ALONE", alone), ("TILES", tiles), ("TILE", tile)):
+        monkeypatch.setattr(s, name, x)
+    rng = random.Random(tiles)
+    values = [v for bits in [*range(15, 24), 22, 23, 30] for at in [rng.getrandbits(128)] for v in (at, apart(rng, at, bits), apart(rng, apart(rng, at, 12), 12))]
+    rows = [(*(int(w) for w in row.view(np.int64)), 1000 + i) for i, row in enumerate(as_words(values))]
+    links = s.close_pairs(spark.createDataFrame(rows, "fp long, fp1 long, node long"), s.SIMILAR)
+    got = {r["node"]: r["component"] for r in connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).collect()}
+    assert [got.get(1000 + i, 1000 + i) - 1000 for i in range(len(values))] == groups_of(values, 22)
+
+
+@pytest.mark.parametrize("lookup", [0, 1 << 34])
+@pytest.mark.parametrize("split", [None, 0, 150, 400])
+def test_joined_is_what_all_pairs_join(lookup, split, monkeypatch):
+    """By looking pieces up as by comparing all, with a crowd of near ones, chains, and ones that meet at 22 bits or miss at 23."""
+    monkeypatch.setattr(s, "LOOKUP", lookup)
+    monkeypatch.setattr(s, "PAIRS", 1 << 9)
+    rng = random.Random(3)
+    crowd = rng.getrandbits(128)
+    values = [crowd ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(1, 7))) for _ in range(120)]
+    for bits in [*range(14, 25)] * 4:
+        at = rng.getrandbits(128)
+        values += [at, apart(rng, at, bits), apart(rng, apart(rng, at, bits), 22)]
+    values += [apart(rng, crowd, 21) for _ in range(8)] + [rng.getrandbits(128) for _ in range(140)]
+    values = list(dict.fromkeys(values))
+    rng.shuffle(values)
+    found = s._joined(as_words(values), s.SIMILAR, split)
+    assert all((values[a] ^ values[b]).bit_count() <= 22 for x, y in found.links for a, b in zip(x, y, strict=True))
+    if split is None:
+        assert found.label.tolist() == groups_of(values, 22) and sum(len(x) for x, _ in found.links) == len(values) - len(set(found.label.tolist()))
+    else:
+        assert all(found.label[i] == found.label[j] for i in range(split) for j in range(split, len(values)) if (values[i] ^ values[j]).bit_count() <= 22)
+
+
+def test_radii_reach_the_distance():
+    for scheme in (s.SIMILAR, s.EXACT, s.Scheme(5, 128, 8, 3), s.Scheme(5, 256, 8, 40)):
+        assert sum(r + 1 for r in s._radii(scheme)) == scheme.distance + 1 and len(s._radii(scheme)) == scheme.bits // 16
+    assert [len(s._masks(r)) for r in (-1, 0, 1, 2)] == [0, 1, 17, 137]
+
+
+def test_keep_one_on_pairs_without_a_common_variant(spark):
+    """Documents of 18 to 20 unequal bits, of which every segment has two or more."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (571, 5622, 736, 4389, 2734, 9602)")
+    assert sorted(r["doc_id"] for r in s.keep_one(docs).collect()) == [571, 736, 2734]
