@@ -10,12 +10,22 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 Step = Callable[..., tuple]
 
 
+def dealt(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Rows dealt by group and sorted within partitions, each group whole in one of them.
+
+    Rows are dealt by an expression of ``by``: after a join by the column itself the planner would leave this shuffle out,
+    and, as a map over batches asks for no distribution, may then read the join's shuffle by its writers, which cuts groups.
+    """
+    return df.repartition(F.xxhash64(by)).sortWithinPartitions(by, *order)
+
+
 def fold(df: DataFrame, by: str, order: list[str], uses: list[str], begin: Callable[[], Step], adds: str) -> DataFrame:
     """Add the columns ``adds``: for each group of ``by``, ``begin()`` gives a step that takes the columns ``uses`` of one
     row after the other, in ``order``, and returns the row's new values. ``order`` settles all ties that matter."""
@@ -36,7 +46,7 @@ def fold(df: DataFrame, by: str, order: list[str], uses: list[str], begin: Calla
             new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], out.names)
 
-    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, out)
+    return dealt(df, by, order).mapInArrow(run, out)
 
 
 def unfold(df: DataFrame, by: str, order: list[str], uses: list[str], begin: Callable[[], Callable[..., list[tuple]]], adds: str, most: int = 10_000) -> DataFrame:
@@ -61,4 +71,4 @@ def unfold(df: DataFrame, by: str, order: list[str], uses: list[str], begin: Cal
         if rows:
             yield batch()
 
-    return df.select(by, *dict.fromkeys(c for c in (*order, *uses) if c != by)).repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, out)
+    return dealt(df.select(by, *dict.fromkeys(c for c in (*order, *uses) if c != by)), by, order).mapInArrow(run, out)

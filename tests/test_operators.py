@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import batch, blocks, cache, compact, files, mvcc, order
+from strata.operators import batch, blocks, cache, compact, files, fold, mvcc, order
 from strata.plans import compaction
 from strata.plans.compaction import FileRow
 
@@ -247,3 +247,31 @@ def test_ranges_meet_files_in_buckets(spark, per, monkeypatch):
     assert "NestedLoop" not in plan(found)
     pairs = files.range_matches(ranges.drop("level"), frame(spark, held)).collect()
     assert sorted((r["range_no"], r["file_no"]) for r in pairs) == sorted((r[0], f[1]) for r in asked for f in held if near(r, f))
+
+
+def test_groups_stay_whole_after_a_join(spark):
+    """A join by the group's column that turns into a broadcast as it runs leaves no shuffle that may be read by its writers."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 4000, 1, 4).select((F.col("id") % 100).alias("g"), "id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        joined = rows.join(rows.groupBy("g").agg(F.max("id").alias("end")), "g")
+
+        def begin():
+            n = 0
+
+            def step(_) -> tuple:
+                nonlocal n
+                n += 1
+                return (n,)
+
+            return step
+
+        counted = fold.fold(joined, "g", ["id"], ["text"], begin, "n long").where("id = end")
+        assert {r["n"] for r in counted.collect()} == {40}
+        each = fold.unfold(joined, "g", ["id"], ["text"], lambda: (lambda step: lambda x: [step(x)])(begin()), "n long")
+        assert each.where("n = 40").count() == 100
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
