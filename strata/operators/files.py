@@ -6,11 +6,16 @@ else does. Files of deeper levels are disjoint, so a key has at most one file th
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from strata.operators.order import bucket_of, bucketed, places, running_total
+from strata.operators.order import bucketed, places, running_total
 from strata.schema import L0_COMPACTION, LEVELS, allowed_seeks, level_bytes
 
 
@@ -54,27 +59,76 @@ def overlapping(files: DataFrame, low=None, high=None) -> DataFrame:
 
 #: Files and ranges of a bucket of keys, about, where they meet.
 PER_BUCKET = 32
+#: Buckets of a node's child, as a power of two; groups into which the ranges and the files that reach over one of the largest nodes are dealt.
+FAN, RANGE_GROUPS, FILE_GROUPS = 4, 32, 8
+
+
+def _with_nodes(df: DataFrame, columns: list[str], nodes: Callable[..., list[int]]) -> DataFrame:
+    """A row for each of a row's ``nodes(n, *columns)``, in ``_node``, n being its number in the task.
+
+    Batches are mapped in Python: a filter on an expression of the places would be evaluated below aggregates, for each entry.
+    """
+    out = StructType([*df.schema.fields, StructField("_nodes", ArrayType(LongType(), False), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            found = [nodes(n + i, *values) for i, values in enumerate(zip(*(b.column(c).to_pylist() for c in columns), strict=True))]
+            n += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], out.names)
+
+    return df.mapInArrow(run, out).withColumn("_node", F.explode("_nodes")).drop("_nodes")
 
 
 def met(ranges: DataFrame, files: DataFrame, by: tuple[str, ...] = (), cuts: list[tuple] | None = None) -> DataFrame:
     """``ranges(low, high, ...)`` with each file they overlap, null bounds open; columns ``by`` of both must be equal.
 
-    Keys are cut into buckets that files and ranges divide evenly. A range and a file are rows of each bucket they
-    reach, and meet by an equality join in the first one they share, so no range is compared with the files of other keys.
+    A file either begins within the range, or the range begins within the file, after its first key. Either way a key lies in
+    a stretch of keys. Keys are cut into buckets that files and ranges divide evenly, buckets into nodes of 1, 16 and 256 of
+    them: a stretch is a row of the few nodes that it is made of, a key one of each node around it, and they meet by an
+    equality join in exactly one node. What reaches over the largest nodes is dealt into groups, so that no task has all of it.
     """
     if cuts is None:
         begins = files.select(F.col("smallest").alias("at")).union(ranges.where("low is not null").select("low"))
         cuts = places(begins, ["at"], PER_BUCKET)
-    kind = dict(files.dtypes)["smallest"]
-
-    def spread(df: DataFrame, low: str, high: str, first: str) -> DataFrame:
-        one = lambda c, otherwise: F.when(F.col(c).isNull(), otherwise).otherwise(bucket_of(cuts, [c], {c: kind}))
-        ends = df.withColumn(first, one(low, F.lit(0))).withColumn("_last", one(high, F.lit(len(cuts))))
-        return ends.where(F.col(first) <= F.col("_last")).withColumn("_bucket", F.explode(F.sequence(first, "_last"))).drop("_last")
-
-    both = spread(ranges, "low", "high", "_r").join(spread(files, "smallest", "largest", "_f"), ["_bucket", *by])
-    meets = (F.col("low").isNull() | (F.col("largest") >= F.col("low"))) & (F.col("high").isNull() | (F.col("smallest") <= F.col("high")))
-    return both.where((F.col("_bucket") == F.greatest("_r", "_f")) & meets).drop("_bucket", "_r", "_f")
+    at = [bytes(c) if isinstance(c, bytearray) else c for (c,) in cuts if c is not None]
+    top = 2 if len(at) >= 1 << 2 * FAN else 1 if len(at) >= 1 << FAN else 0
+    place = lambda key: bisect_right(at, key)
+
+    def number(side: int, level: int, node: int, group: int) -> int:
+        return ((side * 4 + level) << 32 | node) << 8 | group
+
+    def stretch(side: int, low: int, high: int, group: int) -> list[int]:
+        found, level, high = [], 0, high + 1
+        while low < high:
+            if level == top:
+                return found + [number(side, level, i, group) for i in range(low, high)]
+            up = min(high, -(-low >> FAN) << FAN)
+            down = max(up, high >> FAN << FAN)
+            found += [number(side, level, i, 0) for i in (*range(low, up), *range(down, high))]
+            if up == down:
+                break
+            low, high, level = up >> FAN, down >> FAN, level + 1
+        return found
+
+    def around(side: int, bucket: int, groups: int) -> list[int]:
+        return [number(side, level, bucket >> FAN * level, g) for level in range(top + 1) for g in range(groups if level == top else 1)]
+
+    def of_range(n: int, low, high) -> list[int]:
+        inside = stretch(0, 0 if low is None else place(low), len(at) if high is None else place(high), n % RANGE_GROUPS)
+        return inside if low is None else inside + around(1, place(low), FILE_GROUPS)
+
+    def of_file(n: int, smallest, largest) -> list[int]:
+        first = place(smallest)
+        return around(0, first, RANGE_GROUPS) + stretch(1, first, place(largest), n % FILE_GROUPS)
+
+    # as many partitions whatever the rows' bytes: what they make is more than what they are
+    parts = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(at) >> FAN)
+    left = _with_nodes(ranges, ["low", "high"], of_range).repartition(parts, "_node", *by)
+    both = left.join(_with_nodes(files, ["smallest", "largest"], of_file).repartition(parts, "_node", *by), ["_node", *by])
+    low, inside = F.col("low"), F.shiftright("_node", 42) == 0
+    meets = (low.isNull() | (F.col("largest") >= low)) & (F.col("high").isNull() | (F.col("smallest") <= F.col("high")))
+    return both.where(meets & (inside == (low.isNull() | (F.col("smallest") >= low)))).drop("_node")
 
 
 def range_matches(ranges: DataFrame, files: DataFrame) -> DataFrame:

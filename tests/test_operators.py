@@ -275,3 +275,18 @@ def test_groups_stay_whole_after_a_join(spark):
     finally:
         for k in changed:
             spark.conf.unset(k)
+
+
+def test_ranges_are_placed_once_each(spark):
+    """The place of a range is not looked up for each of the entries that the ranges come from."""
+    entries = spark.range(0, 20000, 1, 4).select(F.format_string("k%02d", F.col("id") % 50).alias("low"))
+    looked = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        looked.add(1)
+        return [0]
+
+    files._with_nodes(entries.distinct(), ["low"], lambda n, low: counted(low)).count()
+    assert looked.value == 50
+    plan = files.met(entries.distinct().withColumn("high", F.col("low")), spark.createDataFrame([("k01", "k02")], "smallest string, largest string"), (), [("k20",)])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("k20") == 0
