@@ -137,8 +137,24 @@ def range_matches(ranges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def some_overlap(ranges: DataFrame, files: DataFrame) -> DataFrame:
-    """The ``ranges(range_no, low, high)`` that any file overlaps, null bounds open."""
-    return ranges.join(met(ranges, files.select("smallest", "largest")).select("range_no").distinct(), "range_no", "left_semi")
+    """The ``ranges(range_no, low, high)`` that any file overlaps, null bounds open.
+
+    Of the files that begin at or before a range's end the largest key decides: it comes from a running maximum in the merged
+    order of ends and files, within buckets and then across them, so no range meets the files it overlaps one by one.
+    """
+    ends = ranges.where("high is not null")
+    begins = files.select(F.col("smallest").alias("at"), F.lit(0).alias("kind"), F.col("largest").alias("reach"), F.lit(None).cast(ranges.schema).alias("r"))
+    asks = ends.select(F.col("high").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(files.schema["largest"].dataType).alias("reach"), F.struct(*ranges.columns).alias("r"))
+    both = bucketed(begins.union(asks), ["at"], places(files, ["smallest"]), "bucket")
+    inner = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tops = both.groupBy("bucket").agg(F.max("reach").alias("most"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("bucket", F.max("most").over(earlier).alias("before"))
+    reach = F.greatest("near", "before")
+    found = both.withColumn("near", F.max("reach").over(inner)).where("kind = 1").join(tops, "bucket").where(reach.isNotNull() & (F.col("r.low").isNull() | (reach >= F.col("r.low")))).select("r.*")
+    whole = files.agg(F.max("largest").alias("_most"))
+    openly = ranges.where("high is null").crossJoin(F.broadcast(whole)).where(F.col("_most").isNotNull() & (F.col("low").isNull() | (F.col("_most") >= F.col("low")))).drop("_most")
+    return found.unionByName(openly)
 
 
 def islands(files: DataFrame) -> DataFrame:

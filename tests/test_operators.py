@@ -277,6 +277,23 @@ def test_groups_stay_whole_after_a_join(spark):
             spark.conf.unset(k)
 
 
+@pytest.mark.parametrize("n", [3, 40, 700])
+def test_ranges_meet_files_at_every_size_of_nodes(spark, n):
+    """Open, reversed and wide ranges over files of one key, of some and of all, with places for nodes of 1, 16 and 256 buckets."""
+    rng = random.Random(n)
+    key = lambda i: f"k{i:04d}"
+    held = [(i, *sorted((key(a := rng.randrange(1000)), key(min(999, a + rng.choice([0, 3, 40, 900])))))) for i in range(150)]
+    ranges = [(i, rng.choice([None, key(rng.randrange(1000)), key(rng.randrange(1000))]), rng.choice([None, key(rng.randrange(1000)), key(rng.randrange(1000))])) for i in range(150)]
+    r, f = spark.createDataFrame(ranges, "range_no long, low string, high string"), spark.createDataFrame(held, "file_no long, smallest string, largest string")
+    meets = lambda low, high, a, b: (low is None or b >= low) and (high is None or a <= high)
+    want = sorted((i, no) for i, low, high in ranges for no, a, b in held if meets(low, high, a, b))
+    cuts = [(key(i),) for i in sorted(rng.sample(range(1000), n))]
+    found = files.met(r, f, (), cuts)
+    assert sorted((x["range_no"], x["file_no"]) for x in found.collect()) == want
+    assert sorted(x["range_no"] for x in files.some_overlap(r, f.select("smallest", "largest")).collect()) == sorted({i for i, _ in want})
+    assert files.some_overlap(r, f.where("false")).count() == 0
+
+
 def test_ranges_are_placed_once_each(spark):
     """The place of a range is not looked up for each of the entries that the ranges come from."""
     entries = spark.range(0, 20000, 1, 4).select(F.format_string("k%02d", F.col("id") % 50).alias("low"))
