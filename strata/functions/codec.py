@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from strata.sources.bytesum import CRC_MASK_DELTA, HASH_SEED, MASK32, crc32c_of, hash32_of
+from strata.sources.bytesum import CRC_MASK_DELTA, HASH_SEED, MASK32, crc32c_of, fixed_of, hash32_of
 
 # Fixed values of the formats.
 RECORD_TYPES = ("zero", "full", "first", "middle", "last")
@@ -37,15 +37,20 @@ def bytes_of(b: Column) -> Column:
 
 def fixed(x: Column, width: int) -> Column:
     """Little-endian binary of ``width`` bytes; negative longs as two's complement."""
-    return F.unhex(F.concat(*[_hex_byte(F.shiftrightunsigned(x.cast("long"), 8 * i).bitwiseAND(F.lit(255))) for i in range(width)]))
+    x, swapped = x.cast("long"), F.lit(0).cast("long")
+    for i in range(width):
+        swapped = swapped.bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long")), 8 * (width - 1 - i)))
+    return F.unhex(F.lpad(F.hex(swapped), 2 * width, "0"))
+
+
+@F.arrow_udf(LongType())
+def _read_fixed(b: pa.Array, width: pa.Array) -> pa.Array:
+    return fixed_of(b, width[0].as_py() if len(width) else 8)
 
 
 def read_fixed(b: Column, width: int) -> Column:
     """The little-endian number in the first ``width`` bytes; null if there are fewer."""
-    swapped = F.concat(*[F.hex(F.substring(b, i + 1, 1)) for i in reversed(range(width))])
-    low = F.conv(F.right(swapped, F.lit(8)), 16, 10).cast("long")
-    high = F.conv(F.left(swapped, F.lit(2 * width - 8)), 16, 10).cast("long") if width > 4 else F.lit(0).cast("long")
-    return F.when(F.octet_length(b) >= width, F.shiftleft(high, 32).bitwiseOR(low))
+    return _read_fixed(b, F.lit(width))
 
 
 def varint_length(x: Column) -> Column:

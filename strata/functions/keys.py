@@ -36,7 +36,7 @@ def parse_internal_key(key: Column) -> Column:
         tag_type(t).alias("vtype"),
         F.coalesce((n >= 8) & (tag_type(t) <= VALUE), F.lit(False)).alias("is_valid"),
     )
-    return let(tag, parts)
+    return parts(tag)
 
 
 def sort_key(comparator: str, user_key: Column) -> Column:

@@ -174,3 +174,22 @@ def test_bloom_in_parts(spark):
 
 def test_null_bytes(spark):
     assert one(spark, codec.crc32c(F.col("b")), b=(None, "binary")) is None and one(spark, codec.hash32(F.col("b")), b=(None, "binary")) is None
+
+
+def test_internal_keys_are_taken_apart_without_lambdas(spark):
+    """Functions over arrays are interpreted, and with them all of their arguments, for each row."""
+    seqs = [0, 1, 255, 256, (1 << 40) + 77, (1 << 55) - 2]
+    rows = spark.createDataFrame([(s, t, b"k" * (s % 12)) for s in seqs for t in (0, 1, 7)], "s long, t int, u binary")
+    whole = keys.internal_key(F.col("u"), F.col("s"), F.col("t"))
+    for column in (F.lit(None).cast("binary"), F.substring(whole, 1, 7)):
+        for r in rows.where("length(u) = 0").select(keys.parse_internal_key(column).alias("k")).collect():
+            assert (r["k"]["seq"], r["k"]["vtype"], r["k"]["is_valid"]) == (None, None, False)
+    found = rows.select("s", "t", "u", keys.parse_internal_key(whole).alias("k"))
+    for r in found.collect():
+        assert (bytes(r["k"]["user_key"]), r["k"]["seq"], r["k"]["vtype"], r["k"]["is_valid"]) == (bytes(r["u"]), r["s"], r["t"], r["t"] < 2)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    words = spark.createDataFrame([(-1,), (-(1 << 63),), ((1 << 63) - 1,), (0x1234,)], "x long")
+    both = words.select("x", codec.fixed(F.col("x"), 4).alias("a"), codec.fixed(F.col("x"), 8).alias("b"), codec.read_fixed(codec.fixed(F.col("x"), 8), 8).alias("y"), codec.read_fixed(codec.fixed(F.col("x"), 4), 4).alias("z"))
+    for r in both.collect():
+        assert bytes(r["b"]) == (r["x"] % (1 << 64)).to_bytes(8, "little") and bytes(r["a"]) == (r["x"] % (1 << 32)).to_bytes(4, "little")
+        assert r["y"] == r["x"] and r["z"] == r["x"] % (1 << 32)
